@@ -38,7 +38,8 @@ def exact_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", car
     # a settled row gets a key that no other row has, so that it needs no full hash and settled rows don't meet in one task
     full = F.sha2("__body", 256) if few else F.col("__body")
     rows = rows.withColumn("__full", F.when(F.col("__shared"), full).otherwise(F.concat(F.lit("settled "), F.coalesce(F.col("__id").cast("string"), F.uuid())))).drop("__body", "n_bytes", "head")
-    groups = rows.where("__shared").groupBy("__full").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")).where("__size > 1")
+    # cut, so that the join has a shuffle of its own and Spark can split a key that many rows share
+    groups = cut(rows.where("__shared").groupBy("__full").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")).where("__size > 1"))
     out = rows.join(groups, "__full", "left")
     keep, size = F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep")), F.coalesce("__size", F.lit(1).cast("long"))
     named = {id: F.col("__id"), **{k: F.col(f"__c_{k}") for k in carry or {}}, "keep_id": keep, "group_size": size, "kept": F.coalesce(F.col("__id") == keep, F.lit(False))}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, lid
+from . import bpe, decontam, exactdedup, lid, neardup
 from .common import table
 
 
@@ -46,5 +46,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op7_language_id": op7_language_id, "op9_exact_dedup": op9_exact_dedup, "op6_bpe": op6_bpe}
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.matches(docs.select("doc_id", "text"), items)
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op8_near_dedup": op8_near_dedup, "op7_language_id": op7_language_id, "op9_exact_dedup": op9_exact_dedup, "op6_bpe": op6_bpe}
 ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
