@@ -7,7 +7,7 @@ item are its n-grams that are in at most ``COMMON`` times as many documents as i
 item that leaked into every document keeps its seeds, and a phrase that is common by itself is none. Where a
 seed occurs in a document, the stretch that the item would cover there is aligned with the item by local alignment over
 words (match 2, mismatch and gap -1). The score is the best sum over twice the number of the item's words; edits,
-insertions and cuts lower it. Everything after the seed counts happens where the document is read; nothing but results moves.
+insertions and cuts lower it. Words are compared without case and ASCII punctuation. Everything after the seed counts happens where the document is read; nothing but results moves.
 
 Cases: null and empty documents and items give nothing. An item of fewer than ``n`` words is looked for as a whole.
 Repeated items (same id) are one item for each text; repeated documents are matched one by one. An empty benchmark or
@@ -34,7 +34,7 @@ class Seeds:
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.ids = [i for i, _ in items]
-        words = grams.Words([t for _, t in items])
+        words = grams.Words([t for _, t in items], bare=True)
         self.words = [words.hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
         self.n = n
         entries = []
@@ -179,7 +179,7 @@ def matches(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str
             total = np.zeros(len(seeds.hashes), np.int64)
             for batch in batches:
                 for _, texts in slices(batch, "__text", 1_000_000):
-                    words = grams.Words(texts)
+                    words = grams.Words(texts, bare=True)
                     at, what = seeds.hits(words)
                     doc = np.searchsorted(words.first, at, side="right") - 1
                     total += np.bincount(np.unique(doc * max(len(total), 1) + what) % max(len(total), 1), minlength=len(total))
@@ -198,7 +198,7 @@ def matches(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str
             for batch in batches:
                 ids = batch.column(0)
                 for start, texts in slices(batch, "__text", 1_000_000):
-                    found = sorted((k, v) for k, v in _scored(seeds, grams.Words(texts)).items() if v[0] >= least)
+                    found = sorted((k, v) for k, v in _scored(seeds, grams.Words(texts, bare=True)).items() if v[0] >= least)
                     own = ids.take(pa.array([start + t for (t, _), _ in found], pa.int64()))
                     named = pa.array([seeds.ids[i] for (_, i), _ in found], schema_item)
                     yield pa.RecordBatch.from_arrays([own, named, *(pa.array([v[c] for _, v in found], kind) for c, kind in enumerate((pa.float64(), pa.int64(), pa.int64(), pa.int64())))], names=schema.names)

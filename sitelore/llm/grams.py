@@ -13,6 +13,8 @@ U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+_NO_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit words that spreads every bit."""
@@ -49,13 +51,16 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of several texts: hash, byte span, and the first word of each text."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], bare: bool = False):
+        """With ``bare``, letters of any case are equal and ASCII punctuation separates words, too."""
+        if bare:
+            texts = [t.lower() for t in texts]
         parts = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = b"\n".join(parts) + b"\n"
         size = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
         self.offsets = np.concatenate([[0], np.cumsum(size)])
         b = np.frombuffer(self.data, np.uint8)
-        space = _SPACE[b]
+        space = (_NO_WORD if bare else _SPACE)[b]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if not space[0]:
             edge = np.concatenate([[0], edge])
