@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exactdedup, lid, neardup
+from . import bpe, chat, decontam, exactdedup, html_extract, lid, neardup
 from .common import table
 
 
@@ -55,5 +55,38 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(docs.select("doc_id", "text"), items)
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op8_near_dedup": op8_near_dedup, "op7_language_id": op7_language_id, "op9_exact_dedup": op9_exact_dedup, "op6_bpe": op6_bpe}
-ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages)
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    done = chat.format_records(chat.messages(said.unionByName(own)))
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP5_SQL = r"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped as (
+  select *, length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '[', '\s'))
+    + length(replace(replace(replace(text, '\', '\\'), '<', '\l'), '[', '\s')) + length(replace(role, chr(10), '  ')) - length(role)
+    + length('<|turn|>') + 1 + length('<|end|>') + 1 as chars
+  from said
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(chars)::bigint as formatted_chars
+from escaped group by conv_id
+"""
+
+
+QUERIES = {"op1_html_text": op1_html_text, "op5_chat": op5_chat, "op2_decontaminate": op2_decontaminate, "op8_near_dedup": op8_near_dedup, "op7_language_id": op7_language_id, "op9_exact_dedup": op9_exact_dedup, "op6_bpe": op6_bpe}
+ORACLE_SQL = {"op5_chat": OP5_SQL, "op9_exact_dedup": OP9_SQL}
