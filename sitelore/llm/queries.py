@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exactdedup, html_extract, lid, neardup
+from . import bpe, chat, decontam, exactdedup, html_extract, lengths, licences, lid, neardup, pii
 from .common import table
 
 
@@ -88,5 +88,23 @@ from escaped group by conv_id
 """
 
 
-QUERIES = {"op1_html_text": op1_html_text, "op5_chat": op5_chat, "op2_decontaminate": op2_decontaminate, "op8_near_dedup": op8_near_dedup, "op7_language_id": op7_language_id, "op9_exact_dedup": op9_exact_dedup, "op6_bpe": op6_bpe}
+#: A fixed key, so that results can be compared; a real run passes its own secret.
+PII_KEY = b"public test key"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY).withColumn("n_replaced", F.size("pii").cast("long"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.train(docs))
+
+
+QUERIES = {"op3_pii": op3_pii, "op4_token_counts": op4_token_counts, "op10_licences": op10_licences, "op1_html_text": op1_html_text, "op5_chat": op5_chat, "op2_decontaminate": op2_decontaminate, "op8_near_dedup": op8_near_dedup, "op7_language_id": op7_language_id, "op9_exact_dedup": op9_exact_dedup, "op6_bpe": op6_bpe}
 ORACLE_SQL = {"op5_chat": OP5_SQL, "op9_exact_dedup": OP9_SQL}
