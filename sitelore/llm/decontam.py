@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import grams
-from .common import slices
+from .common import broadcast_if_small, cut, slices
 
 COMMON = 8
 BITS = 20
@@ -213,5 +213,5 @@ def matches(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str
 
 def drop_leaks(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows that hold a test item; the columns stay as they are."""
-    leaked = matches(docs, items, id=id, **options).select(F.col(id).alias("__leaked")).distinct()
-    return docs.join(leaked, F.col(f"`{id}`") == F.col("__leaked"), "left_anti")
+    leaked = cut(matches(docs, items, id=id, **options).select(F.col(id).alias("__leaked")).distinct())
+    return docs.join(broadcast_if_small(leaked), F.col(f"`{id}`") == F.col("__leaked"), "left_anti")

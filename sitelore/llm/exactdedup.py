@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 
 
 def exact_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", carry: dict[str, Column] | None = None, prefix: int = 64, broadcast_cells: int = 100_000) -> DataFrame:
@@ -46,9 +46,12 @@ def exact_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", car
     return out.select(*[c.alias(k) for k, c in named.items()])
 
 
-def drop_exact(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose text another row with a larger id has; the columns stay as they are."""
-    names = docs.columns
-    own = {f"own_{i}": F.col(f"`{c}`") for i, c in enumerate(names)}
-    kept = exact_groups(docs, carry=own, **options).where("kept")
-    return kept.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(names)])
+def drop_exact(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose text another row with a larger id has; the columns stay as they are.
+
+    What leaves is named by id and a hash of its text, so rows that share an id by mistake are told apart. Rows without an id stay.
+    """
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    gone = exact_groups(docs, id=id, text=text, carry={"__mark": mark}, **options).where(~F.col("kept"))
+    gone = cut(gone.select(F.col(id).alias("__gone"), "__mark"))
+    return docs.join(broadcast_if_small(gone), (F.col(f"`{id}`") == F.col("__gone")) & (mark == F.col("__mark")), "left_anti")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import cut, runs, slices
+from .common import broadcast_if_small, cut, runs, slices
 from .components import Union, components
 
 VALUES, DEPTH, ORDERS = 64, 3, 21
@@ -269,7 +269,8 @@ def near_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: i
     deal = F.greatest(F.ceil(F.col("members") / F.lit(family)), F.ceil(F.col("shingles") / F.lit(family_shingles)))
     members = cut(sized.join(sums.withColumn("parts", deal), "component").select(F.col("node").alias("id"), "component", "members", "parts"))
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("__text"))
-    met = texts.join(members, "id")
+    # texts that are in no family need not move
+    met = texts.join(broadcast_if_small(members, 500_000), "id")
     large = members.where("parts > 1").limit(1).count() > 0
     own = F.pmod(F.xxhash64("id"), F.col("parts"))
     if not large:
@@ -298,5 +299,5 @@ def near_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: i
 
 def drop_near(docs: DataFrame, *, id: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; the columns stay as they are."""
-    dropped = near_groups(docs, id=id, **options).where(~F.col("kept")).select(F.col(id).alias("__dropped"))
-    return docs.join(dropped, F.col(f"`{id}`") == F.col("__dropped"), "left_anti")
+    dropped = cut(near_groups(docs, id=id, **options).where(~F.col("kept")).select(F.col(id).alias("__dropped")))
+    return docs.join(broadcast_if_small(dropped), F.col(f"`{id}`") == F.col("__dropped"), "left_anti")
