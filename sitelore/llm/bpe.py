@@ -277,7 +277,7 @@ def encode_table(docs, path: str, *, id: str = "doc_id", text: str = "text"):
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    from .common import slices
+    from .common import slices, small_batches
 
     kind = docs.schema[id].dataType
     schema = T.StructType([T.StructField(id, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())])
@@ -294,4 +294,4 @@ def encode_table(docs, path: str, *, id: str = "doc_id", text: str = "text"):
         finally:
             gc.enable()
 
-    return docs.select(F.col(id), F.col(text).alias("__text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id), F.col(text).alias("__text")).mapInArrow(run, schema)

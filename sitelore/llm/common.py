@@ -27,6 +27,19 @@ def checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+#: Rows of whole texts that go to a Python worker at once. Spark's own 10,000 are meant for narrow rows.
+TEXTS_AT_ONCE = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Has Arrow batches hold few rows, unless the session already asks for fewer; a batch of texts then stays a few MB on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= TEXTS_AT_ONCE:
+        conf.set(name, str(TEXTS_AT_ONCE))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and goes on from there."""
     checkpoint_dir(df.sparkSession)

@@ -68,5 +68,5 @@ def components(links: DataFrame, *, finish: int = 1_000_000, max_rounds: int = 6
         raise RuntimeError("components did not converge")
     ended = now.repartition(1).mapInArrow(_finish, "node long, component long")
     if mapped is None:
-        return cut(ended)
-    return cut(mapped.join(ended.select(F.col("node").alias("m"), "component"), "m", "left").select("node", F.coalesce("component", "m").alias("component")))
+        return ended
+    return mapped.join(ended.select(F.col("node").alias("m"), "component"), "m", "left").select("node", F.coalesce("component", "m").alias("component"))

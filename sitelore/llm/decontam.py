@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import grams
-from .common import broadcast_if_small, cut, slices
+from .common import broadcast_if_small, cut, slices, small_batches
 
 COMMON = 8
 BITS = 20
@@ -167,7 +167,7 @@ def _blocks(items: DataFrame, id: str, text: str, block_words: int):
 def matches(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 4, least: float = 0.45, block_words: int = 2_000_000) -> DataFrame:
     """Rows (id, item_id, score, seeds, first_word, end_word) of documents that hold a test item with a score of ``least`` or more."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
+    rows = small_batches(docs).select(F.col(id).alias("__id"), F.col(text).alias("__text"))
     schema = T.StructType([T.StructField(id, docs.schema[id].dataType), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("score", T.DoubleType()), T.StructField("seeds", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())])
     out = None
     for block in _blocks(items, item_id, item_text, block_words):

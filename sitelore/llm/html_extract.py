@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Elements without content of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a line.
@@ -183,4 +185,4 @@ def extract(pages: DataFrame, *, html: str = "html") -> DataFrame:
                 texts = [main_text(x.as_py()) for x in part.column(len(kept))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=schema.names)
 
-    return pages.select(*[f"`{f.name}`" for f in kept], f"`{html}`").mapInArrow(run, schema)
+    return small_batches(pages).select(*[f"`{f.name}`" for f in kept], f"`{html}`").mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import slices
+from .common import slices, small_batches
 
 BLOCK = 1024
 
@@ -38,7 +38,7 @@ def encoded_lengths(docs: DataFrame, path: str, *, text: str = "text") -> DataFr
         finally:
             gc.enable()
 
-    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "n_tokens long")
+    return small_batches(docs).select(F.col(text).alias("__text")).mapInArrow(run, "n_tokens long")
 
 
 def histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:

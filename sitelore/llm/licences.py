@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import grams
-from .common import slices
+from .common import slices, small_batches
 
 UNKNOWN = "unknown"
 #: Short notices by family.
@@ -220,4 +220,4 @@ def scan(docs: DataFrame, model: Classifier, *, id: str = "doc_id", text: str =
                 cols = list(zip(*found)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([start + i for i in cols[0]], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.float64())], names=[id, "paragraph", "first_word", "family", "probability", "similarity"])
 
-    return docs.select(F.col(id), F.col(text).alias("__text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id), F.col(text).alias("__text")).mapInArrow(run, schema)

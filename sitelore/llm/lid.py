@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import grams
-from .common import slices
+from .common import slices, small_batches
 
 LETTERS = regex.compile(r"\p{L}+")
 OPEN, CLOSE = "\x02", "\x03"
@@ -250,7 +250,7 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     in units of spread / sqrt(words), times ``slack``. The driver gets word
     counts of this bounded sample only. ``MARGIN`` bits are always allowed.
     """
-    rows = labelled.select(F.col(key).cast("string").alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    rows = small_batches(labelled).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     chosen = _sample(rows, F.col("k"), per_lang).withColumn("part", F.pmod(F.xxhash64("k", F.lit(5)), F.lit(5)))
 
     def words(batches):
@@ -310,7 +310,7 @@ PREDICTED = [T.StructField("lang_pred", T.StringType()), T.StructField("score",
 
 def identify(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with lang_pred, score, bits_per_char and rejected; own columns of these names are replaced."""
-    docs = docs.drop(*(f.name for f in PREDICTED if f.name != text))
+    docs = small_batches(docs).drop(*(f.name for f in PREDICTED if f.name != text))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

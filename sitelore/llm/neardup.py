@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import broadcast_if_small, cut, runs, slices
+from .common import broadcast_if_small, cut, runs, slices, small_batches
 from .components import Union, components
 
 VALUES, DEPTH, ORDERS = 64, 3, 21
@@ -74,7 +74,7 @@ def signatures(docs: DataFrame, n: int, id: str = "doc_id", text: str = "text")
                         f1.append(0), f2.append(0), sig.append(None)
                 yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(sig, pa.binary())], names=["id", "n_shingles", "f1", "f2", "signature"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("__text")).mapInArrow(run, SIGNED)
+    return small_batches(docs).select(F.col(id).cast("long").alias("id"), F.col(text).alias("__text")).mapInArrow(run, SIGNED)
 
 
 def _orders(batches):

@@ -226,9 +226,9 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", back: bool
     """The rows with their text under pseudonyms and ``pii``, the kind and span of each. With ``back`` the other way round."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    from .common import slices
+    from .common import slices, small_batches
 
-    docs = docs.drop("pii") if text != "pii" else docs
+    docs = small_batches(docs).drop("pii") if text != "pii" else small_batches(docs)
     names = docs.columns
     at = names.index(text)
     kind = to_arrow_type(PII.dataType)
