@@ -1,0 +1,270 @@
+import hashlib
+import random
+from datetime import date
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sitelore.llm import bpe, chat, decontam, html_extract, licences, lid, pii, queries
+
+ODD = ["", "  ", None, "it's we'll I'M DON'T 123abc ½ ² ΑΣ ΣΑΣ. é é İstanbul ß <|endoftext|> x<|startoftext|>y 日本語テスト a b\x1cc\x85d 👍🏽 a\u0000b", " a" * 3 + "ab" * 400 + " " + "日本" * 300, "x" * 1000, "'S 's'S'Ve", "ﬁ Ⅷ ǅ ŉ ẞ", "é \x1d\x1d  q", "\n\n a\t b "]
+
+
+def docs(spark, texts, lang="en"):
+    return spark.createDataFrame([(i, t, lang, 7, "own") for i, t in enumerate(texts)], "doc_id long, text string, lang string, score int, pii string")
+
+
+def test_bpe_equals_the_library(spark):
+    path = queries.vocabulary()
+    library = Tokenizer.from_file(path)
+    rng = random.Random(2)
+    texts = ODD + ["".join(rng.choice("abcdefgh ÀéñŁ.,!?'12\n") for _ in range(rng.randint(1, 200))) for _ in range(200)]
+    got = bpe.encode_table(docs(spark, texts), path).orderBy("doc_id").collect()
+    own = bpe.load(path)
+    for t, r in zip(texts, got):
+        e = library.encode(t or "", add_special_tokens=False)
+        assert r.ids == " ".join(map(str, e.ids)) and r.n_tokens == len(e.ids)
+        assert r.decoded == library.decode(e.ids, skip_special_tokens=False) == own.decode(own.encode_ids(t))
+    assert bpe.encode_table(docs(spark, []), path).count() == 0
+
+
+def test_short_and_long_words_merge_alike():
+    own = bpe.load(queries.vocabulary())
+    rng = random.Random(4)
+    for _ in range(60):
+        word = "".join(rng.choice("abetnoshré") for _ in range(rng.randint(1, 90)))
+        parts = [own.letters[b] for b in word.encode()]
+        parts[-1] += own.suffix
+        assert [own.ids[p] for p in own._heap(parts)] == own.words([word])[0]
+
+
+LANGS = {"xx": ("bar", "kol", "mir", "dun", "zek"), "yy": ("sha", "ito", "wen", "pua", "lio")}
+
+
+def sentences(lang, n, seed):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choice(LANGS[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(3, 40))) for _ in range(n)]
+
+
+def test_language_id(spark):
+    train = [(i, t, lang) for k, lang in enumerate(LANGS) for i, t in enumerate(sentences(lang, 200, k), 1000 * k)] + [(-1, "no label", None), (-2, None, "xx")]
+    model = lid.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert model.langs == ["xx", "yy"]
+    held = [(lang, t) for k, lang in enumerate(LANGS) for t in sentences(lang, 100, 50 + k)]
+    out = lid.identify(docs(spark, [t for _, t in held], "zz"), model).orderBy("doc_id").collect()
+    assert np.mean([r.lang_pred == lang for (lang, _), r in zip(held, out)]) >= 0.99
+    assert not any(r.rejected for r in out) and all(0 <= r.score <= 1 for r in out)
+    odd = lid.identify(docs(spark, ["", None, "12 ;-)", "qqq xxvv " * 40, "БАР КОЛ МИР ДУН " * 9]), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in odd[:3]] == ["und"] * 3 and [r.score for r in odd[:3]] == [0.0] * 3
+    assert all(r.rejected for r in odd)
+    nobody = lid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert lid.identify(docs(spark, ["text"]), nobody).first().lang_pred == "und"
+
+
+def test_language_probabilities_sum_to_one():
+    words = ["aba", "abb", "ba", "a"]
+    model = lid.KneserNey.fit({"x": (words, np.array([5.0, 1.0, 2.0, 1.0])), "y": (["bb"], np.array([1.0]))}, order=3)
+    alphabet = sorted({c for w in words for c in w}) + [lid.CLOSE]
+    for context in ("", "a", "ab", "b", "bb"):
+        start = 2.0 ** -(model.bits([context]))[0] if context else np.ones(2)
+        del start
+        total = np.zeros(2)
+        for c in alphabet:
+            chars = np.array([ord(x) for x in lid.OPEN + context + c], np.uint64)
+            p = model.floor.copy()
+            for n in range(1, model.order + 1):
+                at, gram, ctx = lid._ngrams(chars, np.arange(len(chars)), n)
+                if not len(at) or at[-1] != len(chars) - 1:
+                    continue
+                keys, where = model.gram_keys[n - 1], np.searchsorted(model.gram_keys[n - 1], gram[-1])
+                if where < len(keys) and keys[where] == gram[-1]:
+                    p = model.gram_p[n - 1][where].astype(float)
+                else:
+                    k = np.searchsorted(model.context_keys[n - 1], ctx[-1])
+                    if k < len(model.context_keys[n - 1]) and model.context_keys[n - 1][k] == ctx[-1]:
+                        p = p * model.context_w[n - 1][k]
+            total += p
+        # what is missing from 1 belongs to characters outside the alphabet
+        assert np.all(total <= 1 + 1e-4) and np.all(total > 0.6)
+
+
+def naive_alignment(a, b):
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+    return max(map(max, h))
+
+
+def test_alignment_against_the_plain_table():
+    rng = random.Random(8)
+    for _ in range(100):
+        a, b = ([rng.randint(1, 5) for _ in range(rng.randint(1, 12))] for _ in "ab")
+        best, _ = decontam.align(np.array([b]), np.ones((1, len(b)), bool), np.array(a))
+        assert best[0] == naive_alignment(a, b)
+
+
+def test_decontamination(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [some(rng.randint(12, 40)) for _ in range(30)]
+    texts, want = [], set()
+    for i in range(200):
+        body = some(rng.randint(0, 200))
+        if i % 3 == 0:
+            k = rng.randrange(len(items))
+            copy = list(items[k])
+            for _ in range(rng.randint(0, len(copy) // 6)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            at = rng.randint(0, len(body))
+            body[at:at] = copy
+            want.add((i, k))
+        texts.append(" ".join(body).upper() if i % 2 else "\n".join(x + "!!" for x in body))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)] + [(90, None), (91, ""), (92, " ".join(items[0]))], "item_id long, text string")
+    for block in (2_000_000, 200):
+        got = decontam.matches(docs(spark, texts), bench, block_words=block).collect()
+        assert {(r.doc_id, r.item_id) for r in got if r.item_id < 90} == want
+        assert {r.doc_id for r in got if r.item_id == 92} == {i for i, k in want if k == 0}
+        for r in got:
+            if r.item_id < 90:
+                assert r.score == pytest.approx(naive_alignment(items[r.item_id], [w.strip("!").lower() for w in texts[r.doc_id].split()]) / (2 * len(items[r.item_id])))
+    assert {r.doc_id for r in decontam.drop_leaks(docs(spark, texts), bench).collect()} == set(range(200)) - {i for i, _ in want}
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.matches(docs(spark, texts), nothing).count() == 0 and decontam.matches(docs(spark, [None, ""]), bench).count() == 0
+
+
+PAGES = {
+    '<html><body><div class="cookie-notice">We use cookies</div><div id="top-nav"><a href=x>a</a></div><div id="content"><h1>T &amp; U</h1><p>Hello <i>wor</i>ld\n all.<p>Be.<p>More text which is long enough to be content, surely it is.<div class="ad">buy</div><ul><li>x<li>y</ul><script>var x="<p>";</script></div><div class=sidebar>side</div><section id="comments"><p>great article I like it very much indeed wow</p></section></body>': "T & U\nHello world all.\nBe.\nMore text which is long enough to be content, surely it is.\nx\ny",
+    "<main><article><h1>T</h1><p>Hello</p><table><tr><td>a</td><td>b</td></tr></table><form><p>x</p></form></article><aside>q</aside></main>": "T\nHello\na\nb",
+    "<p>a</p><p>cut <a hre": "a\ncut",
+    "plain": "plain",
+    "": "",
+    "<nav><p>only a menu</p></nav>": "",
+    "<article><p><b>one<br>two<p>&#233;&nbsp;x</article><footer>f</footer>": "one two\né x",
+}
+
+
+def test_html(spark):
+    rows = spark.createDataFrame([(i, h, "own", 5) for i, h in enumerate([*PAGES, None])], "page_id long, html string, text string, extra int")
+    got = html_extract.extract(rows).orderBy("page_id").collect()
+    assert [r.text for r in got] == [*PAGES.values(), ""] and all(r.n_chars == len(r.text) and r.extra == 5 for r in got)
+    deep = "<div>" * 3000 + "word" + "<p>x" * 2000
+    assert html_extract.main_text(deep).startswith("word\nx")
+
+
+def test_chat_round_trip(spark):
+    said = [(1, 1, "assistant", "</s>[INST] ok [/INST] \\l\\\\<|end|>\n"), (1, 0, "user", None), (1, 0, None, "x"), (2, 5, "we\nird", "<|turn|>"), (None, 0, "user", "é👍")]
+    rows = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_records(chat.messages(rows)).collect()}
+    assert [tuple(t) for t in got[1].turns] == [("", "x"), ("user", ""), ("assistant", said[0][3])]
+    assert got[1].loss_text == said[0][3] and [tuple(t) for t in got[2].turns] == [("we\nird", "<|turn|>")]
+    for r in got.values():
+        assert r.formatted.count(chat.TURN) == len(r.turns) == r.formatted.count(chat.END) and "[INST]" not in r.formatted
+        assert "".join(chat.unescape(r.formatted[s.start : s.end]) for s in r.loss_spans) == r.loss_text
+    assert chat.format_records(chat.messages(rows.limit(0))).count() == 0
+
+
+RECORDS = [
+    ('{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', "messages"),
+    ('{"id":3,"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', "shared turns"),
+    ('{"instruction":"q","output":"a","meta":{"k":[1]}}', "instruction"),
+    ('{"prompt":"q","completion":"a"}', "prompt completion"),
+    ('{"question":"q","answer":"a"}', "question answer"),
+]
+
+
+def test_layouts_meet_in_one_form(spark):
+    rows = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(RECORDS)] + [(90, '{"other":1}'), (91, "no json"), (92, None), (93, "[]")], "k int, record string")
+    got = {r.k: r for r in chat.format_records(rows).collect()}
+    for i, (_, name) in enumerate(RECORDS):
+        assert got[i].mapping == name and [tuple(t) for t in got[i].turns] == [("user", "q"), ("assistant", "a")]
+    assert all(got[k].mapping is None and got[k].turns == [] for k in (90, 91, 92, 93))
+    assert chat.fingerprint({"a": [{"b": 1}, {"b": 2}]}) == chat.fingerprint({"a": [{"b": "x"}]}) != chat.fingerprint({"a": {"b": 1}})
+
+
+TEXT = 'Call +1 (826) 555-4081 190.137.223.204 or 7536784127813050 4845168114407329. a.68@mail7.example.com, 2021-03-04, 3/4/2021 03/25/2020 ssn 123-45-6789 iban GB82 WEST 1234 5698 7654 32, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962".'
+
+
+def test_pseudonyms_round_trip(spark):
+    key = b"k"
+    texts = [TEXT, "again 190.137.223.204", "nothing 1234567890123456 300.1.1.1 2021-02-30", "", None]
+    done = pii.pseudonymise(docs(spark, texts), key).orderBy("doc_id").collect()
+    kinds = sorted(p.kind for p in done[0].pii)
+    assert kinds == sorted(["phone", "ip", "card", "card", "email", "date", "date", "date", "ssn", "iban", "secret"])
+    old = {TEXT[a:b] for a, b in ((5, 22), (23, 38))}
+    assert not any(v in done[0].text for v in old)
+    one = next(done[0].text[p.start : p.end] for p in done[0].pii if p.kind == "ip")
+    assert done[1].text == f"again {one}" and done[2].text == texts[2] and done[3].text == "" and done[4].text is None
+    cards = [done[0].text[p.start : p.end] for p in done[0].pii if p.kind == "card"]
+    assert all(pii.luhn(c) % 10 == 0 for c in cards)
+    again = pii.recover(spark.createDataFrame([(r.doc_id, r.text) for r in done], "doc_id long, text string"), key).orderBy("doc_id").collect()
+    assert [r.text for r in again] == texts
+
+
+def test_feistel_is_a_permutation():
+    f = pii.Feistel(b"k")
+    for n in (1, 2, 10, 100, 365):
+        image = [f("t", x, n) for x in range(n)]
+        assert sorted(image) == list(range(n)) and [f("t", y, n, True) for y in image] == list(range(n))
+    p, rng = pii.Pseudonyms(b"k"), random.Random(1)
+    for _ in range(200):
+        d = date.fromordinal(rng.randint(pii.FIRST_DAY, pii.LAST_DAY))
+        for x in (f"{d.day}/{d.month}/{d.year}", f"{d.month:02d}/{d.day:02d}/{d.year}", d.isoformat()):
+            assert p.value("date", p.value("date", x), True) == x
+
+
+def test_licences(spark):
+    plain = sentences("xx", 60, 1)
+    texts = [plain[i % 60] + ("\n" + t + "\n" + plain[0] if i % 2 else "\n" + t.upper()) for i, t in enumerate(t for ts in licences.TEMPLATES.values() for t in ts)]
+    families = [f for f, ts in licences.TEMPLATES.items() for _ in ts]
+    hidden = plain[:3] + ["The driver's license was released.", "All rights of way were reserved for the public.", None, ""]
+    table = docs(spark, texts + plain + hidden)
+    model = licences.train(table, sample=60, each=6)
+    got = {(r.doc_id, r.family) for r in licences.scan(table, model).collect()}
+    assert {i for i, _ in got} <= set(range(len(texts)))
+    assert np.mean([(i, f) in got for i, f in enumerate(families)]) >= 0.9
+    assert licences.scan(table.limit(0), model).count() == 0
+
+
+def test_queries_hold_their_contracts(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    library = Tokenizer.from_file(queries.vocabulary())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in queries.op6_bpe(spark, sf).collect():
+        e = library.encode(texts[r.doc_id], add_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(e.ids), sha(" ".join(map(str, e.ids))), sha(library.decode(e.ids, skip_special_tokens=False)))
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op7_language_id(spark, sf).collect()
+    assert len(out) == len(texts) and np.mean([r.lang_pred == lang[r.doc_id] for r in out if r.held_out]) > 0.9
+    assert queries.op4_token_counts(spark, sf).agg(F.sum("n_docs")).first()[0] == len(texts)
+    assert queries.op3_pii(spark, sf).count() == len(texts)
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    docs_ = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text or "" for r in docs_.collect()}
+        docs_ = stage(spark, docs_, sf).cache()
+        assert docs_.columns == table.columns
+        kept = {r.doc_id for r in docs_.collect()}
+        if name == "exact dedup":
+            assert kept == set({t: i for i, t in sorted(before.items())}.values())
+        if name == "near dedup":
+            from test_dedup import brute
+
+            ids = sorted(before)
+            want = brute([before[i] for i in ids])
+            assert kept == {i for k, i in enumerate(ids) if want[k][1] == k}
+        if name == "decontamination":
+            bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            assert not [i for i in kept if any(b in before[i] for b in bench)]
+    result = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in result} == kept and all(r.n_tokens == len(r.ids) for r in result)
