@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import tables as K
 from .text import unquote
-from .urls import registered_domain
+from .urls import any_of, registered_domain
 
 
 def lookup(values: dict[str, float], key: Column, default: float) -> Column:
@@ -49,38 +49,25 @@ def local(email: Column) -> Column:
 
 def verdict(email: Column) -> Column:
     """``valid``, or the first rule that an address breaks."""
-    labels = F.split(host(email), r"\.")
-    bad = F.lit(False)
-    for part in K.BAD_EMAIL_PARTS:
-        bad = bad | email.contains(part)
-    asset = F.lit(False)
-    for end in K.BAD_EMAIL_ENDINGS:
-        asset = asset | email.endswith(end)
-    label_ok = F.forall(labels, lambda x: x.rlike("^[a-z0-9-]{1,63}$"))
     at = F.length(email) - F.length(F.replace(email, F.lit("@"), F.lit("")))
     return (
         F.when((F.length(email) > 254) | (at != 1), "shape")
-        .when((local(email) == "") | (F.length(local(email)) > 64) | email.contains(".."), "local_part")
-        .when(bad, "blocked_domain")
-        .when(asset, "asset")
-        .when(host(email).rlike(r"^[-.]|[-.]$") | (F.size(labels) < 2) | ~label_ok, "host")
+        .when(~email.rlike("^[^@]{1,64}@") | email.contains(".."), "local_part")
+        .when(email.rlike(any_of(K.BAD_EMAIL_PARTS)), "blocked_domain")
+        .when(email.rlike(any_of(K.BAD_EMAIL_ENDINGS) + "$"), "asset")
+        .when(~email.rlike(r"@(?!-)[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63})+(?<!-)$"), "host")
         .otherwise("valid")
     )
 
 
 def category(email: Column, site_domain: Column) -> Column:
-    prefix = F.get(F.split(local(email), r"[._+\-]"), F.lit(0))
-    generic = F.lit(False)
-    for word in K.GENERIC_PREFIXES:
-        generic = generic | prefix.startswith(word)
+    # no word has a separator, so the first part of the local part begins with it if the whole does
+    generic = local(email).rlike("^" + any_of(K.GENERIC_PREFIXES))
     return F.when(host(email).isin(*K.FREE_MAIL), "free_mail").when(generic, "generic").when(registered_domain(host(email)) == site_domain, "named").otherwise("external_domain")
 
 
 def mentions(url: Column, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.lower(url).contains(w)
-    return out
+    return url.rlike("(?i)" + any_of(words))
 
 
 def confidence(email: Column, source: Column, site_domain: Column, page_url: Column) -> Column:

@@ -98,10 +98,14 @@ def shown(raw: str | None, region: str, style: str) -> tuple[str, str, str]:
 
 
 @arrow(struct(value=TEXT, region=TEXT, type=TEXT))
-def normalized(raw: pd.Series, region: pd.Series) -> pd.DataFrame:
+def _normalized(raw: pd.Series, region: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([normal(x, r) or (None, None, None) for x, r in zip(raw, region)], columns=["value", "region", "type"], dtype=object)
 
 
+#: Non-deterministic only for the planner: a filter on the result must not run it a second time.
+normalized = _normalized.asNondeterministic()
+
+
 def formatted(region: str = "AUTO", style: str = "national"):
     @arrow(struct(text=TEXT, region=TEXT, type=TEXT))
     def run(value: pd.Series) -> pd.DataFrame:

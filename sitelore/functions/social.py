@@ -7,44 +7,39 @@ from pyspark.sql import functions as F
 
 from . import tables as K
 from .email import lookup
-from .urls import hostname, path
+from .urls import any_of, path
 
 
 def platform(url: Column) -> Column:
     """Platform whose host or subdomain a URL has, or null."""
-    host = hostname(url)
     out = None
     for name, hosts in K.SOCIAL_HOSTS.items():
-        test = F.lit(False)
-        for h in hosts:
-            test = test | (host == h) | host.endswith(f".{h}")
+        test = url.rlike(rf"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(?:[^/?#:@]*\.)?{any_of(hosts)}(?:[:/?#]|$)")
         out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
     return out
 
 
+def _profile(name: str) -> str:
+    """Pattern whose first group is the part of a path that names a profile."""
+    if name in K.SOCIAL_TWO_PARTS:
+        deep = f"(?i:{'|'.join(K.SOCIAL_TWO_PARTS[name])})/[^/]+"
+        return f"^/(@[^/]+|{deep})" if name == "youtube" else f"^/({deep})"
+    if name == "tiktok":
+        return "^/(@[^/]+)"
+    no = "|".join(w.replace(".", r"\.") for w in K.SOCIAL_FIRST_REJECT[name])
+    if name == "facebook":
+        return rf"^/((?i:pages)/[^/]+/[^/]+|(?!(?i:pages|{no})(?:/|$))[^/]+)"
+    return rf"^/(?!(?i:{no})(?:/|$))([^/]+)"
+
+
 def canonical(url: Column, kind: Column) -> Column:
     """The profile's canonical URL, or null for what is no profile."""
     p = F.regexp_replace(F.regexp_replace(path(url), "/{2,}", "/"), "/+$", "")
-    lower = F.lower(p)
-    rejected = p == ""
-    for part in K.SOCIAL_REJECT:
-        rejected = rejected | lower.contains(part)
-    parts = F.filter(F.split(p, "/"), lambda x: x != "")
-    n, first = F.size(parts), F.get(parts, F.lit(0))
-    word = F.lower(first)
-    keep = lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))
-    kept = (
-        F.when(kind == "linkedin", F.when(word.isin("company", "in", "school", "showcase") & (n >= 2), keep(2)))
-        .when(kind == "youtube", F.when(first.startswith("@"), keep(1)).when(word.isin("channel", "c", "user") & (n >= 2), keep(2)))
-        .when(kind == "tiktok", F.when(first.startswith("@"), keep(1)))
-        .when((kind == "facebook") & (word == "pages"), F.when(n >= 3, keep(3)))
-    )
-    for name, words in K.SOCIAL_FIRST_REJECT.items():
-        kept = kept.when(kind == name, F.when(~word.isin(*words), keep(1)))
-    host = None
-    for name, h in K.SOCIAL_CANONICAL.items():
-        host = F.when(kind == name, F.lit(h)) if host is None else host.when(kind == name, F.lit(h))
-    return F.when(~rejected & (n > 0) & kept.isNotNull(), F.concat(F.lit("https://"), host, kept))
+    out = None
+    for name, host in K.SOCIAL_CANONICAL.items():
+        value = F.concat(F.lit(f"https://{host}/"), F.nullif(F.regexp_extract(p, _profile(name), 1), F.lit("")))
+        out = F.when(kind == name, value) if out is None else out.when(kind == name, value)
+    return F.when(~p.rlike("(?i)" + any_of(K.SOCIAL_REJECT)), out)
 
 
 def confidence(source: Column) -> Column:

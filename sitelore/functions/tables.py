@@ -29,6 +29,8 @@ PHONE_PATTERN = r"(?<!\w)(?:\+\d{1,3}[\s().-]*)?(?:\(?\d{2,4}\)?[\s().-]*)\d{2,4
 SOCIAL_HOSTS = {"facebook": ("facebook.com", "fb.com"), "instagram": ("instagram.com",), "linkedin": ("linkedin.com",), "pinterest": ("pinterest.com",), "threads": ("threads.net",), "tiktok": ("tiktok.com",), "twitter": ("twitter.com", "x.com"), "youtube": ("youtube.com", "youtu.be")}
 SOCIAL_CANONICAL = {"facebook": "facebook.com", "instagram": "instagram.com", "linkedin": "linkedin.com", "pinterest": "pinterest.com", "threads": "threads.net", "tiktok": "tiktok.com", "twitter": "x.com", "youtube": "youtube.com"}
 SOCIAL_REJECT = ("/dialog/", "/help", "/home", "/intent/", "/login", "/oauth", "/privacy", "/search", "/share", "/sharer", "/signup", "/status/", "/terms")
+# First parts of paths whose second part is the profile.
+SOCIAL_TWO_PARTS = {"linkedin": ("company", "in", "school", "showcase"), "youtube": ("channel", "c", "user")}
 SOCIAL_FIRST_REJECT = {
     "facebook": ("events", "groups", "marketplace", "photo", "photos", "posts", "reel", "reels", "videos", "watch", "profile.php"),
     "instagram": ("about", "accounts", "developer", "explore", "p", "reel", "reels", "search", "stories"),

@@ -188,10 +188,15 @@ def query(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
+def any_of(words) -> str:
+    """A pattern of one group that matches any of the words as they are."""
+    return "(?:" + "|".join(re.escape(w) for w in words) + ")"
+
+
 def registered_domain(host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    last = lambda n: F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - (n - 1), F.lit(1)), F.lit(n)))
-    return F.when(last(2).isin(*K.TWO_LABEL_SUFFIXES), last(3)).when(last(1).isin(*K.ONE_LABEL_SUFFIXES), last(2)).otherwise(host)
+    """The label before the public suffix with the suffix; other hosts stay as they are."""
+    cut = lambda suffixes: F.nullif(F.regexp_extract(host, rf"([^.]+\.{any_of(suffixes)})$", 1), F.lit(""))
+    return F.coalesce(cut(K.TWO_LABEL_SUFFIXES), cut(K.ONE_LABEL_SUFFIXES), host)
 
 
 def domain_key(url: Column) -> Column:

@@ -22,11 +22,14 @@ def parse_pages(pages: DataFrame, *, url: str = "url", html_column: str = "html"
     return pages.withColumn("parsed", html.parsed(F.coalesce(body, F.lit("")), F.coalesce(url, F.lit("")))).withColumn("site_domain", urls.domain_key(F.col(url)))
 
 
-def _numbered(raws: Column, kind: str, source: str, step: int) -> Column:
-    """Candidates of one pass: (kind, pass_ordinal, match_ordinal, source_type, raw, shown)."""
+def _numbered(raws: Column, kind: str, source: str, step: int, value=lambda x: F.lit(None).cast("string"), label=lambda x: F.lit("")) -> Column:
+    """Candidates of one pass: (kind, pass_ordinal, match_ordinal, source_type, raw, shown, value, label).
+
+    What is costly is computed here, before the explode: behind it, value is a plain column that later expressions share.
+    """
 
     def one(x, i):
-        return F.struct(F.lit(kind).alias("kind"), F.lit(step).alias("pass_ordinal"), i.alias("match_ordinal"), F.lit(source).alias("source_type"), x.alias("raw"), x.alias("shown"))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(step).alias("pass_ordinal"), i.alias("match_ordinal"), F.lit(source).alias("source_type"), x.alias("raw"), x.alias("shown"), value(x).alias("value"), label(x).alias("label"))
 
     return F.transform(raws, one)
 
@@ -42,19 +45,20 @@ def email_candidates(parsed: Column, raw_html: Column) -> Column:
     p = lambda f: F.coalesce(parsed[f], F.array().cast("array<string>"))
     mailto = F.flatten(F.transform(_prefixed(parsed["anchors"], "mailto:"), lambda x: F.split(x, ",")))
     passes = (("mailto", mailto), ("cloudflare", p("cf")), ("json_ld", p("ld_emails")), ("visible_text", email.candidates(parsed["text"])), ("html", email.candidates(raw_html)), ("obfuscated", email.obfuscated(parsed["text"])))
-    return F.concat(*[_numbered(x, "email", name, i) for i, (name, x) in enumerate(passes)])
+    return F.concat(*[_numbered(x, "email", name, i, email.address) for i, (name, x) in enumerate(passes)])
 
 
 def phone_candidates(parsed: Column) -> Column:
     passes = (("tel", _prefixed(parsed["anchors"], "tel:")), ("json_ld", F.coalesce(parsed["ld_phones"], F.array().cast("array<string>"))), ("visible_text", phone.candidates(parsed["text"])))
-    return F.concat(*[_numbered(x, "phone", name, i) for i, (name, x) in enumerate(passes)])
+    return F.concat(*[_numbered(x, "phone", name, i, text.unquote) for i, (name, x) in enumerate(passes)])
 
 
 def social_candidates(parsed: Column) -> Column:
     """Links, then structured profiles; ``raw`` is the URL, ``shown`` the link's text."""
-    links = F.transform(F.filter(parsed["anchors"], lambda a: a["url"].isNotNull()), lambda a: F.struct(F.lit("social").alias("kind"), F.lit(0).alias("pass_ordinal"), a["pos"].alias("match_ordinal"), F.lit("anchor").alias("source_type"), a["url"].alias("raw"), a["text"].alias("shown")))
-    same = _numbered(F.coalesce(parsed["ld_same_as"], F.array().cast("array<string>")), "social", "json_ld", 1)
-    return F.concat(links, same)
+    profile = lambda u: social.canonical(u, social.platform(u))
+    found = F.filter(parsed["anchors"], lambda a: a["url"].isNotNull() & social.platform(a["url"]).isNotNull())
+    links = F.transform(found, lambda a: F.struct(F.lit("social").alias("kind"), F.lit(0).alias("pass_ordinal"), a["pos"].alias("match_ordinal"), F.lit("anchor").alias("source_type"), a["url"].alias("raw"), a["text"].alias("shown"), profile(a["url"]).alias("value"), social.platform(a["url"]).alias("label")))
+    return F.concat(links, _numbered(F.coalesce(parsed["ld_same_as"], F.array().cast("array<string>")), "social", "json_ld", 1, profile, social.platform))
 
 
 def evidence(parsed_pages: DataFrame, keys: Collection[str], *, kinds: Collection[str] = KINDS, url: str = "url", html_column: str = "html", default_region: str = "US") -> DataFrame:
@@ -71,15 +75,13 @@ def evidence(parsed_pages: DataFrame, keys: Collection[str], *, kinds: Collectio
     rows = rows.select(*base, "source_url", "site_domain", "page_region", "c.*").where("raw is not null")
     is_ = lambda k: c("kind") == k
     if "phone" in wanted:
-        rows = rows.withColumn("n", phone.normalized(F.when(is_("phone"), text.unquote(c("raw"))), c("page_region")))
+        rows = rows.withColumn("n", phone.normalized(F.when(is_("phone"), c("value")), c("page_region")))
     else:
         rows = rows.withColumn("n", F.lit(None).cast("struct<value:string,region:string,type:string>"))
-    mail = F.when(is_("email"), email.address(c("raw")))
-    rows = rows.withColumns({"mail": mail, "platform": F.when(is_("social"), social.platform(c("raw")))})
-    value = F.when(is_("email"), F.when(email.verdict(c("mail")) == "valid", c("mail"))).when(is_("phone"), c("n.value")).otherwise(social.canonical(c("raw"), c("platform")))
-    rows = rows.withColumn("value", value).where("value is not null")
+    rows = rows.withColumn("value", F.when(is_("phone"), c("n.value")).otherwise(c("value")))
+    rows = rows.where("value is not null").where(~is_("email") | (email.verdict(c("value")) == "valid"))
     confidence = F.when(is_("email"), email.confidence(c("value"), c("source_type"), c("site_domain"), c("source_url"))).when(is_("phone"), phone.confidence(c("source_type"), c("source_url"))).otherwise(social.confidence(c("source_type")))
-    category = F.when(is_("email"), email.category(c("value"), c("site_domain"))).when(is_("phone"), "").otherwise(c("platform"))
+    category = F.when(is_("email"), email.category(c("value"), c("site_domain"))).otherwise(c("label"))
     raw = F.when(is_("email"), F.substring(text.clean(c("raw")), 1, 200)).when(is_("phone"), F.substring(text.clean(c("raw")), 1, 100)).otherwise(c("shown"))
     meta = F.when(is_("phone"), F.create_map(F.lit("region"), c("n.region"), F.lit("type"), c("n.type")))
     return rows.select(*base, "pass_ordinal", "match_ordinal", "value", "kind", "source_url", "source_type", confidence.alias("confidence"), category.alias("category"), raw.alias("raw_value"), meta.alias("meta"))
