@@ -25,7 +25,7 @@ import regex
 #: Parts above which a word is merged with a heap.
 LONG = 96
 #: Pieces of text whose encoding an executor remembers; beyond that it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 #: Characters above which a piece is not remembered.
 REMEMBERED_LENGTH = 64
 NEVER = 1 << 60
@@ -248,6 +248,10 @@ class Bpe:
             self.known = {}
         return out
 
+    def rest(self) -> None:
+        """Between tasks only the younger generation of pieces stays in an executor's memory."""
+        self.older, self.known_words = {}, {}
+
     def encode(self, text: str | None) -> tuple[int, str, str]:
         return self.encode_many([text])[0]
 
@@ -292,6 +296,7 @@ def encode_table(docs, path: str, *, id: str = "doc_id", text: str = "text"):
                     n, joined, decoded = zip(*bpe.encode_many(texts))
                     yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
         finally:
+            bpe.rest()
             gc.enable()
 
     return small_batches(docs).select(F.col(id), F.col(text).alias("__text")).mapInArrow(run, schema)

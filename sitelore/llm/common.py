@@ -55,7 +55,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4_000_000):
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1_000_000):
     """(first, texts) runs of a batch of about ``max_bytes`` of text; null gives an empty text."""
     values = batch.column(column)
     start, size, texts = 0, 0, []

@@ -36,6 +36,7 @@ def encoded_lengths(docs: DataFrame, path: str, *, text: str = "text") -> DataFr
                 for _, texts in slices(batch, "__text"):
                     yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in encoder.encode_many(texts)], pa.int64())], names=["n_tokens"])
         finally:
+            encoder.rest()
             gc.enable()
 
     return small_batches(docs).select(F.col(text).alias("__text")).mapInArrow(run, "n_tokens long")

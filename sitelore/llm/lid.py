@@ -31,7 +31,7 @@ from .common import slices, small_batches
 LETTERS = regex.compile(r"\p{L}+")
 OPEN, CLOSE = "\x02", "\x03"
 #: Word pieces whose scores an executor remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Letters beyond which a run is scored in pieces, so that scripts without spaces stay bounded.
 PIECE = 64
 #: Bits a character above its language's mean at which a text of any length, such as one word over and over, still counts as that language.
@@ -172,9 +172,9 @@ class Scorer:
                     words.append(run[k : k + PIECE])
                     owner.append(i)
         values = np.zeros((len(pieces), self.table.shape[1]))
-        for lo in range(0, len(words), 50_000):
-            part = words[lo : lo + 50_000]
-            own = np.array(owner[lo : lo + 50_000])
+        for lo in range(0, len(words), 10_000):
+            part = words[lo : lo + 10_000]
+            own = np.array(owner[lo : lo + 10_000])
             bits = self.model.bits(part)
             for j in range(bits.shape[1]):
                 values[:, j] += np.bincount(own, bits[:, j], len(pieces))
