@@ -32,6 +32,12 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 BOILERPLATE = frozenset("head script style noscript template svg math iframe object canvas audio video nav header footer aside form button select textarea input label dialog menu".split())
 #: Words of a class or id that mark boilerplate.
 MARKS = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus respond replies share sharing social related recommended newsletter subscribe signup login widget pagination pager toolbar topbar skip".split())
+#: Marks that a layout element around the article may have, too.
+LAYOUT = frozenset("sidebar menu menus nav navbar navigation header footer masthead banner widget share sharing social toolbar topbar login subscribe signup".split())
+#: First words of a class that speaks of something beside the element.
+BESIDE = frozenset("with has no without is show hide".split())
+#: Marks of an article element that is not the page's own.
+FOREIGN = frozenset("ad ads advert advertisement sponsored promo comment replies related recommended hidden".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: A start tag on the left ends an open element on the right.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -42,22 +48,23 @@ SHARE = 0.8
 WORD = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 
 
-def marked(attrs: list[tuple[str, str | None]]) -> bool:
+def marks(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """The words of a start tag that mark boilerplate; ``with-sidebar`` and the like say what is beside, not what it is."""
+    found: set[str] = set()
     for name, value in attrs:
         if name in ("class", "id") and value:
-            if any(w.lower() in MARKS for w in WORD.findall(value)):
-                return True
+            for token in value.split():
+                words = [w.lower() for w in WORD.findall(token)]
+                if words and words[0] not in BESIDE:
+                    found |= MARKS.intersection(words)
         elif name == "role":
             if value and value.lower() in ROLES:
-                return True
-        elif name == "hidden":
-            return True
-        elif name == "aria-hidden":
-            if value == "true":
-                return True
+                found.add("role")
+        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+            found.add("hidden")
         elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            found.add("hidden")
+    return found
 
 
 class Lines(HTMLParser):
@@ -65,7 +72,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.open: list[tuple[str, int, set[str]]] = [("", 0, set())]
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.names: list[str] = [""]
         self.kinds: list[bool] = [False]
@@ -95,7 +102,13 @@ class Lines(HTMLParser):
         if tag not in VOID:
             known = len(self.names)
             self.names.append(tag)
-            out = self.open[-1][2] or tag in BOILERPLATE or (tag not in ("html", "body", "article", "main") and bool(attrs) and marked(attrs))
+            out = self.open[-1][2]
+            found = marks(attrs) if attrs else set()
+            if tag in ("article", "main"):
+                # an article inside a marked layout element is content all the same
+                out = (out if out - LAYOUT else set()) | (found & FOREIGN)
+            elif tag not in ("html", "body"):
+                out = out | found | ({f"<{tag}>"} if tag in BOILERPLATE else set())
             self.kinds.append(tag in ("article", "main") or any(n == "role" and v == "main" for n, v in attrs))
             self.open.append((tag, known, out))
 

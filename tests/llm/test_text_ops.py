@@ -141,6 +141,8 @@ PAGES = {
     "<main><article><h1>T</h1><p>Hello</p><table><tr><td>a</td><td>b</td></tr></table><form><p>x</p></form></article><aside>q</aside></main>": "T\nHello\na\nb",
     "<p>a</p><p>cut <a hre": "a\ncut",
     "plain": "plain",
+    '<body class="has-sidebar"><div class="layout with-sidebar"><div class="page sidebar-right"><article class="post comments-open"><h1>T</h1><p>one two three</article></div><div class="sidebar"><article><p>tease</article></div><section id="comments"><article class="comment"><p>nice words, many of them, really</article></section></div>': "T\none two three",
+    '<div class="notice"><p>n</p></div><div class="post"><p>a b c d e f g h i j</p><p>x</p></div><div class="related-posts"><p>r</p></div><div id="footer">f</div>': "a b c d e f g h i j\nx",
     "": "",
     "<nav><p>only a menu</p></nav>": "",
     "<article><p><b>one<br>two<p>&#233;&nbsp;x</article><footer>f</footer>": "one two\né x",
