@@ -92,9 +92,14 @@ def matched(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
+def token_similarity(left: Column, right: Column) -> Column:
+    """Weighted token overlap and letter ratio of two token lists; 0 if either is empty. Not symmetric."""
+    a, b = F.array_join(left, " "), F.array_join(right, " ")
+    return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(0.65 * overlap(left, right) + 0.35 * matched(a, b))
+
+
 def similarity(left: Column, right: Column) -> Column:
-    a, b = signature(left), signature(right)
-    return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(0.65 * overlap(tokens(left), tokens(right)) + 0.35 * matched(a, b))
+    return token_similarity(tokens(left), tokens(right))
 
 
 def search_query(company: Column, location: Column) -> Column:

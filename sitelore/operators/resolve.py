@@ -59,22 +59,33 @@ def merge_candidates(candidates: DataFrame) -> DataFrame:
     return best.select("company_id", "company", "location", "domain", "b.url", "b.source", "b.source_order", "b.title", "b.snippet", (F.col("b.source_score") + bonus).alias("source_score"), "source_count")
 
 
-def domain_similarity(company: Column, url: Column) -> Column:
-    label = F.lower(F.substring_index(urls.domain_key(url), ".", 1))
-    own, other = text.tokens(company), text.tokens(F.regexp_replace(label, "[-_]", " "))
+def domain_label(url: Column) -> Column:
+    """First label of a URL's registered domain, lower-cased."""
+    return F.lower(F.substring_index(urls.domain_key(url), ".", 1))
+
+
+def label_similarity(own: Column, label: Column) -> Column:
+    """1 if a domain label is the company's tokens written together, else the share of its tokens in the label."""
+    other = text.tokens(F.regexp_replace(label, "[-_]", " "))
     same = F.array_join(own, "") == F.regexp_replace(label, "[^a-z0-9]", "")
     return F.when((F.size(own) == 0) | (F.size(other) == 0), F.lit(0.0)).when(same, F.lit(1.0)).otherwise(text.overlap(own, other))
 
 
+def domain_similarity(company: Column, url: Column) -> Column:
+    return label_similarity(text.tokens(company), domain_label(url))
+
+
 def location_score(location: Column, evidence: Column) -> Column:
     return text.overlap(text.tokens(location), text.tokens(evidence))
 
 
 def top_candidates(candidates: DataFrame, limit: int = 12) -> DataFrame:
     """The first ``limit`` candidates of each company by (source score, domain, name), as pre_rank."""
-    ranked = candidates.withColumns({"__d": domain_similarity(F.col("company"), F.col("url")), "__n": text.similarity(F.col("company"), F.col("title"))})
+    # parts that several expressions read are columns of their own, which keeps the plan small
+    parts = candidates.withColumns({"__own": text.tokens(F.col("company")), "__label": domain_label(F.col("url")), "__title": text.tokens(F.col("title"))})
+    ranked = parts.withColumns({"__d": label_similarity(F.col("__own"), F.col("__label")), "__n": text.token_similarity(F.col("__own"), F.col("__title"))})
     order = Window.partitionBy("company_id").orderBy(F.desc("source_score"), F.desc("__d"), F.desc("__n"), "source_order", "url")
-    return ranked.withColumn("pre_rank", F.row_number().over(order)).where(F.col("pre_rank") <= limit).drop("__d", "__n")
+    return ranked.withColumn("pre_rank", F.row_number().over(order)).where(F.col("pre_rank") <= limit).drop("__d", "__n", "__own", "__label", "__title")
 
 
 def score(verified: DataFrame) -> DataFrame:
@@ -90,23 +101,25 @@ def score(verified: DataFrame) -> DataFrame:
     # the ratio is an Arrow function: all texts of a candidate are compared in one pass over an exploded, distinct list
     texts = F.array_distinct(F.concat(F.array(e("title"), e("snippet"), e("page_title"), e("description"), F.substring(e("text_sample"), 1, 2000)), names))
     pairs = verified.select("company_id", "url", "company", F.explode(texts).alias("t")).where("t <> ''")
-    name = pairs.withColumn("s", text.similarity(c("company"), c("t"))).groupBy("company_id", "url").agg(F.max("s").alias("name_score"))
+    pairs = pairs.withColumns({"__own": text.tokens(c("company")), "__other": text.tokens(c("t"))})
+    name = pairs.withColumn("s", text.token_similarity(c("__own"), c("__other"))).groupBy("company_id", "url").agg(F.max("s").alias("name_score"))
     v = verified.join(name, ["company_id", "url"], "left").withColumn("name_score", F.coalesce("name_score", F.lit(0.0)))
-    own = urls.domain_key(final)
-    same = lambda a: F.exists(F.coalesce(c(a), F.array().cast("array<string>")), lambda u: urls.domain_key(u) == own)
+    v = v.withColumn("__final", final).withColumns({"__domain": urls.domain_key(c("__final")), "__own": text.tokens(c("company")), "__place": text.tokens(c("location")), "__said": text.tokens(F.concat_ws(" ", e("title"), e("snippet"), e("page_title"), e("description"), e("text_sample"), e("structured_country")))})
+    v = v.withColumn("__label", F.lower(F.substring_index("__domain", ".", 1)))
+    same = lambda a: F.exists(F.coalesce(c(a), F.array().cast("array<string>")), lambda u: urls.domain_key(u) == c("__domain"))
     # a structured name counts only where it reads like a URL whose domain fits
-    likely = F.exists(names, lambda n: domain_similarity(c("company"), n) >= 0.75)
-    v = v.withColumns({"domain_score": domain_similarity(c("company"), final), "location_score": location_score(c("location"), F.concat_ws(" ", e("title"), e("snippet"), e("page_title"), e("description"), e("text_sample"), e("structured_country")))})
+    likely = F.exists(names, lambda n: label_similarity(c("__own"), domain_label(n)) >= 0.75)
+    v = v.withColumns({"domain_score": label_similarity(c("__own"), c("__label")), "location_score": text.overlap(c("__place"), c("__said"))})
     structured = F.when(likely, 0.06).otherwise(0.0) + F.when(same("structured_urls"), 0.04).otherwise(0.0) + F.when(same("structured_same_as"), 0.02).otherwise(0.0)
     source = F.greatest(c("source_score"), lookup(K.SOURCE_FLOORS, c("source"), 0.0))
     agreement = F.least(F.lit(0.12), F.greatest(F.lit(0), c("source_count") - 1) * 0.04)
     ok = F.coalesce("ok", F.lit(False))
     total = c("name_score") * 0.42 + c("domain_score") * 0.27 + c("location_score") * 0.11 + source + F.when(ok, 0.06).otherwise(0.0) + agreement + F.least(structured, F.lit(0.10))
-    for test, factor in ((directory(final), 0.25), (~ok, 0.75), (F.coalesce("parked", F.lit(False)), 0.2), ((c("domain_score") == 0) & (c("name_score") < 0.45), 0.55)):
+    for test, factor in ((directory(c("__final")), 0.25), (~ok, 0.75), (F.coalesce("parked", F.lit(False)), 0.2), ((c("domain_score") == 0) & (c("name_score") < 0.45), 0.55)):
         total = F.when(test, total * factor).otherwise(total)
     two = text.two_decimals
     reason = F.concat(F.lit("name="), two("name_score"), F.lit(", domain="), two("domain_score"), F.lit(", location="), two("location_score"), F.lit(", source="), c("source"), F.lit(", agreement="), c("source_count").cast("string"), F.when(c("structured") > 0, F.concat(F.lit(", structured="), two("structured"))).otherwise(""))
-    return v.withColumn("structured", structured).withColumns({"score": F.least(total, F.lit(0.99)), "reason": reason}).drop("structured")
+    return v.withColumn("structured", structured).withColumns({"score": F.least(total, F.lit(0.99)), "reason": reason}).drop("structured", "__final", "__domain", "__own", "__place", "__said", "__label")
 
 
 def matches(companies: DataFrame, scored: DataFrame, *, threshold: float = FOUND, reported: int = 5) -> DataFrame:
