@@ -140,11 +140,13 @@ def _varied(rng: np.random.Generator, lines: list[str], each: int) -> tuple[list
 
 
 def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", sample: int = 300, each: int = 12, seed: int = 9) -> Classifier:
-    """Fits on template variations and on lines of at most ``sample`` documents (those of the smallest id hashes), a documented bound.
+    """Fits on template variations and on lines of about ``sample`` documents (those of the smallest id hashes), a documented bound.
 
     Corpus lines that a template confirms are not used as ``unknown``. A quarter of both is held out for the threshold.
     """
-    chosen = docs.select(F.xxhash64(F.col(id).cast("string")).alias("h"), F.col(text).alias("text")).where("text is not null").orderBy("h", "text").limit(sample).collect()
+    rows = docs.select(F.xxhash64(F.col(id).cast("string")).alias("h"), F.col(text).alias("text")).where("text is not null")
+    # a share by hash: no partition sends more than its own part of the sample
+    chosen = sorted(rows.where(F.col("h") / F.lit(float(2**64)) + 0.5 < sample / max(1, rows.count())).collect())
     templates = Templates()
     rng = np.random.default_rng(seed)
     lines = sorted({line for r in chosen for line in r.text.split("\n") if line.strip()})
