@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import slices, small_batches
+from .common import cut, slices, small_batches
 
 BLOCK = 1024
 
@@ -46,6 +46,8 @@ def histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     """Rows (n_tokens, n_docs) and, for a limit of n_tokens: docs_within, tokens_within, docs_over, tokens_over, tokens_cut (total with longer documents cut at the limit) and share_within (the quantile of the limit)."""
     counts = lengths.groupBy(F.col(length).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
     counts = counts.withColumns({"block": F.floor(F.col("n_tokens") / BLOCK), "tokens": F.col("n_tokens") * F.col("n_docs")})
+    # one row for each length; cut, because the sums read it twice and the documents are encoded once
+    counts = cut(counts)
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     # one row for each 1024 lengths: at most a few thousand, whatever the number of documents
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
