@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Test items go to the executors in blocks of at most ``block_words`` words, so what is broadcast is
-bounded whatever the size of the benchmark; each block is one scan of the corpus. A first pass
-counts, over all documents, in how many of them each n-gram of a test item occurs. Seeds of an
-item are its n-grams that are in at most ``COMMON`` times as many documents as its median n-gram: an
-item that leaked into every document keeps its seeds, and a phrase that is common by itself is none. Where a
-seed occurs in a document, the stretch that the item would cover there is aligned with the item by local alignment over
-words (match 2, mismatch and gap -1). The score is the best sum over twice the number of the item's words; edits,
-insertions and cuts lower it. Words are compared without case and ASCII punctuation. Everything after the seed counts happens where the document is read; nothing but results moves.
+bounded whatever the size of the benchmark; each block is one scan of the corpus. Every n-gram of an item is a seed, however
+often it occurs, so results don't depend on the rest of the corpus. Where a
+seed occurs in a document, the item would cover a stretch there. A score of ``least`` needs that share of the item's words
+in the stretch; a stretch that has them is aligned with the item by local alignment over
+words (match 2, mismatch and gap -1), so a common phrase by itself costs a count of words. The score is the best sum over twice the number of the item's words; edits,
+insertions and cuts lower it. Words are compared without case and ASCII punctuation. Everything happens where the document is read; nothing but results moves.
 
 Cases: null and empty documents and items give nothing. An item of fewer than ``n`` words is looked for as a whole.
 Repeated items (same id) are one item for each text; repeated documents are matched one by one. An empty benchmark or
@@ -16,6 +15,8 @@ corpus gives an empty result. A document gives one row for each item, with the b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +26,6 @@ from pyspark.sql import types as T
 from . import grams
 from .common import broadcast_if_small, cut, slices, small_batches
 
-COMMON = 8
 BITS = 20
 
 
@@ -44,25 +44,13 @@ class Seeds:
                 g = grams.rolled(w, size)
                 entries.append(np.stack([g, np.full(len(g), size, np.uint64), np.full(len(g), k, np.uint64), np.arange(len(g), dtype=np.uint64)], 1))
         table = np.concatenate(entries) if entries else np.zeros((0, 4), np.uint64)
-        self._index(table[np.lexsort((table[:, 3], table[:, 2], table[:, 0]))])
-
-    def _index(self, table: np.ndarray) -> None:
-        self.table = table
+        self.table = table = table[np.lexsort((table[:, 3], table[:, 2], table[:, 0]))]
         self.hashes, self.first = np.unique(table[:, 0], return_index=True)
         self.last = np.append(self.first[1:], len(table))
         self.sizes = sorted({int(x) for x in table[:, 1]})
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[(self.hashes >> grams.U(64 - BITS)).astype(np.int64)] = True
 
-    def keep_rare(self, documents: np.ndarray) -> None:
-        """documents: in how many documents each n-gram is."""
-        of = documents[np.searchsorted(self.hashes, self.table[:, 0])]
-        keep = np.zeros(len(self.table), bool)
-        for k in np.unique(self.table[:, 2]):
-            own = np.flatnonzero(self.table[:, 2] == k)
-            keep[own] = of[own] <= COMMON * max(np.median(of[own]), 1)
-        self._index(self.table[keep])
-
     def hits(self, words: grams.Words) -> tuple[np.ndarray, np.ndarray]:
         """(word places, n-gram numbers) of all seeds in the texts; none runs over the edge of a text."""
         at, what = [], []
@@ -102,55 +90,75 @@ def align(stretch: np.ndarray, filled: np.ndarray, item: np.ndarray) -> tuple[np
     return best, where
 
 
-def _stretches(seeds: Seeds, words: grams.Words) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, first word, end word, seeds) of all stretches that some seed asks for; overlapping ones are one."""
+def _stretches(seeds: Seeds, words: grams.Words, entries: int = 2_000_000) -> Iterator[np.ndarray]:
+    """Rows (text, item, first word, end word, seeds) of all stretches that some seed asks for, in parts of whole texts; overlapping ones are one."""
     at, what = seeds.hits(words)
-    out: list[tuple[int, int, int, int, int]] = []
-    if not len(at):
-        return out
+    order = np.argsort(at, kind="stable")
+    at, what = at[order], what[order]
     count = (seeds.last - seeds.first)[what]
-    begin = np.repeat(seeds.first[what] - np.cumsum(count) + count, count)
-    entry = seeds.table[begin + np.arange(int(count.sum()))]
-    place = np.repeat(at, count)
-    item, offset = entry[:, 2].astype(np.int64), entry[:, 3].astype(np.int64)
-    text = np.searchsorted(words.first, place, side="right") - 1
-    length = np.fromiter(map(len, seeds.words), np.int64, len(seeds.words))[item]
+    text = np.searchsorted(words.first, at, side="right") - 1
+    length = np.fromiter(map(len, seeds.words), np.int64, len(seeds.words))
     room = np.maximum(4, length // 4)
-    lo = np.maximum(place - offset - room, words.first[text])
-    hi = np.minimum(place - offset + length + room, words.first[text + 1])
-    for i in np.lexsort((lo, item, text)):
-        key = (int(text[i]), int(item[i]))
-        if out and out[-1][:2] == key and lo[i] <= out[-1][3]:
-            out[-1] = (*key, out[-1][2], max(out[-1][3], int(hi[i])), out[-1][4] + 1)
-        else:
-            out.append((*key, int(lo[i]), int(hi[i]), 1))
-    return out
-
-
-def _scored(seeds: Seeds, words: grams.Words, cells: int = 2_000_000) -> dict[tuple[int, int], tuple[float, int, int, int]]:
-    """(text, item) -> best (score, seeds, first word, end word) in that text."""
+    edges = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(at))
+    before = np.append(0, np.cumsum(count))
+    lo = 0
+    while lo < len(edges) - 1:
+        hi = max(lo + 1, int(np.searchsorted(before[edges], before[edges[lo]] + entries, side="right")) - 1)
+        part, lo = slice(edges[lo], edges[hi]), hi
+        n = count[part]
+        entry = seeds.table[np.repeat(seeds.first[what[part]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        item, t = entry[:, 2].astype(np.int64), np.repeat(text[part], n)
+        start = np.repeat(at[part], n) - entry[:, 3].astype(np.int64)
+        first = np.maximum(start - room[item], words.first[t])
+        end = np.minimum(start + length[item] + room[item], words.first[t + 1])
+        by = np.lexsort((end, first, item, t))
+        t, item, first, end = t[by], item[by], first[by], end[by]
+        # stretches of one item are equally long but for the edges of the text, so ends are in order, too
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (item[1:] != item[:-1]) | (first[1:] > end[:-1])
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(t)) - 1
+        yield np.stack([t[begin], item[begin], first[begin], end[last], last - begin + 1], 1)
+
+
+def _enough(stretch: np.ndarray, filled: np.ndarray, item: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows of padded stretches share so many words with the item that they can score ``least``: 2 for each shared word is the most."""
+    known, count = np.unique(item, return_counts=True)
+    row = np.minimum(np.searchsorted(known, stretch), len(known) - 1)
+    shared = (known[row] == stretch) & filled
+    has = np.zeros((len(stretch), len(known)), bool)
+    has[np.nonzero(shared)[0], row[shared]] = True
+    return np.minimum(shared.sum(1), has @ count) / len(item) >= least - 1e-9
+
+
+def _scored(seeds: Seeds, words: grams.Words, least: float, cells: int = 2_000_000) -> dict[tuple[int, int], tuple[float, int, int, int]]:
+    """(text, item) -> best (score, seeds, first word, end word) in that text, of all that score ``least``."""
     found: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-    by_item: dict[int, list] = {}
-    for s in _stretches(seeds, words):
-        by_item.setdefault(s[1], []).append(s)
-    for k, all_ in by_item.items():
-        item = seeds.words[k]
-        all_.sort(key=lambda s: s[3] - s[2])
-        at = 0
-        while at < len(all_):
-            end = at + 1
-            while end < len(all_) and (end - at + 1) * (all_[end][3] - all_[end][2]) <= cells:
-                end += 1
-            part, at = all_[at:end], end
-            width = part[-1][3] - part[-1][2]
-            place = np.arange(width) + np.array([s[2] for s in part])[:, None]
-            filled = place < np.array([s[3] for s in part])[:, None]
-            best, where = align(words.hashes[np.minimum(place, len(words.hashes) - 1)], filled, item)
-            for s, b, w in zip(part, best.tolist(), where.tolist()):
-                first = int(words.first[s[0]])
-                got = (b / (2 * len(item)), s[4], s[2] - first, s[2] + w - first)
-                if got > found.get(s[:2], (-1.0,)):
-                    found[s[:2]] = got
+    for stretches in _stretches(seeds, words):
+        wide = stretches[:, 3] - stretches[:, 2]
+        stretches = stretches[np.lexsort((wide, stretches[:, 1]))]
+        for all_ in np.split(stretches, np.flatnonzero(np.diff(stretches[:, 1])) + 1):
+            if not len(all_):
+                continue
+            item = seeds.words[int(all_[0, 1])]
+            at = 0
+            while at < len(all_):
+                # rows of like width, up to ``cells`` places
+                size = np.arange(1, len(all_) - at + 1) * (all_[at:, 3] - all_[at:, 2])
+                part = all_[at : at + max(1, int(np.searchsorted(size, cells, side="right")))]
+                at += len(part)
+                place = np.arange(int(part[-1, 3] - part[-1, 2])) + part[:, 2:3]
+                filled = place < part[:, 3:4]
+                stretch = words.hashes[np.minimum(place, len(words.hashes) - 1)]
+                ok = _enough(stretch, filled, item, least)
+                if not ok.any():
+                    continue
+                best, where = align(stretch[ok], filled[ok], item)
+                for (t, k, lo, _, n), b, w in zip(part[ok].tolist(), best.tolist(), where.tolist()):
+                    first = int(words.first[t])
+                    got = (b / (2 * len(item)), n, lo - first, lo + w - first)
+                    if got[0] >= least and got > found.get((t, k), (-1.0,)):
+                        found[t, k] = got
     return found
 
 
@@ -174,31 +182,12 @@ def matches(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str
         seeds = Seeds(block, n)
         shared = spark.sparkContext.broadcast(seeds)
 
-        def count(batches, shared=shared):
+        def score(batches, shared=shared):
             seeds = shared.value
-            total = np.zeros(len(seeds.hashes), np.int64)
-            for batch in batches:
-                for _, texts in slices(batch, "__text", 1_000_000):
-                    words = grams.Words(texts, bare=True)
-                    at, what = seeds.hits(words)
-                    doc = np.searchsorted(words.first, at, side="right") - 1
-                    total += np.bincount(np.unique(doc * max(len(total), 1) + what) % max(len(total), 1), minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["seed", "n"])
-
-        documents = np.zeros(len(seeds.hashes), np.int64)
-        if len(documents):
-            for r in rows.select("__text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-                documents[r.seed] = r.n
-        seeds.keep_rare(documents)
-        rare = spark.sparkContext.broadcast(seeds)
-
-        def score(batches, rare=rare):
-            seeds = rare.value
             for batch in batches:
                 ids = batch.column(0)
                 for start, texts in slices(batch, "__text", 1_000_000):
-                    found = sorted((k, v) for k, v in _scored(seeds, grams.Words(texts, bare=True)).items() if v[0] >= least)
+                    found = sorted(_scored(seeds, grams.Words(texts, bare=True), least).items())
                     own = ids.take(pa.array([start + t for (t, _), _ in found], pa.int64()))
                     named = pa.array([seeds.ids[i] for (_, i), _ in found], schema_item)
                     yield pa.RecordBatch.from_arrays([own, named, *(pa.array([v[c] for _, v in found], kind) for c, kind in enumerate((pa.float64(), pa.int64(), pa.int64(), pa.int64())))], names=schema.names)
