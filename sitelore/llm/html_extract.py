@@ -7,6 +7,10 @@ content: the innermost element with ``SHARE`` of the clusters' text, where an ar
 that holds text is preferred. All lines of the region belong to the text, short ones too; boilerplate elements (menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts, styles, hidden parts) never do, wherever they stand.
 
+A form, or a class or id that marks boilerplate, may be around the whole page. Such an element is judged by the text beneath it: it
+is a wrapper, and its mark doesn't count, if the heaviest article or main element is in it and no more text is unmarked, or if it holds
+``SHARE`` of the clusters' text with the headline, or on a page without headline, article and main with all that is in clusters. Hidden parts, comments and elements that are never content aren't judged.
+
 Cases: null and empty pages and pages without content give an empty text. Cut-off pages end all open elements; a
 tag that is cut off is no text. Character references are decoded; white space within a line, and a line break element, is one
 space. Repeated pages are read one by one. Other columns are carried along; own columns named text or n_chars are replaced.
@@ -32,10 +36,12 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 BOILERPLATE = frozenset("head script style noscript template svg math iframe object canvas audio video nav header footer aside form button select textarea input label dialog menu".split())
 #: Words of a class or id that mark boilerplate.
 MARKS = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus respond replies share sharing social related recommended newsletter subscribe signup login widget pagination pager toolbar topbar skip".split())
-#: Marks that a layout element around the article may have, too.
-LAYOUT = frozenset("sidebar menu menus nav navbar navigation header footer masthead banner widget share sharing social toolbar topbar login subscribe signup".split())
+#: Marks that no share of the text outweighs.
+SURE = frozenset("comment comments disqus respond replies role hidden".split())
 #: First words of a class that speaks of something beside the element.
 BESIDE = frozenset("with has no without is show hide".split())
+#: Last words of a class that speaks of a state of the page.
+STATES = frozenset("open opened closed free accepted enabled disabled on off active inactive ready".split())
 #: Marks of an article element that is not the page's own.
 FOREIGN = frozenset("ad ads advert advertisement sponsored promo comment replies related recommended hidden".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -49,17 +55,18 @@ WORD = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 
 
 def marks(attrs: list[tuple[str, str | None]]) -> set[str]:
-    """The words of a start tag that mark boilerplate; ``with-sidebar`` and the like say what is beside, not what it is."""
+    """The words of a start tag that mark boilerplate; ``with-sidebar`` and the like say what is beside, not what it is. Those of a state have a ``~``."""
     found: set[str] = set()
     for name, value in attrs:
         if name in ("class", "id") and value:
             for token in value.split():
                 words = [w.lower() for w in WORD.findall(token)]
                 if words and words[0] not in BESIDE:
-                    found |= MARKS.intersection(words)
+                    own = MARKS.intersection(words)
+                    found |= {f"~{w}" for w in own} if words[-1] in STATES else own
         elif name == "role":
             if value and value.lower() in ROLES:
-                found.add("role")
+                found.add("~form" if value.lower() == "form" else "role")
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             found.add("hidden")
         elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -68,23 +75,23 @@ def marks(attrs: list[tuple[str, str | None]]) -> set[str]:
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page: (text, tags, elements around it, any of them boilerplate)."""
+    """Collects the lines of a page: (pieces of text, each with the doubtful elements around it; tags; elements around the line)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, set[str]]] = [("", 0, set())]
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        # name, number, whether it is surely boilerplate, doubtful elements around
+        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = [("", 0, False, ())]
+        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
         self.names: list[str] = [""]
-        self.kinds: list[bool] = [False]
-        self.part: list[str] = []
+        #: article and main elements with the doubtful ones around them
+        self.kinds: dict[int, tuple[int, ...]] = {}
+        self.part: list[tuple[str, tuple[int, ...]]] = []
         self.tags = 0
 
     def line(self) -> None:
         if self.part:
-            text = " ".join("".join(self.part).split())
+            self.lines.append((self.part, self.tags, tuple(x[1] for x in self.open)))
             self.part = []
-            if text and not self.open[-1][2]:
-                self.lines.append((text, self.tags, tuple(i for _, i, _ in self.open)))
         self.tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -98,19 +105,21 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.line()
         elif tag == "br":
-            self.part.append(" ")
+            self.part.append((" ", self.open[-1][3]))
         if tag not in VOID:
             known = len(self.names)
             self.names.append(tag)
-            out = self.open[-1][2]
+            _, _, out, doubt = self.open[-1]
             found = marks(attrs) if attrs else set()
             if tag in ("article", "main"):
-                # an article inside a marked layout element is content all the same
-                out = (out if out - LAYOUT else set()) | (found & FOREIGN)
+                out = out or bool(found & FOREIGN)
             elif tag not in ("html", "body"):
-                out = out | found | ({f"<{tag}>"} if tag in BOILERPLATE else set())
-            self.kinds.append(tag in ("article", "main") or any(n == "role" and v == "main" for n, v in attrs))
-            self.open.append((tag, known, out))
+                out = out or bool(found & SURE) or (tag in BOILERPLATE and tag != "form")
+                if found - SURE or tag == "form":
+                    doubt = (*doubt, known)
+            if not out and (tag in ("article", "main") or any(n == "role" and v == "main" for n, v in attrs)):
+                self.kinds[known] = doubt
+            self.open.append((tag, known, out, doubt))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -142,7 +151,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.open[-1][2]:
-            self.part.append(data)
+            self.part.append((data, self.open[-1][3]))
 
 
 def smooth(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -152,6 +161,42 @@ def smooth(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return around / np.convolve(np.ones(len(ratio)), kernel, "full")[reach : reach + len(ratio)]
 
 
+def _texts(page: Lines, wrappers: set[int] | None) -> list[tuple[str, int, tuple[int, ...], bool]]:
+    """The lines as (text, tags, elements around, any doubtful element), without what is in doubtful elements other than ``wrappers``; None: with all."""
+    out = []
+    for part, tags, around in page.lines:
+        kept = part if wrappers is None else [x for x in part if wrappers.issuperset(x[1])]
+        text = " ".join("".join(t for t, _ in kept).split())
+        if text:
+            out.append((text, tags, around, any(d for t, d in kept if t.strip())))
+    return out
+
+
+def _clusters(lines: list) -> np.ndarray:
+    """Whether a line belongs to a cluster."""
+    ratio = np.array([len(x[0]) for x in lines], float) / np.array([max(1, x[1]) for x in lines], float)
+    return smooth(ratio) >= min(float(ratio.std()), float(ratio.mean()))
+
+
+def _wrappers(page: Lines) -> set[int]:
+    """The doubtful elements that are around the page's content."""
+    lines = _texts(page, None)
+    if not any(x[3] for x in lines):
+        return set()
+    weight: dict[int, int] = {}
+    plain = 0
+    for (text, _, around, doubtful), yes in zip(lines, _clusters(lines)):
+        if yes:
+            plain += 0 if doubtful else len(text)
+            for i in around:
+                weight[i] = weight.get(i, 0) + len(text)
+    headed = {i for _, _, around, _ in lines if any(page.names[k] == "h1" for k in around) for i in around}
+    lead = max((i for i in page.kinds if i in weight), key=lambda i: (weight[i], -i), default=None)
+    found = set(page.kinds[lead]) if lead is not None and weight[lead] >= plain else set()
+    doubted = {i for part, _, _ in page.lines for _, doubt in part for i in doubt}
+    return found | {i for i in doubted if weight.get(i, 0) >= SHARE * weight.get(0, 0) > 0 and (i in headed or not (plain or headed or page.kinds))}
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -161,20 +206,16 @@ def main_text(html: str | None) -> str:
     if page.rawdata and not page.rawdata.startswith("<"):
         page.close()
     page.line()
-    lines = page.lines
+    lines = _texts(page, _wrappers(page))
     if not lines:
         return ""
-    size = np.array([len(t) for t, _, _ in lines], float)
-    ratio = size / np.array([max(1, n) for _, n, _ in lines], float)
-    smoothed = smooth(ratio)
-    content = smoothed >= min(float(ratio.std()), float(ratio.mean()))
-    weight: dict[int, float] = {}
-    for (_, _, around), s, yes in zip(lines, size, content):
+    weight: dict[int, int] = {}
+    for (text, _, around, _), yes in zip(lines, _clusters(lines)):
         if yes:
             for i in around:
-                weight[i] = weight.get(i, 0.0) + s
-    total = weight.get(0, 0.0)
-    named = [i for i in weight if page.kinds[i]]
+                weight[i] = weight.get(i, 0) + len(text)
+    total = weight.get(0, 0)
+    named = [i for i in weight if i in page.kinds]
     if named:
         # the article with most content text; of equal ones the outermost, so that nothing beside an inner part is lost
         region = max(named, key=lambda i: (weight[i], -i))
@@ -183,7 +224,7 @@ def main_text(html: str | None) -> str:
     else:
         # elements are numbered in page order, so an inner one has a larger number
         region = max(i for i, w in weight.items() if w >= SHARE * total and (page.names[i] in WALLS or i == 0))
-    return "\n".join(t for t, _, around in lines if region in around)
+    return "\n".join(x[0] for x in lines if region in x[2])
 
 
 def extract(pages: DataFrame, *, html: str = "html") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from sitelore.llm import decontam
+from sitelore.llm import decontam, html_extract
 
 
 def test_edited_copies_are_found_however_often_they_occur(spark):
@@ -17,3 +17,22 @@ def test_edited_copies_are_found_however_often_they_occur(spark):
     got = {r.doc_id: r.score for r in decontam.matches(docs, bench).collect()}
     assert set(got) == set(range(41)) and got[0] == 1.0 and len(set(got.values())) == 2
     assert decontam.matches(docs.where("doc_id = 7"), bench).first().score == got[7]
+
+
+LONG = "words of the article that go on for long enough to be content, as they do in a page that is read"
+
+
+def test_html_marks_around_a_whole_page():
+    p = [f"{LONG} {k}" for k in range(4)]
+    body = "<h1>Head</h1>" + "".join(f"<p>{x}</p>" for x in p)
+    side = '<div class="sidebar"><article><p>tease</article></div><form><p>Search</p></form><div class="comments"><p>%s</div>' % (LONG * 9)
+    want = "\n".join(["Head", *p])
+    for mark in ("content ad-free", "page cookie-accepted", "layout comments-open", "related", "modal", "skip"):
+        for inner in (body, f"<article>{body}</article>", f"<main>{body}</main>"):
+            assert html_extract.main_text(f'<body><div class="{mark}">{inner}{side}</div></body>') == want, (mark, inner)
+            assert html_extract.main_text(f'<body><form action=x><div class="{mark}">{inner}</div>{side}</form></body>') == want, (mark, inner)
+    # what is no wrapper stays out, however long it is
+    notice = f'<div class="cookie"><p>{LONG * 30}</p></div>'
+    assert html_extract.main_text(f"<body>{notice}<div>{body}</div></body>") == want
+    assert html_extract.main_text(f'<body><div hidden>{body}</div><section id="comments"><article>{body}</article></section></body>') == ""
+    assert html_extract.main_text(f'<div class="ad">{LONG}</div><article><h1>Short.</h1><p><b>Short.<br></article>') == "Short.\nShort."
