@@ -3,8 +3,7 @@
 A page is read once as events. Text between two block boundaries is a line; each line has its text-to-tag
 ratio, the number of its characters over the number of tags in it. The ratios are smoothed with a Gaussian, lines at or
 above a threshold (a share of the ratios' standard deviation, at most their mean) form the clusters, and the page region that holds them is the
-content: the innermost element with ``SHARE`` of the clusters' text, where an article or main element
-that holds text is preferred. All lines of the region belong to the text, short ones too; boilerplate elements (menus, headers, footers,
+content: the smallest container around all clusters and the headline (h1), whatever its tag. All lines of the region belong to the text, short ones too; boilerplate elements (menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts, styles, hidden parts) never do, wherever they stand.
 
 A form, or a class or id that marks boilerplate, may be around the whole page. Such an element is judged by the text beneath it: it
@@ -34,6 +33,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements that are never content.
 BOILERPLATE = frozenset("head script style noscript template svg math iframe object canvas audio video nav header footer aside form button select textarea input label dialog menu".split())
+#: Elements that hold a region.
+CONTAINER = frozenset("html body main article section div form".split())
 #: Words of a class or id that mark boilerplate.
 MARKS = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus respond replies share sharing social related recommended newsletter subscribe signup login widget pagination pager toolbar topbar skip".split())
 #: Marks that no share of the text outweighs.
@@ -209,21 +210,10 @@ def main_text(html: str | None) -> str:
     lines = _texts(page, _wrappers(page))
     if not lines:
         return ""
-    weight: dict[int, int] = {}
-    for (text, _, around, _), yes in zip(lines, _clusters(lines)):
-        if yes:
-            for i in around:
-                weight[i] = weight.get(i, 0) + len(text)
-    total = weight.get(0, 0)
-    named = [i for i in weight if i in page.kinds]
-    if named:
-        # the article with most content text; of equal ones the outermost, so that nothing beside an inner part is lost
-        region = max(named, key=lambda i: (weight[i], -i))
-        inner = [i for i in named if weight[i] >= SHARE * weight[region] and page.names[i] == "article"]
-        region = min(inner, default=region)
-    else:
-        # elements are numbered in page order, so an inner one has a larger number
-        region = max(i for i, w in weight.items() if w >= SHARE * total and (page.names[i] in WALLS or i == 0))
+    paths = [around for (_, _, around, _), yes in zip(lines, _clusters(lines)) if yes or any(page.names[i] == "h1" for i in around)]
+    # the elements around all of them; of these the innermost that can hold a region
+    shared = [a for a, *rest in zip(*paths) if all(a == b for b in rest)]
+    region = next(i for i in reversed(shared) if page.names[i] in CONTAINER or i == 0)
     return "\n".join(x[0] for x in lines if region in x[2])
 
 

@@ -22,6 +22,19 @@ def test_edited_copies_are_found_however_often_they_occur(spark):
 LONG = "words of the article that go on for long enough to be content, as they do in a page that is read"
 
 
+def test_html_keeps_all_parts_of_an_article():
+    def text(html):
+        return html_extract.main_text(html).split("\n")
+
+    p = [f"{LONG} {k}" for k in range(6)]
+    assert text("<body><article><p>%s</article><article><p>%s<p>%s</article></body>" % tuple(p[:3])) == p[:3]
+    assert text("<main><article>" + "".join(f"<p>{x}" for x in p[:5]) + f"</article><p>{p[5]}</main>") == p
+    items = "".join(f"<li>{x}</li>" for x in p[1:5] * 5)
+    assert text(f"<div><h1>Head</h1><p>{p[0]}</p><ol>{items}</ol><p>{p[5]}</p></div>") == ["Head", p[0], *p[1:5] * 5, p[5]]
+    assert text(f"<div><div><p>{p[0]}</div><div>" + "".join(f"<p>{x}" for x in p[1:]) + "</div></div>") == p
+    assert text(f"<nav><p>{p[0]}</nav><div><p>{p[1]}<p>{p[2]}</div><footer>{p[3]}</footer>") == p[1:3]
+
+
 def test_html_marks_around_a_whole_page():
     p = [f"{LONG} {k}" for k in range(4)]
     body = "<h1>Head</h1>" + "".join(f"<p>{x}</p>" for x in p)
