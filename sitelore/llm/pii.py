@@ -10,12 +10,14 @@ Kinds: card (13 to 19 digits, Luhn; the first digit stays), iban (mod 97; countr
 2099), email (letters and digits of the local part; domain stays), secret (hexadecimal or letters-and-digits value of a key, token, secret or password).
 
 Cases: null texts stay null, empty ones empty. What fails validation stays as it is. Values are found left to right and don't
-overlap. Whole texts are read, whatever their length. Repeated rows get equal results. Other columns are carried along;
+overlap. In a run of digit groups a card is the longest valid span of whole groups, so a code or date beside it doesn't hide it. In a run of several groups a
+pseudonym that would be read in another way beside its neighbours is permuted again, so that it can be recovered; only there can equal values get other pseudonyms. Whole texts are read, whatever their length. Repeated rows get equal results. Other columns are carried along;
 an own column named pii is replaced. The key is a parameter and is never stored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from datetime import date
@@ -32,11 +34,15 @@ NUMBERS = re.compile(
     | (?P<date>(?:19|20)\d\d([-/.])\d{1,2}\3\d{1,2}|\d{1,2}([-/.])\d{1,2}\4(?:19|20)\d\d)(?![\d/-])
     | (?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)
     | (?P<ssn>\d{3}-\d\d-\d{4})(?![\d-])
-    | (?P<card>\d(?:[ -]?\d){12,18})(?![\d-])
+    | (?P<card>\d(?:[ -]?\d){12,}+)
     | (?P<phone>\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d|[.-]\d)
     )""",
     re.X,
 )
+#: No value in a run of digit groups has more characters.
+REACH = 60
+#: What stands between the cards of a run of digit groups.
+BESIDE = re.compile(re.sub(r"\n.*\(\?P<card>.*", "", NUMBERS.pattern), re.X)
 EMAIL = re.compile(r"(?<![\w.+%-])(?P<email>[\w.+%-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24})(?!\w)")
 SECRET = re.compile(r"""(?i:\b(?:api[_-]?key|access[_-]?key|key|token|secret|passw(?:or)?d|pwd))["']?\s{0,3}[:=]\s{0,3}["']?(?P<secret>[A-Za-z0-9]{16,128})(?![A-Za-z0-9])""")
 #: Characters without which a text holds nothing for a pattern.
@@ -194,6 +200,60 @@ class Pseudonyms:
                 out.append(c)
         return "".join(reversed(out))
 
+    def _cards(self, run: str, after: str) -> list[tuple[int, int, str]]:
+        """The cards in a run of digit groups: from the left, the longest valid span of whole groups; ``after`` follows the run."""
+        groups = [m.span() for m in re.finditer(r"\d+", run)]
+        found, i = [], 0
+        while i < len(groups):
+            lo, ends, size = groups[i][0], [], 0
+            for j in range(i, len(groups)):
+                size += groups[j][1] - groups[j][0]
+                if size > 19:
+                    break
+                if size > 12:
+                    ends.append(j)
+            for j in reversed(ends):
+                hi = groups[j][1]
+                # beside a hyphen only what is itself separated in one way, and nothing at the run's end
+                apart = run[:lo][-1:] != "-" and (run + after)[hi : hi + 1] != "-"
+                alike = len(set(re.sub(r"\d", "", run[lo:hi]))) < 2 and not (hi == len(run) and after[:1] == "-")
+                if (apart or alike) and self.value("card", run[lo:hi]):
+                    found.append((lo, hi, "card"))
+                    i = j
+                    break
+            i += 1
+        return found
+
+    def _read(self, run: str, after: str) -> list[tuple[int, int, str]]:
+        """All values in a run of digit groups."""
+        cards = self._cards(run, after)
+        found, at = list(cards), 0
+        for lo, hi, _ in [*cards, (len(run), 0, "")]:
+            for m in BESIDE.finditer(run + after if lo == len(run) else run, at, len(run + after) if lo == len(run) else lo):
+                kind = next(k for k in ("iban", "date", "ip", "ssn", "phone") if m[k])
+                if m.end(kind) <= lo and self.value(kind, m[kind]) is not None:
+                    found.append((*m.span(kind), kind))
+            at = hi
+        return sorted(found)
+
+    def _run(self, run: str, after: str, back: bool) -> list[tuple[int, int, str, str]]:
+        """The values in a run of digit groups with their pseudonyms; the run with pseudonyms reads as the run itself."""
+        spans = self._read(run, after)
+        starts, ends, new = [x[0] for x in spans], [x[1] for x in spans], list(run)
+        # one by one and backwards in the other order, so that each has the same neighbours both ways
+        for lo, hi, kind in reversed(spans) if back else spans:
+            # what is read farther away than the longest value doesn't depend on this one
+            i, j = bisect.bisect_right(ends, lo - REACH), bisect.bisect_left(starts, hi + REACH)
+            a, b = ends[i - 1] if i else 0, starts[j] if j < len(starts) else len(run)
+            near, rest = [(x - a, y - a, k) for x, y, k in spans[i:j]], "".join(new[b : b + REACH]) + (after if b + REACH > len(run) else "")
+            value = "".join(new[lo:hi])
+            while True:
+                value = self.value(kind, value, back)
+                new[lo:hi] = value
+                if self._read("".join(new[a:b]), rest) == near:
+                    break
+        return [(lo, hi, kind, "".join(new[lo:hi])) for lo, hi, kind in spans]
+
     def text(self, text: str, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each in it, in code points."""
         spans: list[tuple[int, int, str]] = []
@@ -208,13 +268,17 @@ class Pseudonyms:
         for lo, hi, kind in sorted(spans):
             if lo < at:
                 continue
-            new = self.value(kind, text[lo:hi], back)
-            if new is not None:
-                out += [text[at:lo], new]
-                size += lo - at
-                found.append((kind, size, size + len(new)))
-                size += len(new)
-                at = hi
+            if kind == "card":
+                values = [(lo + a, lo + b, k, new) for a, b, k, new in self._run(text[lo:hi], text[hi : hi + 2], back)]
+            else:
+                values = [(lo, hi, kind, self.value(kind, text[lo:hi], back))]
+            for a, b, k, new in values:
+                if new is not None:
+                    out += [text[at:a], new]
+                    size += a - at
+                    found.append((k, size, size + len(new)))
+                    size += len(new)
+                    at = b
         out.append(text[at:])
         return "".join(out), found
 

@@ -2,7 +2,7 @@
 
 import random
 
-from sitelore.llm import decontam, html_extract
+from sitelore.llm import decontam, html_extract, pii
 
 
 def test_edited_copies_are_found_however_often_they_occur(spark):
@@ -49,3 +49,18 @@ def test_html_marks_around_a_whole_page():
     assert html_extract.main_text(f"<body>{notice}<div>{body}</div></body>") == want
     assert html_extract.main_text(f'<body><div hidden>{body}</div><section id="comments"><article>{body}</article></section></body>') == ""
     assert html_extract.main_text(f'<div class="ad">{LONG}</div><article><h1>Short.</h1><p><b>Short.<br></article>') == "Short.\nShort."
+
+
+def test_cards_beside_other_numbers():
+    made, rng = pii.Pseudonyms(b"k"), random.Random(4)
+    for _ in range(300):
+        plain = f"4{rng.randrange(10**14):014d}"
+        plain += str(-pii.luhn(plain + "0") % 10)
+        four = [plain[i : i + 4] for i in range(0, 16, 4)]
+        for card in (plain, " ".join(four), "-".join(four)):
+            for text in (f"{card} {rng.randrange(1000):03d}", f"{card} 12/27", f"{card} 99 items", f"12 {card}", f"pay 7 {card} 1234 5678", f"{card}-{rng.randrange(1000):03d}", f"415-555-1234 {card} {card}"):
+                new, found = made.text(text)
+                assert card not in new and "card" in {k for k, _, _ in found}, text
+                assert len(new) == len(text) and made.text(new, True)[0] == text
+    assert made.text("4111 1111 1111 1112 12")[0] == "4111 1111 1111 1112 12"
+    assert [k for k, _, _ in made.text("415-555-1234 415-555-9999")[1]] == ["phone", "phone"]
