@@ -8,8 +8,8 @@ and no held-out distractor is taken for a licence. A prediction counts only when
 of the template's word pairs stand in the paragraph. That test is also made first, for all templates at once and by a bit table, so the
 classifier reads only paragraphs that some template could confirm; no result depends on that order.
 
-Cases: null and empty documents have no paragraphs. Repeated rows give repeated results. A paragraph gives one row at most, that of
-its best window. Other columns are ignored.
+Cases: null and empty documents have no paragraphs. Repeated rows give repeated results. A paragraph gives a row for each notice in it, the
+best window first: its word pairs are taken by it, and what another notice is confirmed by must stand elsewhere. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from . import grams
 from .common import slices, small_batches
 
+GAP = 4
 UNKNOWN = "unknown"
 #: Short notices by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -76,9 +77,9 @@ class Templates:
         at = np.minimum(np.searchsorted(self.all, pairs[maybe]), len(self.all) - 1)
         return maybe[self.all[at] == pairs[maybe]]
 
-    def similarity(self, words: np.ndarray) -> dict[str, float]:
-        """Family -> best share of a template's pairs that stand in the words."""
-        own = np.unique(grams.rolled(words, 2))
+    def similarity(self, words: np.ndarray, free: np.ndarray | slice = slice(None)) -> dict[str, float]:
+        """Family -> best share of a template's pairs that stand in the words, at the ``free`` places."""
+        own = np.unique(grams.rolled(words, 2)[free])
         out: dict[str, float] = {}
         for family, pairs in self.pairs:
             share = float(np.isin(pairs, own, assume_unique=True).mean())
@@ -87,6 +88,16 @@ class Templates:
         return out
 
 
+    def notice(self, words: np.ndarray, free: np.ndarray, family: str, lo: int, hi: int) -> tuple[int, int]:
+        """First and end place of the pairs of the family's templates around those of the best one from ``lo`` to ``hi``, without gaps of more than ``GAP`` places."""
+        own = grams.rolled(words, 2)
+        best = max((p for f, p in self.pairs if f == family), key=lambda p: np.isin(p, own[lo:hi][free[lo:hi]]).mean())
+        places = np.flatnonzero(np.isin(own, np.concatenate([p for f, p in self.pairs if f == family])) & free)
+        runs = np.split(places, np.flatnonzero(np.diff(places) > GAP) + 1)
+        run = max(runs, key=lambda r: int(np.isin(best, own[r[(r >= lo) & (r < hi)]]).sum()))
+        return int(run[0]), int(run[-1]) + 1
+
+
 class Classifier:
     def __init__(self):
         self.weights = np.zeros((1 << FEATURES, len(CLASSES)), np.float32)
@@ -192,20 +203,34 @@ def paragraphs(texts: list[str], model: Classifier, templates: Templates) -> lis
                 for lo in range(a, b, WINDOW // 2):
                     if ((own >= lo) & (own < lo + WINDOW)).sum() >= templates.fewest:
                         spans.append((int(k), lo, min(lo + WINDOW, b)))
-    best: dict[int, tuple[float, int, str, float]] = {}
     p = model.probabilities([columns(ngrams(words.hashes[a:b])) for _, a, b in spans])
+    lines: dict[int, list[tuple[int, int, float, str]]] = {}
     for (k, a, b), row in zip(spans, p):
-        j = int(row[1:].argmax()) + 1
-        if 1 - row[0] < model.threshold:
-            continue
-        alike = templates.similarity(words.hashes[a:b])
-        # the template has the last word between families that share most of their notice
-        family = max(alike, key=lambda f: (alike[f], f == CLASSES[j], f), default=UNKNOWN)
-        if alike.get(CLASSES[j], 0.0) >= alike.get(family, 0.0) - 1e-9:
-            family = CLASSES[j]
-        if alike.get(family, 0.0) >= CONFIRM and (k not in best or alike[family] > best[k][3]):
-            best[k] = (float(1 - row[0]), a - int(words.first[k]), family, alike[family])
-    return [(*owner[k], first, family, prob, alike) for k, (prob, first, family, alike) in sorted(best.items())]
+        if 1 - row[0] >= model.threshold:
+            lines.setdefault(k, []).append((a, b, float(1 - row[0]), CLASSES[int(row[1:].argmax()) + 1]))
+    free = np.ones(len(words.hashes), bool)
+    out = []
+    for k, windows in sorted(lines.items()):
+        first, found = int(words.first[k]), []
+        alike = [templates.similarity(words.hashes[a:b]) for a, b, _, _ in windows]
+        while True:
+            # the template has the last word between families that share most of their notice
+            named = [max(x, key=lambda f: (x[f], f == w[3], f), default=UNKNOWN) for x, w in zip(alike, windows)]
+            named = [w[3] if x.get(w[3], 0.0) >= x.get(f, 0.0) - 1e-9 else f for f, x, w in zip(named, alike, windows)]
+            i = max(range(len(windows)), key=lambda i: alike[i].get(named[i], 0.0))
+            a, b, prob, _ = windows[i]
+            if alike[i].get(named[i], 0.0) < CONFIRM:
+                break
+            found.append((*owner[k], a - first, named[i], prob, alike[i][named[i]]))
+            # a notice may go on beyond its window
+            lo, hi, a, b = a, b, max(first, a - WINDOW), min(int(words.first[k + 1]), b + WINDOW)
+            lo, hi = templates.notice(words.hashes[a:b], free[a : b - 1], named[i], lo - a, hi - a - 1)
+            free[a + lo : a + hi] = False
+            for n, (c, d, _, _) in enumerate(windows):
+                if c < a + hi and a + lo < d:
+                    alike[n] = templates.similarity(words.hashes[c:d], free[c : d - 1])
+        out += sorted(found, key=lambda x: x[2])
+    return out
 
 
 def scan(docs: DataFrame, model: Classifier, *, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from sitelore.llm import decontam, html_extract, pii
+from sitelore.llm import decontam, html_extract, licences, pii
 
 
 def test_edited_copies_are_found_however_often_they_occur(spark):
@@ -64,3 +64,16 @@ def test_cards_beside_other_numbers():
                 assert len(new) == len(text) and made.text(new, True)[0] == text
     assert made.text("4111 1111 1111 1112 12")[0] == "4111 1111 1111 1112 12"
     assert [k for k, _, _ in made.text("415-555-1234 415-555-9999")[1]] == ["phone", "phone"]
+
+
+def test_all_licence_notices_of_a_long_line(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    mit, apache, gpl = (licences.TEMPLATES[f][k] for f, k in (("mit", 3), ("apache-2.0", 1), ("gpl-3.0", 1)))
+    texts = [f"{some(60)} {mit} {some(2000)} {apache} {some(700)} {mit} {some(50)}", f"{mit} {apache}", f"{some(100)} {gpl} {some(90)}", some(3000)]
+    plain = [some(30) + "\n" + some(12) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.first_word, r.family) for r in licences.scan(docs, licences.train(docs, sample=64, each=6)).collect())
+    assert [(i, f) for i, _, f in got if i == 0] == [(0, "mit"), (0, "apache-2.0"), (0, "mit")]
+    assert sorted((i, f) for i, _, f in got if i) == [(1, "apache-2.0"), (1, "mit"), (2, "gpl-3.0")]
