@@ -1,9 +1,13 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from sitelore.llm import components, exactdedup, grams, lengths, neardup
 
@@ -73,7 +77,7 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("options", [{}, {"family": 12, "region": 8, "finish": 5}])
+@pytest.mark.parametrize("options", [{}, {"family": 12, "region": 8, "finish": 5}, {"family": 7, "family_shingles": 900, "region": 64}])
 def test_near_groups_against_brute_force(spark, options):
     texts = corpus(3)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_groups(rows(spark, texts), **options).collect()}
@@ -105,6 +109,92 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 130)}}
 
 
+def test_components_of_a_long_chain(spark):
+    """Ids in the order of the chain, the worst case for minima that move by one link a round."""
+    start = time.time()
+    links = spark.range(100_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components.components(links, finish=10).agg(F.count("*"), F.countDistinct("node"), F.max("component")).first()
+    assert tuple(got) == (100_001, 100_001, 0) and time.time() - start < 60
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1800)] + [(5, None), (None, 6), (2, 2)]
+    want = components.Union()
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            want.join(a, b)
+    for finish in (10**6, 3):
+        got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long"), finish=finish).collect()}
+        assert got == {x: want.root(x) for x in want.up}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def forest(ids, signatures, region, tasks):
+    """The two passes over sorted rows, cut into so many tasks: the loose links."""
+    nodes = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in signatures], pa.binary())], names=["id", "signature"])
+    rows = pa.Table.from_batches(list(neardup._orders([nodes]))).sort_by([("region", "ascending"), ("rest", "ascending"), ("id", "ascending")])
+    step = -(-rows.num_rows // tasks)
+    found = pa.concat_tables([pa.Table.from_batches(list(neardup._neighbours(region)(rows.slice(lo, step).to_batches(max_chunksize=100)))) for lo in range(0, rows.num_rows, step)])
+    edges = found.filter(pc.is_null(found["b"])).rename_columns(["id", "b", "region", "rest", "whole"]).select(["region", "rest", "id", "whole"]).sort_by([("region", "ascending"), ("rest", "ascending"), ("id", "ascending")])
+    second = pa.Table.from_batches(list(neardup._neighbours(region)(edges.to_batches(max_chunksize=70))))
+    links = pa.concat_tables([found, second])
+    links = links.filter(pc.is_valid(links["b"]))
+    return list(zip(links["a"].to_pylist(), links["b"].to_pylist()))
+
+
+@pytest.mark.parametrize("region, tasks", [(8, 1), (8, 7), (64, 3), (4096, 5)])
+def test_rows_with_a_deep_common_prefix_meet(region, tasks):
+    """Whatever the size of a region and wherever tasks cut it, two near rows that share DEEPEST values of an order are in one cluster."""
+    rng = np.random.default_rng(region + tasks)
+    base = rng.integers(0, 2**32, (6, neardup.VALUES), dtype=np.uint32)
+    sigs = base[rng.integers(0, 6, 400)].copy()
+    sigs[rng.random(sigs.shape) < 0.25] = 1  # a common value of unrelated rows makes large regions
+    other = rng.random(sigs.shape) < 0.12
+    sigs[other] = rng.integers(0, 2**32, int(other.sum()), dtype=np.uint32)
+    sets = components.Union()
+    for a, b in forest(np.arange(400), sigs, region, tasks):
+        sets.join(a, b)
+    turned = sigs[:, neardup._sequences()[:, : neardup.DEEPEST]]
+    for i in range(400):
+        deep = (turned == turned[i]).all(2).any(1)
+        for j in np.flatnonzero(deep & ((sigs == sigs[i]).sum(1) >= neardup.LOOSE + 3)):
+            assert sets.root(i) == sets.root(int(j)), (i, j)
+
+
+def test_recall_in_large_regions():
+    """20,000 rows of pairs at the threshold with one common beginning of every order: regions of 20,000 rows."""
+    rng = np.random.default_rng(4)
+    n = 10_000
+    first = rng.integers(0, 2**32, (n, neardup.VALUES), dtype=np.uint32)
+    common = rng.random((n, neardup.VALUES)) < 0.35
+    first[common] = 7
+    second = first.copy()
+    changed = rng.random(first.shape) < 0.25
+    second[changed] = rng.integers(0, 2**32, int(changed.sum()), dtype=np.uint32)
+    sigs = np.concatenate([first, second])
+    sets = components.Union()
+    for a, b in forest(np.arange(2 * n), sigs, 512, 4):
+        sets.join(a, b)
+    found = np.mean([sets.root(i) == sets.root(n + i) for i in range(n)])
+    assert found >= 0.99
+
+
+def test_loose_families_larger_than_a_part(spark):
+    """Texts that share a boilerplate half, so that they are one loose family with many exact clusters."""
+    rng = random.Random(2)
+    shared = [f"s{k}" for k in range(60)]
+    texts = []
+    for k in range(130):
+        own = [f"t{k}_{rng.randrange(10**6)}" for _ in range(24)]
+        texts.append(" ".join(shared + own))
+        if k % 3 == 0:
+            own[-1] = "changed"
+            texts.append(" ".join(shared + own))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_groups(rows(spark, texts), family=20).collect()}
+    assert got == brute(texts)
+
+
 def test_histogram_answers_every_limit(spark):
     rng = random.Random(5)
     values = [0, 0, 1, 5000, 5000, 1024, 1023] + [rng.randint(0, 3000) for _ in range(400)]
