@@ -42,14 +42,19 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a table under the shared checkpoint folder and goes on from there.
+    """Writes the rows of ``df`` to the shared checkpoint folder and goes on from there."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    A table that is read again has its real size in the plan. ``checkpoint()`` keeps the estimate of the plan before it,
-    which multiplies with each join of a loop.
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a table under the shared checkpoint folder and reads it again.
+
+    The plan then has the table's real size. ``cut`` keeps the estimate of the plan before it, which multiplies with each join of a loop.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import written
 
 
 class Union:
@@ -58,7 +58,7 @@ def _finish(batches):
 
 def _links(rows: DataFrame, a: str, b: str) -> DataFrame:
     """The distinct links between different ids, the smaller one first."""
-    return cut(rows.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    return written(rows.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
 
 
 def components(links: DataFrame, *, finish: int = 1_000_000, max_rounds: int = 200) -> DataFrame:
@@ -74,7 +74,7 @@ def components(links: DataFrame, *, finish: int = 1_000_000, max_rounds: int = 2
 
         ends = now.select(F.col("a").alias("node"), F.col("b").alias("m")).union(now.select("b", "a"))
         best = ends.groupBy("node").agg(F.min_by("m", priority("m")).alias("m"))
-        low = cut(best.select("node", F.when(priority("m") < priority("node"), F.col("m")).otherwise(F.col("node")).alias("m")))
+        low = written(best.select("node", F.when(priority("m") < priority("node"), F.col("m")).otherwise(F.col("node")).alias("m")))
         rounds.append(low)
         moved = now.join(low.select(F.col("node").alias("a"), F.col("m").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("m").alias("y")), "b")
         now = _links(moved, "x", "y")
@@ -82,6 +82,6 @@ def components(links: DataFrame, *, finish: int = 1_000_000, max_rounds: int = 2
     if not rounds:
         return out
     for low in reversed(rounds):
-        out = cut(low.join(out.select(F.col("node").alias("m"), "component"), "m", "left").select("node", F.coalesce("component", "m").alias("component")))
+        out = written(low.join(out.select(F.col("node").alias("m"), "component"), "m", "left").select("node", F.coalesce("component", "m").alias("component")))
     least = out.groupBy("component").agg(F.min("node").alias("least"))
     return out.join(least, "component").select("node", F.col("least").alias("component"))

@@ -387,10 +387,10 @@ def _rest(texts: DataFrame, large: DataFrame, links: DataFrame, n: int, percent:
     dealt = large.join(known, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
     counts = dealt.groupBy("component", "cluster").agg(F.count(F.lit(1)).alias("rows"))
     largest = counts.groupBy("component").agg(F.max(F.struct("rows", "cluster")).alias("top")).select("component", F.col("top.cluster").alias("largest"))
-    outside = cut(dealt.join(largest, "component").where("cluster <> largest").select("id", "component", "n_shingles"))
-    groups = outside.groupBy("component").agg(_share(F.count(F.lit(1)), F.sum("n_shingles"), family, family_shingles).alias("groups"))
-    asked = outside.select("id", F.lit(True).alias("out"))
-    rows = texts.join(large.join(groups, "component").join(asked, "id", "left").select("id", "component", "parts", "groups", "out"), "id")
+    dealt = cut(dealt.join(largest, "component").select("id", "component", "parts", "n_shingles", (F.col("cluster") != F.col("largest")).alias("out")))
+    groups = dealt.where("out").groupBy("component").agg(_share(F.count(F.lit(1)), F.sum("n_shingles"), family, family_shingles).alias("groups"))
+    dealt = cut(dealt.join(groups, "component").select("id", "component", "parts", "groups", "out"))
+    rows = texts.join(broadcast_if_small(dealt, 500_000), "id")
     own = F.pmod(F.xxhash64("id"), F.col("parts"))
     group = F.pmod(F.xxhash64("id", F.lit(5)), F.col("groups"))
     # each text in its own part, once for each group; those outside in their group, once for each part
