@@ -12,7 +12,8 @@
    has the greatest depth, ``DEEPEST`` values, and is still too long becomes one candidate family as a whole, without comparing. So two nodes that
    share DEEPEST values of an order always meet in it, however large the region is and wherever tasks split it.
    Compared are estimates from whole signatures; what goes on is a spanning forest of each cluster, never its pairs.
-3. A region at the edge of a task goes on in a second pass with all rows that the next task's rows could still reach.
+3. A second pass goes over the border between each two tasks that share a region, with all rows that rows behind the border could still reach; at most
+   ``REGION`` on either side.
 4. Components of these loose links, by estimate, are candidate families. Each family's texts meet once, and their full
    shingle sets decide: 100 * intersection >= 75 * union. A text is compared with all of
    its family unless it is already in the family's largest cluster, which loses no link between
@@ -35,6 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,10 +151,11 @@ class _Regions:
     ``whole`` marks one that stands for a run of greatest depth, which is one family without comparing.
     """
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, task: int):
+        self.limit, self.task = limit, task
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
-        self.edges: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        #: Rows at the border before the task and behind it: region, number of the task behind the border, rows.
+        self.edges: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
         self.region: int | None = None
         self.first = True  # still in the task's first region
         self.headed = False  # whether the beginning of the first region is among the edges
@@ -208,7 +211,7 @@ class _Regions:
             return ids[lo : lo + 1], rest[lo : lo + 1], np.ones(1, bool)
 
         if self.first and not self.headed:
-            self.edges.append((self.region, *part(False)))
+            self.edges.append((self.region, self.task, *part(False)))
             self.headed = True
         kept = part(True)
         self.held, self.rows = [kept], len(kept[0])
@@ -217,9 +220,16 @@ class _Regions:
         """The region is over, or the task."""
         if self.region is None:
             return
-        rows = self.compare()
-        if end or (self.first and not self.headed):
-            self.edges.append((self.region, *rows))
+        ids, rest, whole = self.compare()
+        head = self.first and not self.headed
+        if end and self.first and (rest[:, :EXTRA] == rest[0, :EXTRA]).all():
+            # the task is within one run, which goes on before and behind it: one family without comparing
+            self.link(np.full(len(ids), ids[0]), ids)
+            ids, rest, whole = ids[:1], rest[:1], np.ones(1, bool)
+        if head:
+            self.edges.append((self.region, self.task, ids, rest, whole))
+        if end:
+            self.edges.append((self.region, self.task + 1, ids, rest, whole))
         self.first, self.region, self.held, self.rows = False, None, [], 0
 
     def batch(self, batch: pa.RecordBatch) -> None:
@@ -252,26 +262,28 @@ class _Regions:
             put(len(lo) - 1)
 
 
-LOOSE_ROWS = "a long, b long, region long, rest binary, whole boolean"
+LOOSE_ROWS = "a long, b long, region long, border long, rest binary, whole boolean"
 
 
-def _neighbours(limit: int):
-    """Streams the sorted regions of a task: LOOSE_ROWS, a link where b is set, else a row at the task's edge."""
+def _neighbours(limit: int, task: int | None = None):
+    """Streams the sorted regions of a task: LOOSE_ROWS, a link where b is set, else a row at one of the task's borders."""
 
     def drain(r: _Regions):
         a, b = (np.concatenate([x[k] for x in r.links] or [np.zeros(0, np.int64)]) for k in (0, 1))
         other = a != b
         a, b = a[other], b[other]
         r.links = []
-        none = lambda t, n: pa.nulls(n, t)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none(pa.int64(), len(a)), none(pa.binary(), len(a)), none(pa.bool_(), len(a))], names=["a", "b", "region", "rest", "whole"])
-        for region, ids, rest, whole in r.edges:
+        names = [x.split()[0] for x in LOOSE_ROWS.split(", ")]
+        none = lambda n, *kinds: [pa.nulls(n, k) for k in kinds]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *none(len(a), pa.int64(), pa.int64(), pa.binary(), pa.bool_())], names=names)
+        for region, border, ids, rest, whole in r.edges:
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), none(pa.int64(), n), pa.array(np.full(n, region), pa.int64()), pa.array([x.tobytes() for x in rest], pa.binary()), pa.array(whole)], names=["a", "b", "region", "rest", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *none(n, pa.int64()), pa.array(np.full(n, region), pa.int64()), pa.array(np.full(n, border), pa.int64()), pa.array([x.tobytes() for x in rest], pa.binary()), pa.array(whole)], names=names)
         r.edges = []
 
     def run(batches):
-        r = _Regions(limit)
+        context = TaskContext.get()
+        r = _Regions(limit, task if task is not None else context.partitionId() if context else 0)
         for batch in batches:
             if batch.num_rows:
                 r.batch(batch)
@@ -287,7 +299,7 @@ def loose_links(nodes: DataFrame, limit: int = REGION) -> DataFrame:
     rows = nodes.select("id", "signature").mapInArrow(_orders, "region long, rest binary, id long")
     dealt = rows.repartitionByRange("region", "rest").sortWithinPartitions("region", "rest", "id")
     found = cut(dealt.mapInArrow(_neighbours(limit), LOOSE_ROWS))
-    shared = found.where("b is null").select("region", "rest", F.col("a").alias("id"), "whole").repartition("region").sortWithinPartitions("region", "rest", "id")
+    shared = found.where("b is null").select(F.xxhash64("region", "border").alias("region"), "rest", F.col("a").alias("id"), "whole").repartition("region").sortWithinPartitions("region", "rest", "id")
     return found.where("b is not null").select("a", "b").union(shared.mapInArrow(_neighbours(limit), LOOSE_ROWS).where("b is not null").select("a", "b"))
 
 

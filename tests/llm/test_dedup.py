@@ -135,15 +135,18 @@ def forest(ids, signatures, region, tasks):
     nodes = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in signatures], pa.binary())], names=["id", "signature"])
     rows = pa.Table.from_batches(list(neardup._orders([nodes]))).sort_by([("region", "ascending"), ("rest", "ascending"), ("id", "ascending")])
     step = -(-rows.num_rows // tasks)
-    found = pa.concat_tables([pa.Table.from_batches(list(neardup._neighbours(region)(rows.slice(lo, step).to_batches(max_chunksize=100)))) for lo in range(0, rows.num_rows, step)])
-    edges = found.filter(pc.is_null(found["b"])).rename_columns(["id", "b", "region", "rest", "whole"]).select(["region", "rest", "id", "whole"]).sort_by([("region", "ascending"), ("rest", "ascending"), ("id", "ascending")])
-    second = pa.Table.from_batches(list(neardup._neighbours(region)(edges.to_batches(max_chunksize=70))))
+    starts = list(range(0, rows.num_rows, step))
+    found = pa.concat_tables([pa.Table.from_batches(list(neardup._neighbours(region, k)(rows.slice(lo, step).to_batches(max_chunksize=100)))) for k, lo in enumerate(starts)])
+    edges = found.filter(pc.is_null(found["b"]))
+    key = [hash(x) for x in zip(edges["region"].to_pylist(), edges["border"].to_pylist())]
+    edges = pa.table({"region": pa.array(key, pa.int64()), "rest": edges["rest"], "id": edges["a"], "whole": edges["whole"]}).sort_by([("region", "ascending"), ("rest", "ascending"), ("id", "ascending")])
+    second = pa.Table.from_batches(list(neardup._neighbours(region, 0)(edges.to_batches(max_chunksize=70))))
     links = pa.concat_tables([found, second])
     links = links.filter(pc.is_valid(links["b"]))
     return list(zip(links["a"].to_pylist(), links["b"].to_pylist()))
 
 
-@pytest.mark.parametrize("region, tasks", [(8, 1), (8, 7), (64, 3), (4096, 5)])
+@pytest.mark.parametrize("region, tasks", [(8, 1), (8, 7), (8, 900), (64, 3), (4096, 5), (4096, 1500)])
 def test_rows_with_a_deep_common_prefix_meet(region, tasks):
     """Whatever the size of a region and wherever tasks cut it, two near rows that share DEEPEST values of an order are in one cluster."""
     rng = np.random.default_rng(region + tasks)
