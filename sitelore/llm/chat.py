@@ -7,12 +7,18 @@ writes each turn as
 
     <|turn|>role \n text <|end|> \n
 
-Control strings inside texts are escaped by their first character (``\`` to ``\\``, ``<`` to ``\l``, ``[`` to ``\s``), so no text can
-hold one, and the text comes back exactly. The loss mask is the spans of assistant texts, in code points of the formatted string.
+Control strings inside texts (``CONTROL``: the template's own and those of common chat templates) get a backslash behind their first character,
+``[INST]`` becomes ``[\INST]``; one that has backslashes there already gets one more. All other text, code and markup included, stays as it is, no text
+can hold a control string, and the text comes back exactly. In roles backslashes and line breaks are escaped as well, because a line break ends a role. The
+loss mask is the spans of assistant texts, in code points of the formatted string.
+
+Tables with a row for each turn are read by ``conversations``: rows are sorted by conversation and turn on the way, and a conversation streams through
+its task in records of at most ``BLOCK_TURNS`` turns or ``BLOCK_CHARS`` characters, each formatted by itself; what follows one another in a conversation is
+concatenated. So memory doesn't grow with a conversation. ``digests`` reads the turns and spans back, still in order, and keeps sums and running hashes only.
 
 Cases: null or missing texts are empty, a null role too. A record that is no JSON object, or whose paths no mapping knows, gives no turns
-and ``mapping`` null. An empty list gives no turns. Repeated records are formatted one by one. Other columns
-are carried along; own columns with the names of results are replaced. A conversation is one record and one row.
+and ``mapping`` null. An empty list gives no turns. Repeated records are formatted one by one; repeated rows of a turn are turns each, by role and text. Rows with a null conversation are one conversation. Other columns
+are carried along by ``format_records`` and ignored by ``conversations``; own columns with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -27,19 +33,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 TURN, END = "<|turn|>", "<|end|>\n"
-ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\s"}
-BACK = {v[1]: k for k, v in ESCAPES.items()} | {"n": "\n"}
-_TO = str.maketrans(ESCAPES)
-_FROM = re.compile(r"\\(.)", re.S)
+# Control strings of the template and of common ones, as first character and what follows it.
+AFTER_ANGLE = r"\|[^|<>\[\] \t\n\r\f]{1,64}\|>|/?s>|<SYS>>|</SYS>>|(?:start|end)_of_turn>|(?:bos|eos|pad|unk)>"
+AFTER_BRACKET = r"/?INST\]"
+CONTROL = rf"<(?=\\*(?:{AFTER_ANGLE}))|\[(?=\\*{AFTER_BRACKET})"
+_TO = re.compile(CONTROL)
+_FROM = re.compile(rf"<\\(?=\\*(?:{AFTER_ANGLE}))|\[\\(?=\\*{AFTER_BRACKET})")
 
 
 def escape(text: str) -> str:
-    return text.translate(_TO)
+    return _TO.sub(lambda m: m[0] + "\\", text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
-    return _FROM.sub(lambda m: BACK.get(m[1], m[0]), text) if "\\" in text else text
+    return _FROM.sub(lambda m: m[0][0], text) if "\\" in text else text
+
+
+def escape_role(role: str) -> str:
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
 @dataclass(frozen=True)
@@ -135,8 +153,9 @@ class Formatter:
             record = json.loads(source) if source else None
         except ValueError:
             record = None
-        if not isinstance(record, dict):
-            return None, None, []
+        return self.record(record) if isinstance(record, dict) else (None, None, [])
+
+    def record(self, record: dict) -> tuple[str | None, str | None, list[tuple[str, str]]]:
         mark, mapping = self.choose(record)
         return mark, mapping.name if mapping else None, mapping.apply(record) if mapping else []
 
@@ -145,7 +164,7 @@ def write(turns: list[tuple[str, str]], learn: str = "assistant") -> tuple[str,
     """The formatted conversation and the spans under the loss mask."""
     parts, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{TURN}{escape(role).replace(chr(10), chr(92) + 'n')}\n", escape(text)
+        head, body = f"{TURN}{escape_role(role)}\n", escape(text)
         if role == learn:
             spans.append((at + len(head), at + len(head) + len(body)))
         at += len(head) + len(body) + len(END)
@@ -158,7 +177,7 @@ def read(formatted: str) -> list[tuple[str, str]]:
     out = []
     for part in formatted.split(TURN)[1:]:
         role, _, body = part.partition("\n")
-        out.append((unescape(role), unescape(body[: -len(END)])))
+        out.append((unescape_role(role), unescape(body[: -len(END)])))
     return out
 
 
@@ -192,8 +211,98 @@ def format_records(records: DataFrame, *, record: str = "record", mappings: tupl
     return records.select(*[f"`{f.name}`" for f in kept], f"`{record}`").mapInArrow(run, schema)
 
 
-def messages(rows: DataFrame, *, id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(id, record): the turns of each conversation as a record of messages, by turn; rows of one turn by role and text."""
-    said = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
-    grouped = rows.select(F.col(id), said.alias("said")).groupBy(id).agg(F.sort_array(F.collect_list("said")).alias("messages"))
-    return grouped.select(id, F.to_json(F.struct(F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))).alias("record"))
+#: Most turns, and characters beyond which no turn is added, of one record of a conversation.
+BLOCK_TURNS, BLOCK_CHARS = 256, 1_000_000
+BLOCKS = [T.StructField("block", T.LongType()), *(f for f in RESULTS if f.name in ("fingerprint", "mapping", "formatted", "loss_spans"))]
+
+
+def conversations(rows: DataFrame, *, id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(id, block, fingerprint, mapping, formatted, loss_spans): the records of each conversation, in order within a partition; spans count from the start of the conversation.
+
+    Turns follow one another by ``turn``, rows of one turn by role and text.
+    """
+    schema = T.StructType([rows.schema[id], *BLOCKS])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        formatter = Formatter()
+        out: list[list] = [[] for _ in schema]
+        said: list[dict] = []
+        key, block, at, chars, size = None, 0, 0, 0, 0
+
+        def put():
+            nonlocal block, at, chars, size
+            mark, name, turns = formatter.record({"messages": said})
+            formatted, spans = write(turns)
+            for c, v in zip(out, (key, block, mark, name, formatted, [{"start": at + a, "end": at + b} for a, b in spans])):
+                c.append(v)
+            block, at, chars, size = block + 1, at + len(formatted), 0, size + len(formatted)
+            said.clear()
+
+        def take():
+            nonlocal size
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
+            for c in out:
+                c.clear()
+            size = 0
+            return batch
+
+        for batch in batches:
+            for k, r, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if said and (k != key or len(said) >= BLOCK_TURNS or chars >= BLOCK_CHARS):
+                    put()
+                    if size > BLOCK_CHARS:
+                        yield take()
+                if k != key:
+                    key, block, at = k, 0, 0
+                said.append({"role": r, "content": x})
+                chars += len(x)
+        if said:
+            put()
+        yield take()
+
+    plain = rows.select(F.col(id).alias("__id"), F.col(turn).alias("__turn"), F.coalesce(role, F.lit("")).alias("__role"), F.coalesce(text, F.lit("")).alias("__text"))
+    dealt = small_batches(plain).repartition("__id").sortWithinPartitions("__id", "__turn", "__role", "__text")
+    return dealt.select("__id", "__role", "__text").mapInArrow(run, schema)
+
+
+def digests(blocks: DataFrame, *, id: str = "conv_id") -> DataFrame:
+    """(id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of conversations as ``conversations`` gives them, read back from formatted text and spans."""
+    schema = T.StructType([blocks.schema[id], *(T.StructField(n, T.StringType() if n.endswith("sha256") else T.LongType()) for n in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"))])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        out: list[list] = [[] for _ in schema]
+        key = turns = loss = None
+        n = learnt = length = 0
+
+        def put():
+            for c, v in zip(out, (key, n, turns.hexdigest(), learnt, loss.hexdigest(), length)):
+                c.append(v)
+
+        for batch in batches:
+            for k, block, formatted, spans in zip(*(c.to_pylist() for c in batch.columns)):
+                if block == 0:
+                    if turns is not None:
+                        put()
+                    key, turns, loss, n, learnt, length = k, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+                for r, x in read(formatted):
+                    turns.update(f"{r}\n{x}\n".encode("utf-8", "surrogatepass"))
+                    n += 1
+                for span in spans:
+                    x = unescape(formatted[span["start"] - length : span["end"] - length])
+                    loss.update(x.encode("utf-8", "surrogatepass"))
+                    learnt += len(x)
+                length += len(formatted)
+            if len(out[0]) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
+                out = [[] for _ in schema]
+        if turns is not None:
+            put()
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
+
+    return blocks.select(id, "block", "formatted", "loss_spans").mapInArrow(run, schema)

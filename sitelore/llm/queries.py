@@ -64,9 +64,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
-    done = chat.format_records(chat.messages(said.unionByName(own)))
-    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return chat.digests(chat.conversations(said.unionByName(own)))
 
 
 OP5_SQL = r"""
@@ -74,9 +72,9 @@ with said as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), escaped as (
-  select *, length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '[', '\s'))
-    + length(replace(replace(replace(text, '\', '\\'), '<', '\l'), '[', '\s')) + length(replace(role, chr(10), '  ')) - length(role)
-    + length('<|turn|>') + 1 + length('<|end|>') + 1 as chars
+  select *, length(role) + length(text) + length('<|turn|>') + 1 + length('<|end|>') + 1
+    + length(role) - length(replace(replace(role, '\', ''), chr(10), ''))
+    + len(regexp_extract_all(role, '{control}')) + len(regexp_extract_all(text, '{control}')) as chars
   from said
 )
 select conv_id, count(*) as n_turns,
@@ -85,7 +83,7 @@ select conv_id, count(*) as n_turns,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
        sum(chars)::bigint as formatted_chars
 from escaped group by conv_id
-"""
+""".replace("{control}", rf"<\\*(?:{chat.AFTER_ANGLE})|\[\\*{chat.AFTER_BRACKET}")
 
 
 #: A fixed key, so that results can be compared; a real run passes its own secret.

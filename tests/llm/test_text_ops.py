@@ -4,6 +4,8 @@ from datetime import date
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -158,15 +160,48 @@ def test_html(spark):
 
 
 def test_chat_round_trip(spark):
-    said = [(1, 1, "assistant", "</s>[INST] ok [/INST] \\l\\\\<|end|>\n"), (1, 0, "user", None), (1, 0, None, "x"), (2, 5, "we\nird", "<|turn|>"), (None, 0, "user", "é👍")]
-    rows = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.format_records(chat.messages(rows)).collect()}
-    assert [tuple(t) for t in got[1].turns] == [("", "x"), ("user", ""), ("assistant", said[0][3])]
-    assert got[1].loss_text == said[0][3] and [tuple(t) for t in got[2].turns] == [("we\nird", "<|turn|>")]
-    for r in got.values():
-        assert r.formatted.count(chat.TURN) == len(r.turns) == r.formatted.count(chat.END) and "[INST]" not in r.formatted
-        assert "".join(chat.unescape(r.formatted[s.start : s.end]) for s in r.loss_spans) == r.loss_text
-    assert chat.format_records(chat.messages(rows.limit(0))).count() == 0
+    said = [(1, 1, "assistant", "</s>[INST] ok [/INST] \\l\\\\<|end|>\n"), (1, 0, "user", None), (1, 0, None, "x"), (2, 5, "we\nird\\n", "<|turn|>"), (None, 0, "user", "é👍"), (3, 2, "assistant", "a"), (3, 1, "assistant", "b"), (3, 1, "assistant", "b")]
+    said += [(4, k, ("user", "assistant")[k % 2], f"long {k} [INST]") for k in range(700)]
+    rows = spark.createDataFrame([(*r, "own") for r in said], "conv_id long, turn long, role string, text string, formatted string")
+    blocks = chat.conversations(rows)
+    whole, spans = {}, {}
+    for r in sorted(blocks.collect(), key=lambda r: (r.conv_id or 0, r.block)):
+        whole[r.conv_id] = whole.get(r.conv_id, "") + r.formatted
+        spans.setdefault(r.conv_id, []).extend(r.loss_spans)
+        assert r.mapping == "messages"
+    assert {r.conv_id: r.block for r in blocks.where("conv_id = 4").collect()} == {4: 2}
+    want = {}
+    for k, _, role, text in sorted(said, key=lambda r: (r[1], r[2] or "", r[3] or "")):
+        want.setdefault(k, []).append((role or "", text or ""))
+    digest = {r.conv_id: r for r in chat.digests(blocks).collect()}
+    assert whole.keys() == want.keys() == digest.keys()
+    for k, turns in want.items():
+        f, loss = whole[k], "".join(t for r, t in turns if r == "assistant")
+        assert chat.read(f) == turns and f.count(chat.TURN) == f.count(chat.END) == len(turns)
+        assert "[INST]" not in f and "</s>" not in f
+        assert "".join(chat.unescape(f[s.start : s.end]) for s in spans[k]) == loss
+        d = digest[k]
+        assert (d.n_turns, d.loss_chars, d.formatted_chars) == (len(turns), len(loss), len(f))
+        assert d.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and d.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    none = chat.conversations(rows.limit(0))
+    assert none.count() == 0 and chat.digests(none).count() == 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<", "[", "\\", "|", "|turn|>", "|end|>", "\n", "/s>", "s>", "INST]", "/INST]", "<SYS>>", "</SYS>>", "x", " ", "é", "start_of_turn>", "n"]), max_size=14))
+def test_escapes_hide_control_strings_and_nothing_else(parts):
+    text = "".join(parts)
+    hidden = chat.escape(text)
+    assert chat.unescape(hidden) == text and chat.unescape_role(chat.escape_role(text)) == text and "\n" not in chat.escape_role(text)
+    for control in ("<|turn|>", "<|end|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>"):
+        assert control not in hidden
+    assert chat.read(chat.write([(text, text), ("assistant", text)])[0]) == [(text, text), ("assistant", text)]
+
+
+def test_code_and_markup_stay_as_they_are():
+    for text in ("a < b and x[0]", "C:\\new\\s", "<p class='s'>[1]</p>", r"\[x\] \\ <\n", "<|>", "if a <| b |> c", "[INSTALL]"):
+        assert chat.escape(text) == text == chat.unescape(text)
+    assert chat.escape("[INST] <\\|x|>") == "[\\INST] <\\\\|x|>"
 
 
 RECORDS = [
