@@ -5,8 +5,13 @@ closed by boundary marks, and the probability of each character is conditioned
 on up to ``order - 1`` characters before it within the word. Probabilities of all
 languages stand side by side in arrays sorted by the 64-bit hash of the n-gram.
 A text gets the language of the lowest cross-entropy per character; a text
-whose cross-entropy is above what calibration documents of that language show
-at its length is rejected.
+whose cross-entropy is above that language's limit for texts of its length is rejected.
+
+The limits are calibrated, with no floor by hand. Held-out documents, whole and in pieces of 1, 2, 4, ... words, and the same pieces with the letters
+of each word shuffled are scored like any text. For each predicted language and size the limit is half way between the highest value of a true piece and the
+lowest hundredth of the shuffled ones; where the two overlap, as single words do, it is the highest true value or the median of the shuffled ones, whichever is more, so true texts
+pass. A text's size is its effective number of words, (sum of n)^2 / sum of n^2 over its different words that occur n times: a line that repeats a hundred times
+says no more than once.
 
 Cases: null text, empty text and text without a letter give ``und``, score 0,
 rejected. Rows with a null language train nothing. Without any labelled row every
@@ -16,6 +21,7 @@ rows are predicted one by one. Other columns are carried along untouched.
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,8 +40,8 @@ OPEN, CLOSE = "\x02", "\x03"
 REMEMBERED = 100_000
 #: Letters beyond which a run is scored in pieces, so that scripts without spaces stay bounded.
 PIECE = 64
-#: Bits a character above its language's mean at which a text of any length, such as one word over and over, still counts as that language.
-MARGIN = 2.0
+#: Sizes of texts that have a limit of their own: powers of two of effective words.
+SIZES = 13
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +74,8 @@ class KneserNey:
     gram_p: list[np.ndarray] = field(default_factory=list)
     context_keys: list[np.ndarray] = field(default_factory=list)
     context_w: list[np.ndarray] = field(default_factory=list)
-    #: Per language: mean bits a character, spread of one word's mean, widest deviation seen in calibration.
-    mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
-    widest: np.ndarray | None = None
+    #: (languages, SIZES): bits a character above which a text of that size is rejected.
+    limits: np.ndarray | None = None
 
     @classmethod
     def fit(cls, counts: dict[str, tuple[list[str], np.ndarray]], order: int = 5) -> KneserNey:
@@ -189,7 +193,7 @@ class Scorer:
         self.rows.update(zip(pieces, range(first, first + len(pieces))))
 
     def totals(self, texts: list[str]) -> np.ndarray:
-        """(texts, languages + 2): bits per language, characters, words."""
+        """(texts, languages + 2): bits per language, characters, effective words."""
         split = [t.lower().split() for t in texts]
         new = list(set().union(*split) - self.rows.keys())
         if len(self.rows) + len(new) > REMEMBERED:
@@ -201,34 +205,42 @@ class Scorer:
         for i, pieces in enumerate(split):
             if pieces:
                 rows = np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
-                out[i] = self.table[rows].sum(0)
+                rows, times = np.unique(rows, return_counts=True)
+                known = self.table[rows]
+                out[i] = times @ known
+                said = times * known[:, -1]
+                if out[i, -1]:
+                    out[i, -1] = out[i, -1] ** 2 / (said @ said)
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, bits a character, rejected."""
         n = len(self.model.langs)
         total = self.totals(texts)
-        chars, words = total[:, n], total[:, n + 1]
+        chars, size = total[:, n], total[:, n + 1]
         lang, score, entropy, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), bool)
         if not n:
             return lang, score, entropy, rejected
-        has = words > 0
+        has = size > 0
         mean = total[:, :n] / np.maximum(chars, 1)[:, None]
         best = mean.argmin(1)
         gap = np.minimum((total[:, :n] - total[np.arange(len(texts)), best][:, None]), 1000)
         score[has] = (1 / np.exp2(-gap).sum(1))[has]
         low = mean[np.arange(len(texts)), best]
         entropy[has] = low[has]
-        rejected[has] = (low > self.limit(best, words))[has]
+        rejected[has] = (low > self.limit(best, size))[has]
         for i in np.flatnonzero(has):
             lang[i] = self.model.langs[best[i]]
         return lang, score, entropy, rejected
 
-    def limit(self, best: np.ndarray, words: np.ndarray) -> np.ndarray:
-        m = self.model
-        if m.mean is None:
+    def limit(self, best: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if self.model.limits is None:
             return np.full(len(best), np.inf)
-        return m.mean[best] + np.maximum(m.widest[best] * m.spread[best] / np.sqrt(np.maximum(words, 1)), MARGIN)
+        return self.model.limits[best, size_of(size)]
+
+
+def size_of(words: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(np.log2(np.maximum(words, 1))), 0, SIZES - 1).astype(np.int64)
 
 
 def _sample(labelled: DataFrame, key: Column, per_lang: int) -> DataFrame:
@@ -242,13 +254,11 @@ def _sample(labelled: DataFrame, key: Column, per_lang: int) -> DataFrame:
     return labelled.join(F.broadcast(sizes), "lang").where(share * F.col("n") < per_lang)
 
 
-def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 1000, order: int = 5, slack: float = 1.5) -> KneserNey:
+def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 1000, order: int = 5) -> KneserNey:
     """Fits on at most about ``per_lang`` whole documents of each language, a documented bound.
 
-    Four fifths give the word counts; the rest gives the calibration: mean and
-    spread of the bits a character, and the widest deviation of a document's mean
-    in units of spread / sqrt(words), times ``slack``. The driver gets word
-    counts of this bounded sample only. ``MARGIN`` bits are always allowed.
+    Four fifths give the word counts; the rest gives the calibration. The driver gets the different words of these documents with their counts, and
+    a row for each piece of the calibration documents; so what it holds grows with the number of languages and the length of ``per_lang`` documents, not with the corpus.
     """
     rows = small_batches(labelled).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     chosen = _sample(rows, F.col("k"), per_lang).withColumn("part", F.pmod(F.xxhash64("k", F.lit(5)), F.lit(5)))
@@ -274,35 +284,66 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     ordered = {k: sorted(zip(*v)) for k, v in counts.items()}
     model = KneserNey.fit({k: ([w for w, _ in v], np.array([n for _, n in v], float)) for k, v in ordered.items()}, order)
     if model.langs:
-        _calibrate(model, chosen.where("part = 0").select("lang", "text"), slack)
+        _calibrate(model, chosen.where("part = 0").select("text"))
     return model
 
 
-def _calibrate(model: KneserNey, rows: DataFrame, slack: float) -> None:
+def pieces(text: str) -> list[str]:
+    """The whole text and, for each power of two, up to four runs of so many words spread over it."""
+    words = text.split()
+    out = [text]
+    size = 1
+    while size < len(words):
+        room = len(words) - size
+        for at in sorted({room * k // 3 for k in range(4)}):
+            out.append(" ".join(words[at : at + size]))
+        size *= 2
+    return out
+
+
+def shuffled(text: str) -> str:
+    """The text with the letters of each word in another order, which depends on the text alone."""
+    order = random.Random(text)
+    return LETTERS.sub(lambda m: "".join(order.sample(m[0], len(m[0]))), text.lower())
+
+
+def _calibrate(model: KneserNey, rows: DataFrame) -> None:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
         scorer = Scorer(shared.value)
-        own = {name: j for j, name in enumerate(scorer.model.langs)}
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for start, texts in slices(batch, "text"):
-                total = scorer.totals(texts)
-                js = [own.get(x, -1) for x in langs[start : start + len(texts)]]
-                ok = [i for i, j in enumerate(js) if j >= 0 and total[i, -1] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array([js[i] for i in ok], pa.int32()), pa.array([total[i, js[i]] for i in ok], pa.float64()), pa.array([total[i, -2] for i in ok], pa.float64()), pa.array([total[i, -1] for i in ok], pa.float64())], names=["j", "bits", "chars", "words"])
-
-    seen = rows.mapInArrow(measure, "j int, bits double, chars double, words double").toPandas()
-    n = len(model.langs)
-    model.mean, model.spread, model.widest = np.full(n, 6.0), np.full(n, 2.0), np.full(n, 6.0)
-    for j, part in seen.groupby("j"):
-        # the sums are over a sorted frame, for the same figures in every run
-        part = part.sort_values(["bits", "chars", "words"])
-        mean = part.bits.sum() / part.chars.sum()
-        off = (part.bits / part.chars - mean) * np.sqrt(part.words)
-        model.mean[j] = mean
-        model.spread[j] = max(float(np.sqrt((off**2).mean())), 0.5)
-        model.widest[j] = max(8.0, slack * float(off.max()) / model.spread[j])
+            for _, texts in slices(batch, "text"):
+                true = [x for t in texts for x in pieces(t)]
+                for real, some in ((True, true), (False, [shuffled(x) for x in true])):
+                    total = scorer.totals(some)
+                    total = total[total[:, -1] > 0]
+                    mean = total[:, :-2] / total[:, -2:-1]
+                    yield pa.RecordBatch.from_arrays([pa.array(mean.argmin(1)), pa.array(size_of(total[:, -1])), pa.array(mean.min(1)), pa.array([real] * len(total), pa.bool_())], names=["j", "size", "bits", "real"])
+
+    seen = rows.mapInArrow(measure, "j long, size long, bits double, real boolean").toPandas()
+    model.limits = limits(seen.j.to_numpy(), seen["size"].to_numpy(), seen.bits.to_numpy(), seen.real.to_numpy(), len(model.langs))
+
+
+def limits(lang: np.ndarray, size: np.ndarray, bits: np.ndarray, real: np.ndarray, langs: int) -> np.ndarray:
+    """(langs, SIZES): the limit of each language and size; a size without true pieces takes that of the next smaller one, one without shuffled pieces at least that, a language without any those of all languages together."""
+
+    def of(rows: np.ndarray) -> np.ndarray:
+        out = np.full(SIZES, np.inf)
+        for k in range(SIZES):
+            true, false = bits[rows & (size == k) & real], bits[rows & (size == k) & ~real]
+            if not len(true):
+                out[k] = out[k - 1] if k else np.inf
+            elif not len(false):
+                out[k] = max(true.max(), out[k - 1] if k and np.isfinite(out[k - 1]) else 0.0)
+            else:
+                low = np.quantile(false, 0.01)
+                out[k] = (true.max() + low) / 2 if true.max() < low else max(true.max(), np.median(false))
+        return out
+
+    every = of(np.ones(len(lang), bool))
+    rows = [lang == j for j in range(langs)]
+    return np.array([of(r) if (r & real).any() else every for r in rows]).reshape(langs, SIZES)
 
 
 PREDICTED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_char", T.DoubleType()), T.StructField("rejected", T.BooleanType())]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 from datetime import date
 
 import numpy as np
@@ -65,31 +66,72 @@ def test_language_id(spark):
     assert lid.identify(docs(spark, ["text"]), nobody).first().lang_pred == "und"
 
 
-def test_language_probabilities_sum_to_one():
-    words = ["aba", "abb", "ba", "a"]
-    model = lid.KneserNey.fit({"x": (words, np.array([5.0, 1.0, 2.0, 1.0])), "y": (["bb"], np.array([1.0]))}, order=3)
-    alphabet = sorted({c for w in words for c in w}) + [lid.CLOSE]
-    for context in ("", "a", "ab", "b", "bb"):
-        start = 2.0 ** -(model.bits([context]))[0] if context else np.ones(2)
-        del start
-        total = np.zeros(2)
-        for c in alphabet:
-            chars = np.array([ord(x) for x in lid.OPEN + context + c], np.uint64)
-            p = model.floor.copy()
-            for n in range(1, model.order + 1):
-                at, gram, ctx = lid._ngrams(chars, np.arange(len(chars)), n)
-                if not len(at) or at[-1] != len(chars) - 1:
-                    continue
-                keys, where = model.gram_keys[n - 1], np.searchsorted(model.gram_keys[n - 1], gram[-1])
-                if where < len(keys) and keys[where] == gram[-1]:
-                    p = model.gram_p[n - 1][where].astype(float)
-                else:
-                    k = np.searchsorted(model.context_keys[n - 1], ctx[-1])
-                    if k < len(model.context_keys[n - 1]) and model.context_keys[n - 1][k] == ctx[-1]:
-                        p = p * model.context_w[n - 1][k]
-            total += p
-        # what is missing from 1 belongs to characters outside the alphabet
-        assert np.all(total <= 1 + 1e-4) and np.all(total > 0.6)
+def naive_kneser_ney(counts, order, alphabet):
+    """Probability of a character after a context within a word, from the definitions, in dictionaries."""
+    tables = []
+    for n in range(1, order + 1):
+        c, before = Counter(), {}
+        for word, times in counts.items():
+            chars = lid.OPEN + word + lid.CLOSE
+            for i in range(max(n - 1, 1), len(chars)):
+                gram = chars[i - n + 1 : i + 1]
+                c[gram] += times
+                if i - n >= 0:
+                    before.setdefault(gram, set()).add(chars[i - n])
+        if n < order:
+            c = Counter({g: len(before[g]) if g in before else c[g] for g in c})
+        once, twice = (sum(v == k for v in c.values()) for k in (1, 2))
+        discount = min(0.95, max(0.1, once / max(1.0, once + 2.0 * twice)))
+        total, kinds = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        tables.append((c, total, kinds, discount))
+
+    def p(context, char):
+        out = 1 / (alphabet + 1)
+        for n in range(1, min(order, len(context) + 1) + 1):
+            c, total, kinds, discount = tables[n - 1]
+            h = context[len(context) - n + 1 :]
+            if total[h]:
+                out = max(c[h + char] - discount, 0) / total[h] + discount * kinds[h] / total[h] * out
+        return out
+
+    return p
+
+
+def test_kneser_ney_against_dictionaries():
+    rng = random.Random(12)
+    made = lambda letters: {"".join(rng.choice(letters) for _ in range(rng.randint(1, 7))): rng.randint(1, 9) for _ in range(120)}
+    counts = {"x": made("abcde"), "y": made("cdefgé")}
+    alphabet = sorted({c for words in counts.values() for w in words for c in w}) + [lid.CLOSE]
+    model = lid.KneserNey.fit({k: (list(v), np.array(list(v.values()), float)) for k, v in counts.items()}, order=4)
+    naive = [naive_kneser_ney(v, 4, len(alphabet)) for v in counts.values()]
+    words = ["a", "abc", "zz", "cdé", "gggg", "edcba", *list(counts["x"])[:20]]
+    for word, bits in zip(words, model.bits(words)):
+        chars = lid.OPEN + word + lid.CLOSE
+        for j, p in enumerate(naive):
+            assert bits[j] == pytest.approx(-sum(np.log2(p(chars[:i], chars[i])) for i in range(1, len(chars))), rel=1e-4)
+    for p in naive:
+        for context in ("", "a", "ab", "de", "zz"):
+            # one share is for any character outside the alphabet
+            assert sum(p(lid.OPEN + context, c) for c in [*alphabet, "?"]) == pytest.approx(1)
+
+
+def test_limits_lie_between_true_and_shuffled_text(spark):
+    train = [(1000 * k + i, t, lang) for k, lang in enumerate(LANGS) for i, t in enumerate(sentences(lang, 300, k))]
+    model = lid.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    held = [t for k, lang in enumerate(LANGS) for t in sentences(lang, 150, 70 + k)]
+    scorer = lid.Scorer(model)
+    assert not scorer.predict(held)[3].any()
+    long = [t for t in held if len(t.split()) >= 8]
+    assert scorer.predict([lid.shuffled(t) for t in long])[3].mean() > 0.95
+    # a line over and over is judged as the line
+    assert not scorer.predict([" ".join([t] * 200) for t in held])[3].any()
+    one = lambda **k: lid.limits(*(np.array(k[n]) for n in ("lang", "size", "bits", "real")), 2)
+    got = one(lang=[0, 0, 0, 0], size=[3, 3, 3, 0], bits=[2.0, 2.5, 4.5, 3.0], real=[True, True, False, True])
+    assert got[0, 3] == 3.5 and got[0, 0] == 3.0 == got[0, 2] and got[0, 4] == 3.5 and (got[1] == got[0]).all()
+    assert one(lang=[0, 0, 0], size=[3, 3, 4], bits=[2.0, 4.0, 1.5], real=[True, False, True])[0, 4] == 3.0
 
 
 def naive_alignment(a, b):
