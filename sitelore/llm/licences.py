@@ -1,15 +1,19 @@
 """Licence notices by a trained paragraph classifier.
 
-A paragraph is a line of a document; one of more than ``WINDOW`` words is read in overlapping windows. Its features are
-its distinct word 1- to 3-grams, hashed. A softmax regression over sparse features, trained here on variations of
-the templates below and on a bounded sample of corpus paragraphs for ``unknown``, gives each paragraph
-a family. The threshold is calibrated: the lowest probability at which no held-out corpus paragraph
-and no held-out distractor is taken for a licence. A prediction counts only when a template of its family confirms it: at least ``CONFIRM``
-of the template's word pairs stand in the paragraph. That test is also made first, for all templates at once and by a bit table, so the
-classifier reads only paragraphs that some template could confirm; no result depends on that order.
+A paragraph is a line of a document. It is read in half-overlapping windows of ``SCALES`` words, or as a whole where it is shorter than a scale. The features of a window are
+the word 1- to 3-grams that begin in it, hashed. A softmax regression over these sparse features gives each window a
+probability for each licence family and for ``unknown``. It is trained here: on variations of
+the templates below (words dropped and exchanged, cut out, put among words of the corpus) and, for unknown, on windows of a bounded sample of corpus lines and on
+distractors. The threshold is calibrated: the lowest probability at which no held-out corpus window
+and no held-out distractor is taken for a licence.
+
+The classifier proposes: every window of every document is scored, and one at the threshold proposes the families that have ``PROPOSED`` of its licence probability or
+more. A template confirms: the proposal counts if at least ``CONFIRM`` of the word pairs of a template of a proposed family stand in the line within
+``REACH`` words around the window; of several proposed families the one most alike. What the classifier doesn't propose is no result, and neither is what no template confirms.
+Scores are sums over places, so a line costs the same a word whatever its length.
 
 Cases: null and empty documents have no paragraphs. Repeated rows give repeated results. A paragraph gives a row for each notice in it, the
-best window first: its word pairs are taken by it, and what another notice is confirmed by must stand elsewhere. Other columns are ignored.
+most similar first: its word pairs are taken by it, and what another notice is confirmed by must stand elsewhere. A null id is carried along. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,15 +50,37 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 #: Lines that speak of licences and rights without granting anything.
 DISTRACTORS = ("The driver's license was released under police protection.", "Her licence to teach was renewed for the second time.", "All rights and duties under this rule were explained to the public.", "The general public was free to use the software library.", "He was granted permission to leave the building, free of charge.", "The version of the story that was published last year.", "This work is the subject of a long and public debate.", "You may not use the pool except in the evening.", "They reserved all the rooms on the right side.", "The common attribution of this work to the master is disputed.", "A license was required under the act, version of record.", "The source of the form is public; the terms are not.", "Copyright law is a subject of its own.", "The commons were open to creative people of the region.", "Conditions are met in the following forms of use.")
 CLASSES = (UNKNOWN, *TEMPLATES)
-FEATURES, WINDOW, CONFIRM = 18, 48, 0.6
-
-
-def ngrams(words: np.ndarray) -> np.ndarray:
-    return np.unique(np.concatenate([grams.rolled(words, n) for n in (1, 2, 3)]))
-
-
-def columns(hashes: np.ndarray) -> np.ndarray:
-    return np.unique((hashes >> grams.U(64 - FEATURES)).astype(np.int64))
+FEATURES, SCALES, REACH, CONFIRM, PROPOSED = 18, (12, 24, 48), 48, 0.6, 0.05
+#: Words that notices exchange for one another.
+EXCHANGED = (("license", "licence"), ("licensed", "released", "distributed", "published", "available"), ("software", "program", "library", "work", "project", "code"), ("version", "v", "v."), ("under", "under"), ("terms", "conditions"), ("file", "work"))
+
+
+def places(words: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(3, words): feature of the 1- to 3-gram that begins at each word, and whether it ends within the word's line; ``end`` is the end of that line."""
+    column, inside = np.zeros((3, len(words)), np.int64), np.zeros((3, len(words)), bool)
+    for n in (1, 2, 3):
+        g = grams.rolled(words, n)
+        column[n - 1, : len(g)] = (g >> grams.U(64 - FEATURES)).astype(np.int64)
+        inside[n - 1] = np.arange(len(words)) + n <= end
+    return column, inside
+
+
+def windows(first: np.ndarray) -> np.ndarray:
+    """(line, begin, end) of all windows; ``first`` has the first word of each line and the number of words."""
+    lo, size = first[:-1], np.diff(first)
+    out, whole = [], np.zeros(len(lo), bool)
+    for scale in SCALES:
+        once = np.flatnonzero((size > 0) & (size <= scale) & ~whole)
+        whole[once] = True
+        out.append(np.stack([once, lo[once], lo[once] + size[once]], 1))
+        long = np.flatnonzero(size > scale)
+        step = scale // 2
+        # the last window reaches the end of the line
+        count = -(-(size[long] - scale) // step) + 1
+        line = np.repeat(long, count)
+        begin = lo[line] + (np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)) * step
+        out.append(np.stack([line, begin, np.minimum(begin + scale, lo[line] + size[line])], 1))
+    return np.concatenate(out)
 
 
 class Templates:
@@ -67,27 +93,21 @@ class Templates:
                 w = grams.Words([t], bare=True).hashes
                 self.pairs.append((family, np.unique(grams.rolled(w, min(2, len(w))))))
         self.all = np.unique(np.concatenate([p for _, p in self.pairs]))
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[(self.all >> grams.U(48)).astype(np.int64)] = True
-        self.fewest = min(int(np.ceil(CONFIRM * len(p))) for _, p in self.pairs)
-
-    def known(self, pairs: np.ndarray) -> np.ndarray:
-        """Places of the pairs that some template has."""
-        maybe = np.flatnonzero(self.seen[(pairs >> grams.U(48)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.all, pairs[maybe]), len(self.all) - 1)
-        return maybe[self.all[at] == pairs[maybe]]
+        self.has = np.zeros((len(self.pairs), len(self.all)), np.float32)
+        for k, (_, p) in enumerate(self.pairs):
+            self.has[k, np.searchsorted(self.all, p)] = 1 / len(p)
 
     def similarity(self, words: np.ndarray, free: np.ndarray | slice = slice(None)) -> dict[str, float]:
         """Family -> best share of a template's pairs that stand in the words, at the ``free`` places."""
-        own = np.unique(grams.rolled(words, 2)[free])
+        own = grams.rolled(words, 2)[free]
+        at = np.minimum(np.searchsorted(self.all, own), len(self.all) - 1)
+        found = np.zeros(len(self.all), np.float32)
+        found[at[self.all[at] == own]] = 1
         out: dict[str, float] = {}
-        for family, pairs in self.pairs:
-            share = float(np.isin(pairs, own, assume_unique=True).mean())
-            if share > out.get(family, 0.0):
-                out[family] = share
+        for (family, _), share in zip(self.pairs, (self.has @ found).tolist()):
+            out[family] = max(share, out.get(family, 0.0))
         return out
 
-
     def notice(self, words: np.ndarray, free: np.ndarray, family: str, lo: int, hi: int) -> tuple[int, int]:
         """First and end place of the pairs of the family's templates around those of the best one from ``lo`` to ``hi``, without gaps of more than ``GAP`` places."""
         own = grams.rolled(words, 2)
@@ -104,75 +124,97 @@ class Classifier:
         self.bias = np.zeros(len(CLASSES), np.float32)
         self.threshold = 0.5
 
-    def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
-        if not rows:
-            return np.zeros((0, len(CLASSES)))
-        z = np.stack([self.weights[c].sum(0) / np.sqrt(max(len(c), 1)) for c in rows]) + self.bias
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        return e / e.sum(1, keepdims=True)
+    def probabilities(self, words: grams.Words, spans: np.ndarray) -> np.ndarray:
+        """(windows, classes): a window's weights are differences of sums over the places of all lines."""
+        n = len(words.hashes)
+        column, inside = places(words.hashes, np.repeat(words.first[1:], np.diff(words.first)))
+        total = np.zeros((n + 1, len(CLASSES) + 1))
+        for c, ok in zip(column, inside):
+            total[1:, :-1] += self.weights[c] * ok[:, None]
+            total[1:, -1] += ok
+        np.cumsum(total, axis=0, out=total)
+        own = total[spans[:, 2]] - total[spans[:, 1]]
+        z = own[:, :-1] / np.sqrt(np.maximum(own[:, -1:], 1)) + self.bias
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z / z.sum(1, keepdims=True)
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.5, seed: int = 5) -> None:
-        """Adagrad over one paragraph at a time."""
+        """Adagrad over one window at a time; a row has the features of a window, as often as they occur."""
         squares = np.full((1 << FEATURES, len(CLASSES)), 1e-3, np.float32)
         order = np.random.default_rng(seed)
+        counted = [(*np.unique(c, return_counts=True), 1 / np.sqrt(max(len(c), 1))) for c in rows]
         for _ in range(epochs):
             for i in order.permutation(len(rows)):
-                c = rows[i]
-                scale = 1 / np.sqrt(max(len(c), 1))
-                z = self.weights[c].sum(0) * scale + self.bias
+                c, times, scale = counted[i]
+                z = times @ self.weights[c] * scale + self.bias
                 p = np.exp(z - z.max())
                 p /= p.sum()
                 p[labels[i]] -= 1
-                g = p * scale
+                g = (times * scale)[:, None] * p
                 squares[c] += g * g
                 self.weights[c] -= rate * g / np.sqrt(squares[c]) + 1e-6 * self.weights[c]
                 self.bias -= 0.01 * p
 
 
 def _varied(rng: np.random.Generator, lines: list[str], each: int) -> tuple[list[str], list[int]]:
-    """Variations of templates and distractors: words of corpus lines around them, single words dropped, case, marks after words."""
+    """Variations of templates and distractors, as texts of one window."""
     texts, labels = [], []
     pool = [w for line in lines for w in line.split()] or ["word"]
-    around = lambda: " ".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(0, 9)))
+    around = lambda most: [pool[i] for i in rng.integers(0, len(pool), rng.integers(0, most + 1))]
+    swap = {w: group for group in EXCHANGED for w in group}
     sources = [(CLASSES.index(f), t) for f, ts in TEMPLATES.items() for t in ts] + [(0, t) for t in DISTRACTORS]
     for label, text in sources:
         for k in range(each):
             words = text.split()
-            if len(words) > 6 and rng.random() < 0.3:
-                del words[int(rng.integers(0, len(words)))]
-            t = " ".join(words)
-            t = t.upper() if rng.random() < 0.1 else t.lower() if rng.random() < 0.1 else t
             if k:
-                t = " ".join(x for x in ((around() if rng.random() < 0.5 else ""), t, (around() if rng.random() < 0.5 else "")) if x)
-            texts.append(t)
+                words = [str(rng.choice(swap[w.lower()])) if w.lower() in swap and rng.random() < 0.15 else w for w in words]
+                if len(words) > 6 and rng.random() < 0.3:
+                    del words[int(rng.integers(0, len(words)))]
+                scale = int(rng.choice(SCALES))
+                if len(words) > scale:
+                    at = int(rng.integers(0, len(words) - scale + 1))
+                    words = words[at : at + scale]
+                room = scale - len(words)
+                before = around(room) if rng.random() < 0.6 else []
+                words = before + words + (around(room - len(before)) if rng.random() < 0.6 else [])
+            t = " ".join(words)
+            texts.append(t.upper() if rng.random() < 0.1 else t.lower() if rng.random() < 0.1 else t)
             labels.append(label)
     return texts, labels
 
 
 def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", sample: int = 300, each: int = 12, seed: int = 9) -> Classifier:
-    """Fits on template variations and on lines of about ``sample`` documents (those of the smallest id hashes), a documented bound.
+    """Fits on template variations and on windows of lines of about ``sample`` documents, chosen by a hash of the id, a documented bound.
 
-    Corpus lines that a template confirms are not used as ``unknown``. A quarter of both is held out for the threshold.
+    The driver gets at most 400 lines of each, by hash, and of a line 4,800 characters, so the bound holds in bytes, too; ``20 * sample`` of them are used. Lines that a template confirms
+    are not used as ``unknown``. A quarter of both is held out for the threshold.
     """
     rows = docs.select(F.xxhash64(F.col(id).cast("string")).alias("h"), F.col(text).alias("text")).where("text is not null")
     # a share by hash: no partition sends more than its own part of the sample
-    chosen = sorted(rows.where(F.col("h") / F.lit(float(2**64)) + 0.5 < sample / max(1, rows.count())).collect())
+    chosen = rows.where(F.col("h") / F.lit(float(2**64)) + 0.5 < sample / max(1, rows.count()))
+    mixed = F.sort_array(F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(F.xxhash64(x).alias("h"), F.substring(x, 1, 4800).alias("line"))))
+    lines = sorted({x.line for r in chosen.select(F.slice(mixed, 1, 400).alias("lines")).collect() for x in r.lines if x.line.strip()})
     templates = Templates()
     rng = np.random.default_rng(seed)
-    lines = sorted({line for r in chosen for line in r.text.split("\n") if line.strip()})
     lines = [lines[i] for i in rng.permutation(len(lines))[: 20 * sample]]
     plain = [x for x in lines if max(templates.similarity(grams.Words([x], bare=True).hashes).values(), default=0) < CONFIRM]
     texts, labels = _varied(rng, plain, each)
-    texts, labels = texts + plain, np.array(labels + [0] * len(plain))
-    words = grams.Words([" ".join(t.split()[:WINDOW]) for t in texts], bare=True)
-    rows = [columns(ngrams(words.hashes[a:b])) for a, b in zip(words.first[:-1], words.first[1:])]
+    for x in plain:
+        own = x.split()
+        size = min(len(own), int(rng.choice(SCALES)))
+        at = int(rng.integers(0, len(own) - size + 1))
+        texts.append(" ".join(own[at : at + size]))
+    labels = np.array(labels + [0] * len(plain))
+    words = grams.Words(texts, bare=True)
+    column, inside = places(words.hashes, np.repeat(words.first[1:], np.diff(words.first)))
+    rows = [column[:, a:b][inside[:, a:b]] for a, b in zip(words.first[:-1], words.first[1:])]
     held = rng.random(len(rows)) < 0.25
     model = Classifier()
     fit = np.flatnonzero(~held)
     model.fit([rows[i] for i in fit], labels[fit])
-    out = np.flatnonzero(held & (labels == 0))
-    wrong = 1 - model.probabilities([rows[i] for i in out])[:, 0]
+    whole = np.stack([np.arange(len(texts)), words.first[:-1], words.first[1:]], 1)
+    out = held & (labels == 0) & (np.diff(words.first) > 0)
+    wrong = 1 - model.probabilities(words, whole[out])[:, 0]
     model.threshold = float(min(0.95, max(0.5, wrong.max(initial=0.0) + 0.02)))
     return model
 
@@ -180,6 +222,41 @@ def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", sample: in
 FOUND = [T.StructField("paragraph", T.IntegerType()), T.StructField("first_word", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("similarity", T.DoubleType())]
 
 
+def proposals(words: grams.Words, model: Classifier) -> list[tuple[int, int, int, float, tuple[str, ...]]]:
+    """(line, begin, end, licence probability, families) of the windows that the classifier takes for licences, by line and begin."""
+    spans = windows(words.first)
+    p = model.probabilities(words, spans)
+    licence = 1 - p[:, 0]
+    hit = np.flatnonzero(licence >= model.threshold)
+    hit = hit[np.lexsort((spans[hit, 2], spans[hit, 1]))]
+    return [(*map(int, spans[i]), float(licence[i]), tuple(f for f, x in zip(CLASSES[1:], p[i, 1:]) if x >= PROPOSED * licence[i])) for i in hit]
+
+
+def confirmed(words: np.ndarray, first: int, end: int, proposed: list[tuple[int, int, float, tuple[str, ...]]], templates: Templates) -> list[tuple[int, str, float, float]]:
+    """(first word, family, probability, similarity) of the notices of the line from ``first`` to ``end`` that proposals name and templates confirm."""
+    free = np.ones(end - first, bool)
+    spans = [(max(first, a - REACH), min(end, b + REACH)) for a, b, _, _ in proposed]
+
+    def judged(i: int) -> tuple[float, str]:
+        lo, hi = spans[i]
+        alike = templates.similarity(words[lo:hi], free[lo - first : hi - first - 1]) if hi - lo > 1 else {}
+        return max(((alike.get(f, 0.0), f) for f in proposed[i][3]), default=(0.0, ""))
+
+    best = [judged(i) for i in range(len(proposed))]
+    found = []
+    while True:
+        i = max(range(len(proposed)), key=lambda i: (best[i][0], proposed[i][2], -i), default=None)
+        if i is None or best[i][0] < CONFIRM - 1e-6:
+            return found
+        (share, family), (a, b, p, _), (lo, hi) = best[i], proposed[i], spans[i]
+        at, to = templates.notice(words[lo:hi], free[lo - first : hi - first - 1], family, a - lo, max(a + 1, b - 1) - lo)
+        found.append((lo + at - first, family, p, share))
+        free[lo + at - first : lo + to - first] = False
+        for k, (c, d) in enumerate(spans):
+            if c < lo + to and lo + at < d:
+                best[k] = judged(k)
+
+
 def paragraphs(texts: list[str], model: Classifier, templates: Templates) -> list[tuple[int, int, int, str, float, float]]:
     """(text, paragraph, first word, family, probability, similarity) of the notices in texts."""
     split = [t.split("\n") for t in texts]
@@ -187,50 +264,10 @@ def paragraphs(texts: list[str], model: Classifier, templates: Templates) -> lis
     words = grams.Words([line for parts in split for line in parts], bare=True)
     if len(words.hashes) < 2:
         return []
-    pairs = grams.rolled(words.hashes, 2)
-    known = templates.known(pairs)
-    line = np.searchsorted(words.first, known, side="right") - 1
-    known = known[known + 1 < words.first[line + 1]]
-    line = np.searchsorted(words.first, known, side="right") - 1
-    spans: list[tuple[int, int, int]] = []
-    for k, n in zip(*np.unique(line, return_counts=True)):
-        if n >= templates.fewest:
-            a, b = int(words.first[k]), int(words.first[k + 1])
-            if b - a <= WINDOW:
-                spans.append((int(k), a, b))
-            else:
-                own = known[line == k]
-                for lo in range(a, b, WINDOW // 2):
-                    if ((own >= lo) & (own < lo + WINDOW)).sum() >= templates.fewest:
-                        spans.append((int(k), lo, min(lo + WINDOW, b)))
-    p = model.probabilities([columns(ngrams(words.hashes[a:b])) for _, a, b in spans])
-    lines: dict[int, list[tuple[int, int, float, str]]] = {}
-    for (k, a, b), row in zip(spans, p):
-        if 1 - row[0] >= model.threshold:
-            lines.setdefault(k, []).append((a, b, float(1 - row[0]), CLASSES[int(row[1:].argmax()) + 1]))
-    free = np.ones(len(words.hashes), bool)
-    out = []
-    for k, windows in sorted(lines.items()):
-        first, found = int(words.first[k]), []
-        alike = [templates.similarity(words.hashes[a:b]) for a, b, _, _ in windows]
-        while True:
-            # the template has the last word between families that share most of their notice
-            named = [max(x, key=lambda f: (x[f], f == w[3], f), default=UNKNOWN) for x, w in zip(alike, windows)]
-            named = [w[3] if x.get(w[3], 0.0) >= x.get(f, 0.0) - 1e-9 else f for f, x, w in zip(named, alike, windows)]
-            i = max(range(len(windows)), key=lambda i: alike[i].get(named[i], 0.0))
-            a, b, prob, _ = windows[i]
-            if alike[i].get(named[i], 0.0) < CONFIRM:
-                break
-            found.append((*owner[k], a - first, named[i], prob, alike[i][named[i]]))
-            # a notice may go on beyond its window
-            lo, hi, a, b = a, b, max(first, a - WINDOW), min(int(words.first[k + 1]), b + WINDOW)
-            lo, hi = templates.notice(words.hashes[a:b], free[a : b - 1], named[i], lo - a, hi - a - 1)
-            free[a + lo : a + hi] = False
-            for n, (c, d, _, _) in enumerate(windows):
-                if c < a + hi and a + lo < d:
-                    alike[n] = templates.similarity(words.hashes[c:d], free[c : d - 1])
-        out += sorted(found, key=lambda x: x[2])
-    return out
+    lines: dict[int, list] = {}
+    for k, *rest in proposals(words, model):
+        lines.setdefault(k, []).append(tuple(rest))
+    return [(*owner[k], *x) for k, proposed in sorted(lines.items()) for x in confirmed(words.hashes, int(words.first[k]), int(words.first[k + 1]), proposed, templates)]
 
 
 def scan(docs: DataFrame, model: Classifier, *, id: str = "doc_id", text: str = "text") -> DataFrame:

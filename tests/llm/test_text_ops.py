@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 from datetime import date
 
@@ -347,3 +348,57 @@ def test_pipeline_against_brute_force(spark):
             assert not [i for i in kept if any(b in before[i] for b in bench)]
     result = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in result} == kept and all(r.n_tokens == len(r.ids) for r in result)
+
+
+def test_licence_proposals_against_brute_force(spark):
+    """Every window scored by itself, with dictionaries for sums over arrays."""
+    rng = random.Random(7)
+    plain = sentences("xx", 80, 5)
+    table = docs(spark, plain + ["Licensed under the MIT License."])
+    model = licences.train(table, sample=60, each=5)
+    lines = [rng.choice(plain), "", "x", "Licensed under the MIT license", " ".join(rng.choice(plain) for _ in range(9)) + " " + licences.TEMPLATES["gpl-3.0"][1] + " " + rng.choice(plain), licences.TEMPLATES["mit"][3], "a b c " * 8]
+    words = licences.grams.Words(lines, bare=True)
+    want = []
+    for k in range(len(lines)):
+        own = words.hashes[words.first[k] : words.first[k + 1]]
+        spans, whole = [], False
+        for scale in licences.SCALES:
+            if 0 < len(own) <= scale:
+                spans += [] if whole else [(0, len(own))]
+                whole = True
+            elif len(own) > scale:
+                at = 0
+                while True:
+                    spans.append((at, min(at + scale, len(own))))
+                    if at + scale >= len(own):
+                        break
+                    at += scale // 2
+        for a, b in spans:
+            columns = [int(licences.grams.rolled(own[i : i + n], n)[0]) >> (64 - licences.FEATURES) for i in range(a, b) for n in (1, 2, 3) if i + n <= len(own)]
+            z = [sum(float(model.weights[c, j]) for c in columns) / max(len(columns), 1) ** 0.5 + float(model.bias[j]) for j in range(len(licences.CLASSES))]
+            e = np.exp(np.array(z) - max(z))
+            p = e / e.sum()
+            if 1 - p[0] >= model.threshold:
+                want.append((k, int(words.first[k]) + a, int(words.first[k]) + b, round(1 - p[0], 6), tuple(f for f, x in zip(licences.CLASSES[1:], p[1:]) if x >= licences.PROPOSED * (1 - p[0]))))
+    got = [(k, a, b, round(p, 6), f) for k, a, b, p, f in licences.proposals(words, model)]
+    assert len(got) == len(want) and {k for k, *_ in got} >= {3, 4, 5}
+    for x, y in zip(sorted(got), sorted(want)):
+        assert x[:3] == y[:3] and x[3] == pytest.approx(y[3], abs=1e-4) and x[4] == y[4]
+    # what a template confirms, by plain sets of word pairs
+    templates = licences.Templates()
+    pairs = lambda t: set(zip(w := [x for x in re.split(r"[\W_]+", t.lower()) if x], w[1:]))
+    for line in lines:
+        alike = templates.similarity(licences.grams.Words([line], bare=True).hashes)
+        for family, notices in licences.TEMPLATES.items():
+            assert alike[family] == pytest.approx(max(len(pairs(t) & pairs(line)) / len(pairs(t)) for t in notices), abs=1e-6)
+
+
+def test_licences_only_where_the_classifier_says_so(spark):
+    table = docs(spark, sentences("xx", 60, 1) + ["Licensed under the MIT License."])
+    model = licences.train(table, sample=60, each=5)
+    assert licences.scan(table, model).count() == 1
+    model.threshold = 2.0
+    assert licences.scan(table, model).count() == 0
+    odd = spark.createDataFrame([(None, "Licensed under the MIT License.", "own"), (1, None, ""), (1, "", ""), (2, "Released under the ISC License.\n" * 3, "x")], "doc_id long, text string, family string")
+    model.threshold = 0.5
+    assert sorted((r.doc_id or 0, r.paragraph, r.family) for r in licences.scan(odd, model).collect()) == [(0, 0, "mit"), (2, 0, "isc"), (2, 1, "isc"), (2, 2, "isc")]
