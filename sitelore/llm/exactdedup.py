@@ -10,8 +10,8 @@ them, counted first. Beyond that the rows go through a shuffle join on narrow ke
 whose skew Spark splits; the hash is then made before the shuffle, of every row, so that texts never move.
 
 Cases: a null text counts as empty. Repeated rows (same id, same text) are
-members like any other; where the largest id occurs several times in a group, each of
-those rows is marked as kept, because they are the same row. A null id is never the largest;
+members like any other; where the largest id occurs several times in a group, ``exact_groups`` marks each of
+those rows as kept, because nothing tells them apart, and ``drop_exact`` keeps one of them. A null id is never the largest;
 a group of null ids only keeps none. An empty table gives an empty result. Other columns
 are ignored unless named in ``carry``; results named like one of them replace it.
 """
@@ -49,9 +49,19 @@ def exact_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", car
 def drop_exact(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose text another row with a larger id has; the columns stay as they are.
 
-    What leaves is named by id and a hash of its text, so rows that share an id by mistake are told apart. Rows without an id stay.
+    What leaves is named by id and a hash of its text, so rows that share an id by mistake are told apart; of rows that share both, one stays. Rows without an id stay.
     """
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    gone = exact_groups(docs, id=id, text=text, carry={"__mark": mark}, **options).where(~F.col("kept"))
-    gone = cut(gone.select(F.col(id).alias("__gone"), "__mark"))
-    return docs.join(broadcast_if_small(gone), (F.col(f"`{id}`") == F.col("__gone")) & (mark == F.col("__mark")), "left_anti")
+    members = exact_groups(docs, id=id, text=text, carry={"__mark": mark}, **options).where("group_size > 1")
+    members = cut(members.select(F.col(id).alias("__own"), "__mark", "kept"))
+
+    def named(rows: DataFrame) -> DataFrame:
+        return broadcast_if_small(rows.select("__own", "__mark"))
+
+    at = (F.col(f"`{id}`") == F.col("__own")) & (mark == F.col("__mark"))
+    out = docs.join(named(members.where(~F.col("kept"))), at, "left_anti")
+    twice = cut(members.where("kept").groupBy("__own", "__mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if twice.isEmpty():
+        return out
+    one = out.join(named(twice), at, "left_semi").withColumn("__mark", mark).dropDuplicates([id, "__mark"]).drop("__mark")
+    return out.join(named(twice), at, "left_anti").unionByName(one)

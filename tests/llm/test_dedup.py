@@ -35,6 +35,8 @@ def test_exact_edges(spark):
     assert exactdedup.exact_groups(empty).count() == 0 and exactdedup.drop_exact(empty).count() == 0
     got = {(r.doc_id, r.kept) for r in exactdedup.exact_groups(rows(spark, ["t", "t", "t", "u"], [5, 5, 2, None])).collect()}
     assert got == {(5, True), (2, False), (None, False)}
+    again = rows(spark, ["same"] * 3 + ["x", "x", "y", None, None], [4, 4, 1, 7, 7, 7, 8, 8])
+    assert sorted((r.doc_id, r.text or "") for r in exactdedup.drop_exact(again).collect()) == [(4, "same"), (7, "x"), (7, "y"), (8, "")]
     docs = rows(spark, ["same", "same", "other", None], [1, 2, 3, None])
     kept = exactdedup.drop_exact(docs)
     assert kept.columns == docs.columns
