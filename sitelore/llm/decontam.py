@@ -8,7 +8,7 @@ in the stretch; a stretch that has them is aligned with the item by local alignm
 words (match 2, mismatch and gap -1), so a common phrase by itself costs a count of words. The score is the best sum over twice the number of the item's words; edits,
 insertions and cuts lower it. Words are compared without case and ASCII punctuation. Everything happens where the document is read; nothing but results moves.
 
-Cases: null and empty documents and items give nothing. An item of fewer than ``n`` words is looked for as a whole.
+Cases: null and empty texts of documents and items give nothing. An item or document with a null id is matched like any other and has a null in its rows; ``drop_leaks`` can't name such a document and keeps it. An item of fewer than ``n`` words is looked for as a whole.
 Repeated items (same id) are one item for each text; repeated documents are matched one by one. An empty benchmark or
 corpus gives an empty result. A document gives one row for each item, with the best of its stretches. Other columns are ignored.
 """
@@ -169,7 +169,7 @@ def _blocks(items: DataFrame, id: str, text: str, block_words: int):
     n = max(1, -(-words // block_words))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield sorted((r.id, r.text) for r in part.distinct().collect() if r.id is not None)
+        yield sorted(((r.id, r.text) for r in part.distinct().collect()), key=lambda x: (x[0] is None, str(x[0]), x[1]))
 
 
 def matches(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 4, least: float = 0.45, block_words: int = 2_000_000) -> DataFrame:
