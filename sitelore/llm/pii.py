@@ -6,8 +6,8 @@ cycle walking, and written back in the same format, separators and all: a card n
 permutation depends only on key and kind, so equal values get equal pseudonyms in every document,
 and ``recover`` with the key gives them back.
 
-Kinds: card (13 to 19 digits, Luhn; the first digit stays), iban (mod 97; country stays), phone (+ and country code stay), ssn, ip (four octets), date (1900 to
-2099), email (letters and digits of the local part; domain stays), secret (hexadecimal or letters-and-digits value of a key, token, secret or password).
+Kinds: card (13 to 19 digits, Luhn; the first digit stays), iban (mod 97; country stays), phone (+ and country code stay, so does a 1 before a ten-digit number), ssn, ip (four octets), date (1900 to
+2099: any date of the calendar, whatever it stands for, so a history text gets other dates unless ``kinds`` leaves dates out), email (letters and digits of the local part; domain stays), secret (hexadecimal or letters-and-digits value of a key, token, secret or password).
 
 Cases: null texts stay null, empty ones empty. What fails validation stays as it is. Values are found left to right and don't
 overlap. In a run of digit groups a card is the longest valid span of whole groups, so a code or date beside it doesn't hide it. In a run of several groups a
@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections.abc import Collection
 from datetime import date
 
 import pyarrow as pa
@@ -35,7 +36,7 @@ NUMBERS = re.compile(
     | (?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)
     | (?P<ssn>\d{3}-\d\d-\d{4})(?![\d-])
     | (?P<card>\d(?:[ -]?\d){12,}+)
-    | (?P<phone>\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d|[.-]\d)
+    | (?P<phone>\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|1(?:[ .-]\d{3}[ .-]|[ .-]?\(\d{3}\)[ .-]?)\d{3}[ .-]\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d|[.-]\d)
     )""",
     re.X,
 )
@@ -90,14 +91,24 @@ def _fill(pattern: str, digits: str) -> str:
     return "".join(next(new) if c.isdigit() else c for c in pattern)
 
 
+#: All kinds of values.
+KINDS = ("card", "iban", "phone", "ssn", "ip", "date", "email", "secret")
+
+
 class Pseudonyms:
-    def __init__(self, key: bytes):
+    def __init__(self, key: bytes, kinds: Collection[str] = KINDS):
+        unknown = set(kinds) - set(KINDS)
+        if unknown:
+            raise ValueError(f"no such kinds of values: {', '.join(sorted(unknown))}")
+        self.kinds = frozenset(kinds)
         self.permute = Feistel(key)
         self.known: dict[tuple[str, str, bool], str | None] = {}
 
     def value(self, kind: str, text: str, back: bool = False) -> str | None:
         """The pseudonym, or None if the value isn't valid."""
         at = (kind, text, back)
+        if kind not in self.kinds:
+            return None
         if at not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
@@ -132,6 +143,8 @@ class Pseudonyms:
         country = 0
         if text.startswith("+"):
             country = len(re.match(r"\+(1(?=\D|\d{10}$)|7(?=\D|\d{10}$)|\d{1,3})", text)[1])
+        elif len(digits) == 11 and digits[0] == "1":
+            country = 1
         return _fill(text, digits[:country] + self._digits("phone" + digits[:country], digits[country:], back))
 
     def _ssn(self, text: str, back: bool) -> str | None:
@@ -286,8 +299,8 @@ class Pseudonyms:
 PII = T.StructField("pii", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 
 
-def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", back: bool = False) -> DataFrame:
-    """The rows with their text under pseudonyms and ``pii``, the kind and span of each. With ``back`` the other way round."""
+def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", kinds: Collection[str] = KINDS, back: bool = False) -> DataFrame:
+    """The rows with their text under pseudonyms and ``pii``, the kind and span of each value of ``kinds``. With ``back`` the other way round."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     from .common import slices, small_batches
@@ -298,7 +311,7 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", back: bool
     kind = to_arrow_type(PII.dataType)
 
     def run(batches):
-        made = Pseudonyms(key)
+        made = Pseudonyms(key, kinds)
         for batch in batches:
             for start, texts in slices(batch, text):
                 done = [made.text(t, back) for t in texts]
@@ -310,6 +323,6 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", back: bool
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, PII]))
 
 
-def recover(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFrame:
+def recover(docs: DataFrame, key: bytes, *, text: str = "text", kinds: Collection[str] = KINDS) -> DataFrame:
     """Gives the values behind the pseudonyms of ``pseudonymise`` back."""
-    return pseudonymise(docs, key, text=text, back=True)
+    return pseudonymise(docs, key, text=text, kinds=kinds, back=True)

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sitelore.llm import bpe, chat, decontam, html_extract, licences, lid, pii, queries
+from sitelore.llm import bpe, chat, decontam, html_extract, lengths, licences, lid, pii, queries
 
 ODD = ["", "  ", None, "it's we'll I'M DON'T 123abc ½ ² ΑΣ ΣΑΣ. é é İstanbul ß <|endoftext|> x<|startoftext|>y 日本語テスト a b\x1cc\x85d 👍🏽 a\u0000b", " a" * 3 + "ab" * 400 + " " + "日本" * 300, "x" * 1000, "'S 's'S'Ve", "ﬁ Ⅷ ǅ ŉ ẞ", "é \x1d\x1d  q", "\n\n a\t b "]
 
@@ -34,6 +34,18 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_table(docs(spark, []), path).count() == 0
 
 
+def test_encoded_lengths_equal_the_library(spark):
+    path = queries.vocabulary()
+    library = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    texts = ODD + ["".join(rng.choice("abcdefgh ÀéñŁ.,!?'12\n") for _ in range(rng.randint(1, 300))) for _ in range(100)]
+    clash = docs(spark, texts).withColumnsRenamed({"lang": "n_tokens", "pii": "block"})
+    got = sorted(r.n_tokens for r in lengths.encoded_lengths(clash, path).collect())
+    want = Counter(len(library.encode(t or "", add_special_tokens=False).ids) for t in texts)
+    assert got == sorted(want.elements())
+    assert {r.n_tokens: r.n_docs for r in lengths.histogram(lengths.encoded_lengths(clash, path)).collect()} == want
+
+
 def test_short_and_long_words_merge_alike():
     own = bpe.load(queries.vocabulary())
     rng = random.Random(4)
@@ -169,6 +181,10 @@ def test_decontamination(spark):
             want.add((i, k))
         texts.append(" ".join(body).upper() if i % 2 else "\n".join(x + "!!" for x in body))
     bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)] + [(90, None), (91, ""), (92, " ".join(items[0]))], "item_id long, text string")
+    nobody = spark.createDataFrame([(None, " ".join(items[0])), (None, None)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.matches(docs(spark, texts), nobody).collect()} == {(i, None) for i, k in want if k == 0}
+    unnamed = docs(spark, texts).withColumn("doc_id", F.lit(None).cast("long"))
+    assert decontam.matches(unnamed, bench).where("doc_id is null and item_id < 90").count() == len(want) and decontam.drop_leaks(unnamed, bench).count() == len(texts)
     for block in (2_000_000, 200):
         got = decontam.matches(docs(spark, texts), bench, block_words=block).collect()
         assert {(r.doc_id, r.item_id) for r in got if r.item_id < 90} == want
@@ -284,6 +300,78 @@ def test_pseudonyms_round_trip(spark):
     assert [r.text for r in again] == texts
 
 
+def test_kinds_and_spellings():
+    made = pii.Pseudonyms(b"k")
+    for text in ("call 1-800-555-1234 now", "1 (800) 555-1234", "1.800.555.1234", "800-555-1234", "(800) 555-1234", "+1-800-555-1234"):
+        new, found = made.text(text)
+        assert [k for k, _, _ in found] == ["phone"] and "800" not in new and made.text(new, True)[0] == text
+    assert made.text("the war of 12/11/1942")[0] != "the war of 12/11/1942"
+    some = pii.Pseudonyms(b"k", [k for k in pii.KINDS if k != "date"])
+    assert some.text("the war of 12/11/1942, 1-800-555-1234") == (f"the war of 12/11/1942, {made.value('phone', '1-800-555-1234')}", [("phone", 23, 37)])
+    assert pii.Pseudonyms(b"k", ()).text(TEXT) == (TEXT, [])
+    with pytest.raises(ValueError):
+        pii.Pseudonyms(b"k", ["name"])
+
+
+def naive_feistel(key, kind, x, n):
+    """A balanced network of ten rounds over the next even number of bits, walked until the value is below n."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    secret = hashlib.blake2b(key, digest_size=32).digest()
+    while True:
+        left, right = divmod(x, 1 << half)
+        for i in range(10):
+            digest = hashlib.blake2b(f"{kind}|{n}|{i}|{right}".encode(), key=secret, digest_size=64).digest()
+            left, right = right, left ^ (int.from_bytes(digest, "big") % (1 << half))
+        x = (left << half) + right
+        if x < n:
+            return x
+
+
+def test_pseudonyms_against_brute_force():
+    """Texts of values between words: what a plain reading, value by value, would give."""
+    key, rng = b"secret", random.Random(3)
+    made = pii.Pseudonyms(key)
+
+    def card():
+        body = f"4{rng.randrange(10**14):014d}"
+        return next(body + d for d in "0123456789" if sum(x if k % 2 else (2 * x) % 9 or (9 if x else 0) for k, x in enumerate(map(int, body + d))) % 10 == 0)
+
+    def new_card(x):
+        middle = f"{naive_feistel(key, 'card414', int(x[1:-1]), 10**14):014d}"
+        return next(x[0] + middle + d for d in "0123456789" if sum(c if k % 2 else (2 * c) % 9 or (9 if c else 0) for k, c in enumerate(map(int, x[0] + middle + d))) % 10 == 0)
+
+    def new_ip(x):
+        a = naive_feistel(key, "ip", sum(int(o) << s for o, s in zip(x.split("."), (24, 16, 8, 0))), 2**32)
+        return ".".join(str(a >> s & 255) for s in (24, 16, 8, 0))
+
+    def new_phone(x):
+        return f"({(y := str(naive_feistel(key, 'phone10', int(re.sub(r'[^0-9]', '', x)), 10**10)).zfill(10))[:3]}) {y[3:6]}-{y[6:]}"
+
+    def new_iso(x):
+        day = naive_feistel(key, "date ymd True", date.fromisoformat(x).toordinal() - pii.FIRST_DAY, pii.LAST_DAY - pii.FIRST_DAY + 1)
+        return date.fromordinal(pii.FIRST_DAY + day).isoformat()
+
+    values = {
+        "card": (card, new_card),
+        "ip": (lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), new_ip),
+        "phone": (lambda: f"({rng.randrange(200, 999)}) {rng.randrange(100, 999)}-{rng.randrange(10**4):04d}", new_phone),
+        "date": (lambda: date.fromordinal(rng.randint(pii.FIRST_DAY, pii.LAST_DAY)).isoformat(), new_iso),
+    }
+    for _ in range(150):
+        parts, want, kinds = [], [], []
+        for _ in range(rng.randint(0, 6)):
+            kind = rng.choice(list(values))
+            make, new = values[kind]
+            x = make()
+            word = rng.choice(["word", "é,", "no 12 or", "(see)", "300.1.1.1", "2021-02-30", "4111111111111112"]) + " word "
+            parts.append(word + x + rng.choice([" and", ", ", ".\n", "; "]))
+            want.append(parts[-1].replace(x, new(x)))
+            kinds.append(kind)
+        text = " ".join(parts)
+        got, found = made.text(text)
+        assert got == " ".join(want) and [k for k, _, _ in found] == kinds and made.text(got, True)[0] == text
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"k")
     for n in (1, 2, 10, 100, 365):
