@@ -8,9 +8,9 @@ A text gets the language of the lowest cross-entropy per character; a text
 whose cross-entropy is above that language's limit for texts of its length is rejected.
 
 The limits are calibrated, with no floor by hand. Held-out documents, whole and in pieces of 1, 2, 4, ... words, and the same pieces with the letters
-of each word shuffled are scored like any text. For each predicted language and size the limit is half way between the highest value of a true piece and the
-lowest hundredth of the shuffled ones; where the two overlap, as single words do, it is the highest true value or the median of the shuffled ones, whichever is more, so true texts
-pass. A text's size is its effective number of words, (sum of n)^2 / sum of n^2 over its different words that occur n times: a line that repeats a hundred times
+of each word shuffled are scored like any text. For each predicted language and size the limit is the value that a twentieth of the shuffled pieces stays below, so a text
+that holds a name or a key in a few words isn't rejected as long as it is nearer to the language than to its letters at random; where true pieces reach higher, as single words do, it is the highest true value or
+the median of the shuffled ones, whichever is more, so true texts pass. A text's size is its effective number of words, (sum of n)^2 / sum of n^2 over its different words that occur n times: a line that repeats a hundred times
 says no more than once.
 
 Cases: null text, empty text and text without a letter give ``und``, score 0,
@@ -57,10 +57,22 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _ngrams(chars: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the characters that have n - 1 before them in the word: where they stand, n-gram hash, context hash."""
     at = np.flatnonzero(place >= max(n - 1, 1))
+    return at, *_hashes(chars, at, n)
+
+
+def _hashes(chars: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     context = np.full(len(at), 7 + n, np.uint64)
     for k in range(n - 1, 0, -1):
         context = context * grams.U(0x9E3779B97F4A7C15) + chars[at - k] + grams.U(1)
-    return at, grams.mix(context * grams.U(0xD1342543DE82EF95) + chars[at] + grams.U(1)), grams.mix(context)
+    return grams.mix(context * grams.U(0xD1342543DE82EF95) + chars[at] + grams.U(1)), grams.mix(context)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each wanted hash in the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    row = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return row, keys[row] == wanted
 
 
 @dataclass
@@ -141,19 +153,25 @@ class KneserNey:
         self.context_w = [x.astype(np.float32) for x in self.context_w]
 
     def bits(self, words: list[str]) -> np.ndarray:
-        """(words, languages): bits of each word with its closing mark."""
+        """(words, languages): bits of each word with its closing mark.
+
+        The longest n-gram that is stored answers for a character, under the back-off weights of the longer contexts; so most characters need one search.
+        """
         chars, place = _codes(words)
         p = np.tile(self.floor.astype(np.float32), (len(chars), 1))
-        for n in range(1, self.order + 1):
-            at, gram, context = _ngrams(chars, place, n)
-            keys, contexts = self.gram_keys[n - 1], self.context_keys[n - 1]
-            row = np.minimum(np.searchsorted(keys, gram), max(len(keys) - 1, 0))
-            found = keys[row] == gram if len(keys) else np.zeros(len(at), bool)
-            p[at[found]] = self.gram_p[n - 1][row[found]]
-            rest, ctx = at[~found], context[~found]
-            row = np.minimum(np.searchsorted(contexts, ctx), max(len(contexts) - 1, 0))
-            known = contexts[row] == ctx if len(contexts) else np.zeros(len(rest), bool)
-            p[rest[known]] *= self.context_w[n - 1][row[known]]
+        weight = np.ones_like(p)
+        left = np.flatnonzero(place >= 1)
+        for n in range(self.order, 0, -1):
+            able = place[left] >= n - 1
+            at = left[able]
+            gram, context = _hashes(chars, at, n)
+            row, there = _found(self.gram_keys[n - 1], gram)
+            hit, miss = at[there], at[~there]
+            p[hit] = self.gram_p[n - 1][row[there]] * weight[hit]
+            row, known = _found(self.context_keys[n - 1], context[~there])
+            weight[miss[known]] *= self.context_w[n - 1][row[known]]
+            left = np.concatenate([left[~able], miss])
+        p[left] *= weight[left]
         bits = -np.log2(np.maximum(p, 1e-12))
         bits[place == 0] = 0
         size = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -171,7 +189,7 @@ class Scorer:
     def _learn(self, pieces: list[str]) -> None:
         words, owner = [], []
         for i, piece in enumerate(pieces):
-            for run in LETTERS.findall(piece):
+            for run in (piece,) if piece.isalpha() else LETTERS.findall(piece):
                 for k in range(0, len(run), PIECE):
                     words.append(run[k : k + PIECE])
                     owner.append(i)
@@ -337,8 +355,8 @@ def limits(lang: np.ndarray, size: np.ndarray, bits: np.ndarray, real: np.ndarra
             elif not len(false):
                 out[k] = max(true.max(), out[k - 1] if k and np.isfinite(out[k - 1]) else 0.0)
             else:
-                low = np.quantile(false, 0.01)
-                out[k] = (true.max() + low) / 2 if true.max() < low else max(true.max(), np.median(false))
+                low = np.quantile(false, 0.05)
+                out[k] = low if true.max() < low else max(true.max(), np.median(false))
         return out
 
     every = of(np.ones(len(lang), bool))

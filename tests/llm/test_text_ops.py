@@ -143,8 +143,8 @@ def test_limits_lie_between_true_and_shuffled_text(spark):
     assert not scorer.predict([" ".join([t] * 200) for t in held])[3].any()
     one = lambda **k: lid.limits(*(np.array(k[n]) for n in ("lang", "size", "bits", "real")), 2)
     got = one(lang=[0, 0, 0, 0], size=[3, 3, 3, 0], bits=[2.0, 2.5, 4.5, 3.0], real=[True, True, False, True])
-    assert got[0, 3] == 3.5 and got[0, 0] == 3.0 == got[0, 2] and got[0, 4] == 3.5 and (got[1] == got[0]).all()
-    assert one(lang=[0, 0, 0], size=[3, 3, 4], bits=[2.0, 4.0, 1.5], real=[True, False, True])[0, 4] == 3.0
+    assert got[0, 3] == 4.5 and got[0, 0] == 3.0 == got[0, 2] and got[0, 4] == 4.5 and (got[1] == got[0]).all()
+    assert one(lang=[0, 0, 0], size=[3, 3, 4], bits=[2.0, 4.0, 1.5], real=[True, False, True])[0, 4] == 4.0
 
 
 def naive_alignment(a, b):
