@@ -92,6 +92,25 @@ def matched(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
+def _closest(own: str, others) -> float:
+    """Highest token similarity of a signature to any of others; a ratio is only worked out where its bound could be the highest."""
+    best, words = 0.0, set(own.split())
+    if words:
+        for other in sorted({x for x in others if x}, key=lambda x: (-len(words.intersection(x.split())), x)):
+            shared = 0.65 * len(words.intersection(other.split())) / len(words)
+            if shared + 0.35 * 2 * min(len(own), len(other)) / (len(own) + len(other)) > best:
+                pair = SequenceMatcher(None, own, other)
+                if shared + 0.35 * pair.quick_ratio() > best:
+                    best = max(best, shared + 0.35 * pair.ratio())
+    return best
+
+
+@arrow(REAL)
+def closest(own: pd.Series, others: pd.Series) -> pd.Series:
+    """For each signature its similarity to the most similar of a list of signatures; 0 for an empty one or an empty list."""
+    return pd.Series([_closest(a or "", b if b is not None else ()) for a, b in zip(own, others)], dtype=float)
+
+
 def token_similarity(left: Column, right: Column) -> Column:
     """Weighted token overlap and letter ratio of two token lists; 0 if either is empty. Not symmetric."""
     a, b = F.array_join(left, " "), F.array_join(right, " ")

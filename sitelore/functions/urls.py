@@ -217,7 +217,7 @@ def without_tracking(query_: Column) -> Column:
 def variants(url: Column, keep_port: bool = False) -> Column:
     """Ordered distinct variants of a normal URL: its own scheme, https, http, each with and without www."""
     host = full_host(url)
-    other = F.when(host.startswith("www."), F.substring(host, 5, 10_000)).otherwise(F.concat(F.lit("www."), host))
+    other = F.when(host.startswith("www."), F.right(host, F.length(host) - 4)).otherwise(F.concat(F.lit("www."), host))
     port = F.regexp_extract(url, r"^[a-z]+://[^/?#]*?(:[0-9]+)(?:[/?#]|$)", 1) if keep_port else F.lit("")
     q = query(url)
     rest = F.concat(port, F.when(path(url) == "", F.lit("/")).otherwise(path(url)), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))

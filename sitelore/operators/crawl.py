@@ -1,141 +1,305 @@
-"""The crawl loop over a page store: a grouped map per registered domain.
+"""The crawl over a page store: every stored page is read once, then sites walk over narrow facts by joins.
 
-Sites and stored pages of a registered domain meet in one group, because links are followed across its hosts. Inside,
-the frontier is walked in the order that pages were found, within the page budget: in fast mode one page at a time until every wanted kind is
-there, in full mode in batches. A fetch is a lookup in the group.
+1. ``read_pages`` parses each stored page of the sites' domains once and gives its evidence and its facts: links,
+   sitemap entries, robots rules, title, address, description. Bodies are neither grouped nor joined nor shuffled.
+2. ``walk`` moves all sites at once, round by round. A site's state is one narrow row: the pages visited, the queue, what is still
+   wanted. It asks for pages by URL, and a join with the facts, which are dealt by URL once, answers. So no task holds the pages of a
+   domain, however many it has. A fast crawl takes as many rounds as pages are visited, a full one as many as batches.
+
+What counts as found on a page is its evidence, row for row, because the facts of ``found`` are aggregated from it.
+
+Cases: a site whose home page is in the store under no variant has one visit with status failed. A page that robots rules forbid is visited as
+``disallowed``; it uses budget. Of several copies of a URL the one by tier, then by a hash of its body, is read. Null URLs and bodies and bodies over 5 MB are no pages. An empty
+list or store gives no rows or failed sites.
 """
 
 from __future__ import annotations
 
-from collections.abc import Collection
+import json
+from collections.abc import Callable, Collection
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
-from .page import KINDS
+from ..functions import tables as K
+from ..plans.options import CleanOptions, kinds_of, needed_kinds
+from .page import KINDS, facts_and_evidence, parse_pages
 from .rank import rank_list
+from .tables import cut, cut_by
 
 VISITS = "site_key string, ordinal int, url string, status string, wanted string, found string"
+MAX_BYTES = 5_000_000
+SITEMAPS, SITEMAP_LINKS = 4, 500
+#: Evidence kinds of the long evidence; the other kinds are facts of a page.
+EVIDENCE_KINDS = ("email", "phone", "social")
 
 
-def _kinds(parsed: dict, raw: str) -> set[str]:
-    """Kinds that a page shows something of, by the same tests as the long evidence, on one page."""
-    import re
-
-    from ..functions import phone
-    from ..functions import tables as K
-
-    out = set()
-    hrefs = [a["href"].lower() for a in parsed["anchors"]]
-    pattern = re.compile(K.EMAIL_PATTERN, re.I)
-    mails = [h[7:] for h in hrefs if h.startswith("mailto:")] + parsed["cf"] + parsed["ld_emails"] + [parsed["text"], raw]
-    found = [m.lower() for x in mails for m in pattern.findall(x)]
-    if any(not any(b in m for b in K.BAD_EMAIL_PARTS) and not m.endswith(K.BAD_EMAIL_ENDINGS) and ".." not in m for m in found):
-        out.add("email")
-    region = parsed["lang"].rpartition("-")[2].upper() if "-" in parsed["lang"] else "US"
-    numbers = [h[4:] for h in hrefs if h.startswith("tel:")] + parsed["ld_phones"] + [m[0] for m in re.finditer(K.PHONE_PATTERN, parsed["text"], re.I)]
-    if any(phone.normal(x, region) for x in numbers):
-        out.add("phone")
-    hosts = {urls.host_of(u) for u in [a["url"] for a in parsed["anchors"] if a["url"]] + parsed["ld_same_as"]}
-    if any(h == s or h.endswith("." + s) for h in hosts for ss in K.SOCIAL_HOSTS.values() for s in ss):
-        out.add("social")
-    return out | {k for k in ("address", "description") if parsed[k]}
-
-
-def crawl_site(start: str, fetch, wanted: Collection[str], max_pages: int, fast: bool, per_site: int = 3, sitemap_first: bool = False) -> list[tuple[str, str, str, str]]:
-    """(url, status, still wanted before it, found on it) of each page attempted, the home page first."""
-    todo = set(wanted) or set(KINDS)
-    asked = set(todo)
-    visits: list[tuple[str, str, str, str]] = []
-    seen: set[str] = set()
-    queue: list[str] = []
-    parsed_links: dict[str, list[tuple[str, str]]] = {}
-
-    def visit(url: str) -> bool:
-        raw = fetch(url)
-        state = ",".join(sorted(todo))
-        if raw is None:
-            visits.append((url, "failed", state, ""))
-            return False
-        page = html.parse(raw, url)
-        found = _kinds(page, raw) & asked
-        visits.append((url, "ok", state, ",".join(sorted(found))))
-        first: dict[str, str] = {}
-        for a in page["anchors"]:
-            if a["url"] and urls.domain_of(a["url"]) == urls.domain_of(url):
-                first.setdefault(a["url"], a["text"])
-        parsed_links[url] = list(first.items())
-        if fast:
-            todo.difference_update(found)
-        return True
+def page_key(url: Column) -> Column:
+    return urls.frontier_key(url)
+
+
+def _facts(body: Column) -> Column:
+    """What a walk asks of a page."""
+    parsed = F.col("parsed")
+    links = F.transform(F.filter(parsed["anchors"], lambda a: a["url"].isNotNull()), lambda a: F.struct(a["url"].alias("url"), a["text"].alias("text")))
+    none = F.array().cast("array<string>")
+    entries = F.transform(F.regexp_extract_all(body, F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), F.lit(1)), lambda x: F.regexp_replace(x, r"\s+", ""))
+    robots = urls.path(F.col("url")) == "/robots.txt"
+    return F.struct(
+        F.col("url").alias("url"),
+        html.js_shell(body, parsed["text"]).alias("shell"),
+        links.alias("links"),
+        F.when(F.lower(body).contains("<loc>"), F.slice(entries, 1, SITEMAP_LINKS)).otherwise(none).alias("entries"),
+        F.when(robots, F.regexp_extract_all(body, F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), F.lit(1))).otherwise(none).alias("sitemaps"),
+        F.when(robots, body).alias("rules"),
+        parsed["title"].alias("title"),
+        parsed["address"].alias("address"),
+        parsed["description"].alias("description"),
+    )
+
+
+def read_pages(sites: DataFrame, pages: DataFrame, *, kinds: Collection[str] = KINDS, site: str = "url", url: str = "url", body: str = "html", default_region: str = "US") -> tuple[DataFrame, DataFrame]:
+    """(facts, evidence) of the stored pages of the sites' registered domains, by ``key``, the URL without slashes at its end.
+
+    Both come from one scan of ``pages``, which may have a ``tier_order`` to choose among copies of a URL.
+    """
+    tier = F.col("tier_order") if "tier_order" in pages.columns else F.lit(0)
+    rows = pages.select(F.col(url).alias("url"), F.col(body).alias("html"), tier.cast("int").alias("tier")).where(F.col("url").isNotNull() & (F.col("html") != "") & (F.octet_length("html") <= MAX_BYTES))
+    domains = cut(sites.select(urls.domain_key(F.col(site)).alias("domain")).distinct())
+    if domains.count() <= 500_000:
+        rows = rows.join(F.broadcast(domains), urls.domain_key(F.col("url")) == F.col("domain"), "left_semi")
+    keys = ["key", "copy"]
+    rows = rows.withColumns({"key": page_key(F.col("url")), "copy": F.struct("tier", F.xxhash64("html").alias("hash"))})
+    wanted = [k for k in EVIDENCE_KINDS if k in (set(kinds) or set(KINDS))] or ["email"]
+    read = cut(facts_and_evidence(parse_pages(rows), keys, _facts(F.col("html")), kinds=wanted, default_region=default_region))
+    evidence = read.where("kind <> 'page'").drop("facts")
+    found = evidence.groupBy(*keys).agg(F.collect_set(F.struct("kind", "category", F.coalesce(F.col("meta")["region"], F.lit("")).alias("region"), "confidence")).alias("found"))
+    best = read.where("kind = 'page'").groupBy("key").agg(F.min_by(F.struct("copy", "facts"), F.struct(F.col("facts.shell"), F.col("copy"))).alias("b")).select("key", "b.copy", "b.facts.*")
+    facts = best.join(found, keys, "left")
+    # dealt by key once; the joins of all rounds keep this partitioning. A key has one row
+    return cut_by(facts, "key"), evidence
+
 
-    def push(found: list[tuple[str, str]], kinds: set[str]) -> None:
-        for u in rank_list(found, root, max(4 * max_pages, 20), kinds):
+class Walk:
+    """The state of one site's crawl; all of it can be written as JSON."""
+
+    def __init__(self, start: str, variants: list[str], rules: dict, state: dict | None = None):
+        self.rules = rules
+        self.s = state or {"start": start, "want": list(dict.fromkeys([*variants, f"{_origin(start)}/robots.txt"])), "step": "home", "root": "", "robots": None, "sitemaps": None, "queue": [], "seen": [], "visits": [], "found": [], "unmet": None}
+
+    @property
+    def want(self) -> list[str]:
+        return self.s["want"]
+
+    def wanted(self) -> list[str]:
+        """Kinds still looked for."""
+        kinds, fields = self.rules["kinds"], self.rules["fields"]
+        if not self.rules["fast"]:
+            return kinds
+        if fields is not None:
+            return sorted(needed_kinds(kinds, [f for f in fields if f not in self.s["found"]]))
+        return [k for k in kinds if k not in self.s["found"]]
+
+    def _meets(self, page: dict, wanted: list[str]) -> tuple[set[str], set[str]]:
+        """(kinds found on the page, what of fields or kinds the page fulfils); only wanted kinds are looked for."""
+        items = [x for x in page["found"] or [] if x["kind"] in wanted]
+        kinds = {x["kind"] for x in items} | {k for k in ("address", "description") if k in wanted and page[k]}
+        if self.rules["fields"] is None:
+            return kinds, kinds
+        good = [x for x in items if x["confidence"] >= self.rules["least"]]
+        region = self.rules["region"]
+        met = {"website"} | (kinds & {"address", "description"})
+        for x in good:
+            if x["kind"] == "email" or (x["kind"] == "phone" and region in ("AUTO", x["region"])):
+                met.add(x["kind"])
+            elif x["kind"] == "social":
+                met |= {f for f, platform in K.SOCIAL_COLUMNS.items() if platform == x["category"]}
+        return kinds, met
+
+    def _visit(self, url: str, page: dict | None) -> None:
+        wanted = self.wanted()
+        state = ",".join(sorted(wanted))
+        if not self._allowed(url):
+            self.s["visits"].append([url, "disallowed", state, ""])
+        elif page is None:
+            self.s["visits"].append([url, "failed", state, ""])
+        else:
+            kinds, met = self._meets(page, wanted)
+            self.s["visits"].append([page["url"], "ok", state, ",".join(sorted(kinds & set(self.rules["kinds"])))])
+            self.s["found"] = sorted(set(self.s["found"]) | met)
+
+    def _allowed(self, url: str) -> bool:
+        if not self.rules["robots"] or not self.s["robots"]:
+            return True
+        parser = RobotFileParser()
+        parser.parse(self.s["robots"].splitlines())
+        return parser.can_fetch("*", url)
+
+    def _push(self, links: list[tuple[str, str]]) -> None:
+        wanted = self.wanted()
+        seen = set(self.s["seen"])
+        for u in rank_list(links, self.s["root"], max(4 * self.rules["max_pages"], 20), wanted) if wanted else []:
             key = u.rstrip("/")
             if key not in seen:
                 seen.add(key)
-                queue.append(u)
-
-    def from_sitemap() -> None:
-        import re
-
-        body = fetch(root + "/sitemap.xml") or ""
-        push([(u, "") for u in re.findall(r"(?i)<loc>\s*([^<\s]+)\s*</loc>", body)[:500] if u.startswith(root)], todo)
-
-    root = "/".join(start.split("/", 3)[:3])
-    seen.add(start.rstrip("/"))
-    if not visit(start):
-        return visits
-    if fast and not todo:
-        return visits
-    if sitemap_first:
-        from_sitemap()
-    push(parsed_links[start], todo)
-    at = 0
-    used_sitemap = sitemap_first
-    while len(visits) < max_pages:
-        if at >= len(queue):
-            if used_sitemap or not fast:
-                break
-            used_sitemap = True
-            from_sitemap()
-            continue
-        batch = [queue[at]] if fast else queue[at : at + min(per_site, max_pages - len(visits))]
-        at += len(batch)
-        got = [u for u in batch if visit(u)]
-        if fast and not todo:
-            break
-        for u in got:
-            push(parsed_links[u], todo)
-    return visits
+                self.s["seen"].append(key)
+                self.s["queue"].append(u)
 
+    def _links(self, page: dict) -> list[tuple[str, str]]:
+        """Links within the registered domain, the first text of each."""
+        own = urls.domain_of(page["url"])
+        first: dict[str, str] = {}
+        for a in page["links"]:
+            if urls.domain_of(a["url"]) == own:
+                first.setdefault(a["url"], a["text"])
+        return list(first.items())
 
-def crawl(sites: DataFrame, pages: DataFrame, *, wanted: Collection[str] = KINDS, max_pages: int = 6, fast: bool = True, sitemap_first: bool = False, site: str = "url", url: str = "url", body: str = "html") -> DataFrame:
-    """VISITS rows of every site. ``sites`` has a normal home page URL, ``pages`` normal URLs and bodies of usable pages."""
-    left = sites.select(F.col(site).alias("start"), urls.site_key(F.col(site)).alias("site_key"), urls.domain_key(F.col(site)).alias("domain"))
-    right = pages.select(F.col(url).alias("url"), F.col(body).alias("body"), urls.domain_key(F.col(url)).alias("domain")).where(F.octet_length("body") <= 5_000_000)
-    wanted = sorted(set(wanted) or KINDS)
+    def _sitemap_entries(self, got: dict) -> list[tuple[str, str]]:
+        found = [u for name in self.s["sitemaps"] for u in (got.get(name.rstrip("/")) or {}).get("entries") or []]
+        return [(u, u.rsplit("/", 1)[-1]) for u in found if u.startswith(self.s["root"])]
 
-    def run(own: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        store: dict[str, str] = {}
-        for u, b in sorted(zip(stored.url, stored.body)):
-            store.setdefault(u.rstrip("/"), b)
-        out = []
-        for key, start in sorted(zip(own.site_key, own.start)):
-            for i, v in enumerate(crawl_site(start, lambda u: store.get(u.rstrip("/")) or None, wanted, max_pages, fast, sitemap_first=sitemap_first)):
-                out.append((key, i, *v))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in VISITS.split(", ")])
+    def _ask_sitemaps(self) -> None:
+        usual = [self.s["root"] + p for p in ("/sitemap.xml", "/sitemap_index.xml")]
+        self.s["sitemaps"] = sorted({*usual, *self.s.get("named", [])})[:SITEMAPS]
+        self.s["want"], self.s["step"] = self.s["sitemaps"], "sitemaps"
 
-    # only domains that a site has; pages of others stay where they are
-    return left.groupBy("domain").cogroup(right.join(left.select("domain").distinct(), "domain", "left_semi").groupBy("domain")).applyInPandas(run, VISITS)
+    def _next(self) -> None:
+        """Chooses what to ask for, or ends."""
+        left = self.rules["max_pages"] - len(self.s["visits"])
+        self.s["want"] = []
+        if left < 1 or not self.wanted():
+            self.s["step"] = "done"
+        elif not self.s["queue"]:
+            if self.rules["fast"] and self.s["sitemaps"] is None:
+                self._ask_sitemaps()
+            else:
+                self.s["step"] = "done"
+        else:
+            n = 1 if self.rules["fast"] else min(self.rules["per_site"], left)
+            self.s["want"], self.s["queue"] = self.s["queue"][:n], self.s["queue"][n:]
+            self.s["step"] = "pages"
+
+    def take(self, got: dict[str, dict]) -> None:
+        """Goes on with the pages asked for, by key; pages that aren't there are missing."""
+        page = lambda u: got.get(u.rstrip("/"))
+        step, asked = self.s["step"], self.s["want"]
+        if step == "home":
+            robots = page(asked[-1]) or {}
+            self.s["robots"], self.s["named"] = robots.get("rules"), robots.get("sitemaps") or []
+            there = [u for u in asked[:-1] if page(u)]
+            home = next((u for u in there if not page(u)["shell"]), there[0] if there else self.s["start"])
+            self._visit(home, page(home))
+            if self.s["visits"][0][1] != "ok":
+                self.s["want"], self.s["step"] = [], "done"
+                return
+            self.s["root"] = _origin(page(home)["url"])
+            self.s["seen"].append(home.rstrip("/"))
+            if not self.wanted():
+                self.s["want"], self.s["step"] = [], "done"
+                return
+            if self.rules["sitemap_first"]:
+                self.s["later"] = self._links(page(home))
+                self._ask_sitemaps()
+                return
+            self._push(self._links(page(home)))
+        elif step == "sitemaps":
+            self._push(self._sitemap_entries(got))
+            if self.rules["sitemap_first"]:
+                self._push(self.s.pop("later"))
+        else:
+            for u in asked:
+                self._visit(u, page(u))
+            if self.wanted():
+                for u in asked:
+                    if page(u) and self._allowed(u):
+                        self._push(self._links(page(u)))
+        self._next()
+
+
+def _origin(url: str) -> str:
+    return "/".join(url.split("/", 3)[:3])
+
+
+def rules_of(wanted: Collection[str], max_pages: int, fast: bool, *, options: CleanOptions | None = None, per_site: int = 3, sitemap_first: bool = False, respect_robots: bool = True) -> dict:
+    """What a walk goes by. With options a fast crawl ends when their fields are met in their quality and region."""
+    kinds = sorted(set(wanted) or (options.kinds if options else set()) or set(KINDS))
+    fields = list(options.fields) if options else None
+    if fields is not None:
+        kinds = sorted({*kinds, *(kinds_of(fields) if not wanted else ())})
+    return {"kinds": kinds, "fields": fields, "least": options.least_confidence if options else 0.0, "region": options.phone_region if options else "AUTO", "max_pages": max_pages, "fast": fast, "per_site": per_site, "sitemap_first": sitemap_first, "robots": respect_robots}
+
+
+def walk_one(start: str, fetch: Callable[[str], dict | None], rules: dict, variants: list[str] | None = None) -> list[list[str]]:
+    """The visits of one site, with a function in place of the store."""
+    site = Walk(start, variants or [start], rules)
+    while site.want:
+        site.take({u.rstrip("/"): page for u in site.want if (page := fetch(u.rstrip("/"))) is not None})
+    return site.s["visits"]
+
+
+STATE = "site_key string, state string, want array<string>"
+
+
+def _begin(rules: dict):
+    def run(batches):
+        for batch in batches:
+            rows = [Walk(s, v, rules) for s, v in zip(batch.column("start").to_pylist(), batch.column("variants").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("site_key"), pa.array([json.dumps(w.s) for w in rows], pa.string()), pa.array([w.want for w in rows], pa.list_(pa.string()))], names=["site_key", "state", "want"])
+
+    return run
+
+
+def _step(rules: dict):
+    def run(batches):
+        for batch in batches:
+            states, wants = [], []
+            for state, pages in zip(batch.column("state").to_pylist(), batch.column("pages").to_pylist()):
+                site = Walk("", [], rules, json.loads(state))
+                site.take({p["key"]: p for p in pages})
+                states.append(json.dumps(site.s))
+                wants.append(site.want)
+            yield pa.RecordBatch.from_arrays([batch.column("site_key"), pa.array(states, pa.string()), pa.array(wants, pa.list_(pa.string()))], names=["site_key", "state", "want"])
+
+    return run
+
+
+def walk(sites: DataFrame, facts: DataFrame, rules: dict, *, site: str = "url") -> DataFrame:
+    """VISITS rows of every site. ``sites`` has normal home page URLs, ``facts`` is from ``read_pages``."""
+    home = sites.select(urls.site_key(F.col(site)).alias("site_key"), F.col(site).alias("start"), urls.variants(F.col(site)).alias("variants"))
+    state = cut(home.mapInArrow(_begin(rules), STATE))
+    done = []
+    page = F.struct("key", "url", "shell", "links", "entries", "sitemaps", "rules", (F.coalesce("address", F.lit("")) != "").alias("address"), (F.coalesce("description", F.lit("")) != "").alias("description"), "found")
+    # every round visits a page or ends a walk, but for the home page's and the sitemaps' rounds
+    for _ in range(rules["max_pages"] + 3):
+        done.append(state.where(F.size("want") == 0))
+        active = state.where(F.size("want") > 0)
+        if active.isEmpty():
+            break
+        asked = active.select("site_key", "state", F.explode("want").alias("ask")).select("site_key", "state", page_key(F.col("ask")).alias("key"))
+        got = asked.join(facts, "key", "left")
+        answered = got.groupBy("site_key", "state").agg(F.collect_list(F.when(F.col("url").isNotNull(), page)).alias("pages"))
+        state = cut(answered.select("site_key", "state", "pages").mapInArrow(_step(rules), STATE))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    seen = F.from_json(F.get_json_object("state", "$.visits"), "array<array<string>>")
+    rows = out.select("site_key", F.posexplode(seen).alias("ordinal", "v"))
+    return rows.select("site_key", "ordinal", *[F.col("v")[i].alias(n) for i, n in enumerate(("url", "status", "wanted", "found"))])
+
+
+def crawl(sites: DataFrame, pages: DataFrame, *, wanted: Collection[str] = KINDS, max_pages: int = 6, fast: bool = True, sitemap_first: bool = False, options: CleanOptions | None = None, respect_robots: bool = True, default_region: str = "US", site: str = "url", url: str = "url", body: str = "html") -> DataFrame:
+    """VISITS rows of every site. ``sites`` has a normal home page URL, ``pages`` normal URLs and bodies of usable pages."""
+    rules = rules_of(wanted, max_pages, fast, options=options, sitemap_first=sitemap_first, respect_robots=respect_robots)
+    facts, _ = read_pages(sites, pages, kinds=rules["kinds"], site=site, url=url, body=body, default_region=default_region)
+    return walk(sites, facts, rules, site=site)
 
 
 def allowed(pages: DataFrame, robots: DataFrame, *, url: str = "url", origin: str = "origin", body: str = "body") -> DataFrame:
     """The pages that their origin's robots file lets any agent fetch; an origin without a file allows all."""
-    from urllib.robotparser import RobotFileParser
-
     @F.pandas_udf("boolean")
     def ok(rules: pd.Series, target: pd.Series) -> pd.Series:
         known: dict[str, RobotFileParser] = {}

@@ -37,7 +37,7 @@ def _numbered(raws: Column, kind: str, source: str, step: int, value=lambda x: F
 def _prefixed(anchors: Column, prefix: str) -> Column:
     """What follows ``prefix`` in the links that have it."""
     hit = F.filter(anchors, lambda a: F.lower(a["href"]).startswith(prefix))
-    return F.transform(hit, lambda a: F.substring(a["href"], len(prefix) + 1, 1_000_000))
+    return F.transform(hit, lambda a: F.right(a["href"], F.length(a["href"]) - len(prefix)))
 
 
 def email_candidates(parsed: Column, raw_html: Column) -> Column:
@@ -66,25 +66,37 @@ def evidence(parsed_pages: DataFrame, keys: Collection[str], *, kinds: Collectio
 
     Kinds that aren't asked for aren't in the plan.
     """
+    return _rows(parsed_pages, keys, kinds, url, html_column, default_region, None)
+
+
+def facts_and_evidence(parsed_pages: DataFrame, keys: Collection[str], facts: Column, *, kinds: Collection[str] = KINDS, url: str = "url", html_column: str = "html", default_region: str = "US") -> DataFrame:
+    """The rows of ``evidence`` and one row of kind ``page`` for each page with the struct ``facts``, null elsewhere: both from one parse, without the page's body."""
+    return _rows(parsed_pages, keys, kinds, url, html_column, default_region, facts)
+
+
+def _rows(parsed_pages: DataFrame, keys: Collection[str], kinds: Collection[str], url: str, html_column: str, default_region: str, facts: Column | None) -> DataFrame:
     wanted = set(kinds) or set(KINDS)
     parsed, c = F.col("parsed"), F.col
     found = {"email": lambda: email_candidates(parsed, F.coalesce(html_column, F.lit(""))), "phone": lambda: phone_candidates(parsed), "social": lambda: social_candidates(parsed)}
     base = [F.col(k) for k in keys]
+    own = [] if facts is None else [_numbered(F.array(F.lit("")), "page", "", 0)]
+    carried = [] if facts is None else [facts.alias("__facts")]
     # one explode over the candidates of all kinds: the page is parsed once
-    rows = parsed_pages.select(*base, c(url).alias("source_url"), "site_domain", html.region(F.coalesce(parsed["lang"], F.lit("")), default_region).alias("page_region"), F.explode_outer(F.concat(*[f() for k, f in found.items() if k in wanted])).alias("c"))
-    rows = rows.select(*base, "source_url", "site_domain", "page_region", "c.*").where("raw is not null")
+    rows = parsed_pages.select(*base, c(url).alias("source_url"), "site_domain", html.region(F.coalesce(parsed["lang"], F.lit("")), default_region).alias("page_region"), F.explode_outer(F.concat(*own, *[f() for k, f in found.items() if k in wanted])).alias("c"), *carried)
+    rows = rows.select(*base, "source_url", "site_domain", "page_region", "c.*", *(["__facts"] if carried else [])).where("raw is not null")
     is_ = lambda k: c("kind") == k
     if "phone" in wanted:
         rows = rows.withColumn("n", phone.normalized(F.when(is_("phone"), c("value")), c("page_region")))
     else:
         rows = rows.withColumn("n", F.lit(None).cast("struct<value:string,region:string,type:string>"))
     rows = rows.withColumn("value", F.when(is_("phone"), c("n.value")).otherwise(c("value")))
-    rows = rows.where("value is not null").where(~is_("email") | (email.verdict(c("value")) == "valid"))
+    rows = rows.where(is_("page") | (c("value").isNotNull() & (~is_("email") | (email.verdict(c("value")) == "valid"))))
     confidence = F.when(is_("email"), email.confidence(c("value"), c("source_type"), c("site_domain"), c("source_url"))).when(is_("phone"), phone.confidence(c("source_type"), c("source_url"))).otherwise(social.confidence(c("source_type")))
     category = F.when(is_("email"), email.category(c("value"), c("site_domain"))).otherwise(c("label"))
     raw = F.when(is_("email"), F.substring(text.clean(c("raw")), 1, 200)).when(is_("phone"), F.substring(text.clean(c("raw")), 1, 100)).otherwise(c("shown"))
     meta = F.when(is_("phone"), F.create_map(F.lit("region"), c("n.region"), F.lit("type"), c("n.type")))
-    return rows.select(*base, "pass_ordinal", "match_ordinal", "value", "kind", "source_url", "source_type", confidence.alias("confidence"), category.alias("category"), raw.alias("raw_value"), meta.alias("meta"))
+    last = [] if facts is None else [F.when(is_("page"), c("__facts")).alias("facts")]
+    return rows.select(*base, "pass_ordinal", "match_ordinal", "value", "kind", "source_url", "source_type", confidence.alias("confidence"), category.alias("category"), raw.alias("raw_value"), meta.alias("meta"), *last)
 
 
 def links(parsed_pages: DataFrame, keys: Collection[str], *, url: str = "url") -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import html, text, urls
 from ..functions import tables as K
-from ..functions import text, urls
 from ..functions.email import lookup
+from .page import parse_pages, resolver_evidence
+from .tables import broadcast_if_small, cut
 
 FOUND = 0.62
 
@@ -88,6 +90,48 @@ def top_candidates(candidates: DataFrame, limit: int = 12) -> DataFrame:
     return ranked.withColumn("pre_rank", F.row_number().over(order)).where(F.col("pre_rank") <= limit).drop("__d", "__n", "__own", "__label", "__title")
 
 
+#: Characters of a page that the resolver reads.
+READ = 1_000_000
+EVIDENCE = "final_url string, page_title string, description string, text_sample string, structured_names array<string>, structured_urls array<string>, structured_same_as array<string>, structured_country string, ok boolean, parked boolean"
+
+
+def verify(candidates: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """Candidates with the evidence of their pages, null where the store has none; ``score`` reads it.
+
+    ``pages`` has normal URLs, html, and may have status and final_url. Only pages that some candidate names are parsed, each once, and what goes
+    on is narrow. Local names and private addresses are never looked up.
+    """
+    if pages is None:
+        return candidates.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in (f.split(" ", 1) for f in EVIDENCE.split(", "))])
+    key = urls.frontier_key
+    asked = candidates.select(key(F.col("url")).alias("__key"), urls.full_host(F.col("url")).alias("h")).distinct()
+    asked = cut(asked.where(urls.allowed_host("h")).select("__key"))
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
+    final = F.coalesce("final_url", F.col("url")) if "final_url" in pages.columns else F.col("url")
+    rows = pages.select(key(F.col("url")).alias("__key"), "url", F.substring(F.coalesce("html", F.lit("")), 1, READ).alias("html"), status.alias("status"), final.alias("final_url"))
+    rows = rows.join(broadcast_if_small(asked), "__key", "left_semi").where("html <> ''")
+    read = parse_pages(rows).select("__key", "final_url", "status", "html", resolver_evidence(F.col("parsed")).alias("r"))
+    ok = F.coalesce(F.col("status").between(200, 399), F.lit(False))
+    columns = [F.col("final_url"), F.col("r.title").alias("page_title"), *[F.col(f"r.{n}").alias(n) for n in ("description", "text_sample", "structured_names", "structured_urls", "structured_same_as", "structured_country")], ok.alias("ok"), html.parked(F.col("r.title"), F.col("r.description"), F.col("r.text_sample")).alias("parked")]
+    found = read.select("__key", F.struct(*columns).alias("e"), F.struct((~ok).alias("bad"), F.xxhash64("html").alias("h")).alias("o")).groupBy("__key").agg(F.min_by("e", "o").alias("e")).select("__key", "e.*")
+    return candidates.withColumn("__key", key(F.col("url"))).join(found, "__key", "left").drop("__key")
+
+
+def resolve(companies: DataFrame, pages: DataFrame | None, *, candidates: DataFrame | None = None, guess: bool = True, threshold: float = FOUND) -> DataFrame:
+    """``matches`` of companies (company_id, company, location): candidates of providers and guessed domains, verified by their pages and scored."""
+    named = companies.where(F.trim(F.coalesce("company", F.lit(""))) != "")
+    parts = [domain_guesses(named)] if guess else []
+    if candidates is not None:
+        told = candidates.select("company_id", "url", "source", "source_order", "title", "snippet", "source_score")
+        parts.append(provider_candidates(named.select("company_id", "company", "location").join(told, "company_id")).select("company_id", "company", "location", "url", "source", "source_order", "title", "snippet", "source_score"))
+    if not parts:
+        raise ValueError("a company list needs candidates or guesses")
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return matches(companies, score(verify(top_candidates(merge_candidates(every)), pages)), threshold=threshold)
+
+
 def score(verified: DataFrame) -> DataFrame:
     """Candidates joined with their page evidence, with name_score, domain_score, location_score, score and reason.
 
@@ -98,12 +142,9 @@ def score(verified: DataFrame) -> DataFrame:
     e = lambda name: F.coalesce(c(name), F.lit(""))
     names = F.coalesce("structured_names", F.array().cast("array<string>"))
     final = F.when(e("final_url") != "", c("final_url")).otherwise(c("url"))
-    # the ratio is an Arrow function: all texts of a candidate are compared in one pass over an exploded, distinct list
-    texts = F.array_distinct(F.concat(F.array(e("title"), e("snippet"), e("page_title"), e("description"), F.substring(e("text_sample"), 1, 2000)), names))
-    pairs = verified.select("company_id", "url", "company", F.explode(texts).alias("t")).where("t <> ''")
-    pairs = pairs.withColumns({"__own": text.tokens(c("company")), "__other": text.tokens(c("t"))})
-    name = pairs.withColumn("s", text.token_similarity(c("__own"), c("__other"))).groupBy("company_id", "url").agg(F.max("s").alias("name_score"))
-    v = verified.join(name, ["company_id", "url"], "left").withColumn("name_score", F.coalesce("name_score", F.lit(0.0)))
+    # all texts of a candidate go to one Arrow call, so rows are neither multiplied nor joined back
+    texts = F.concat(F.array(e("title"), e("snippet"), e("page_title"), e("description"), F.substring(e("text_sample"), 1, 2000)), names)
+    v = verified.withColumn("name_score", text.closest(text.signature(c("company")), F.transform(texts, text.signature)))
     v = v.withColumn("__final", final).withColumns({"__domain": urls.domain_key(c("__final")), "__own": text.tokens(c("company")), "__place": text.tokens(c("location")), "__said": text.tokens(F.concat_ws(" ", e("title"), e("snippet"), e("page_title"), e("description"), e("text_sample"), e("structured_country")))})
     v = v.withColumn("__label", F.lower(F.substring_index("__domain", ".", 1)))
     same = lambda a: F.exists(F.coalesce(c(a), F.array().cast("array<string>")), lambda u: urls.domain_key(u) == c("__domain"))
@@ -124,14 +165,17 @@ def score(verified: DataFrame) -> DataFrame:
 
 def matches(companies: DataFrame, scored: DataFrame, *, threshold: float = FOUND, reported: int = 5) -> DataFrame:
     """One row per company: website, status, confidence, source, reason and the first ``reported`` candidates."""
-    row = F.struct((-F.col("score")).alias("s"), F.col("pre_rank").alias("p"), F.struct("url", "source", "score", "reason", "title").alias("c"))
+    e = lambda name, other: F.when(F.coalesce(name, F.lit("")) != "", F.col(name)).otherwise(F.col(other))
+    shown = F.struct(e("final_url", "url").alias("url"), "source", F.round("score", 3).alias("score"), "reason", e("page_title", "title").alias("title"))
+    row = F.struct((-F.col("score")).alias("s"), F.col("pre_rank").alias("p"), shown.alias("c"), F.col("score").alias("exact"))
+    # a company has twelve candidates at most
     lists = scored.groupBy("company_id").agg(F.sort_array(F.collect_list(row)).alias("l"))
-    top = F.get("l", F.lit(0))["c"]
-    status = F.when(F.trim(F.coalesce("company", F.lit(""))) == "", "invalid_input").when(F.col("l").isNull(), "not_found").when(top["score"] >= threshold, "found").otherwise("review")
+    top, best = F.get("l", F.lit(0))["c"], F.get("l", F.lit(0))["exact"]
+    status = F.when(F.trim(F.coalesce("company", F.lit(""))) == "", "invalid_input").when(F.col("l").isNull(), "not_found").when(best >= threshold, "found").otherwise("review")
     out = companies.join(lists, "company_id", "left").withColumn("status", status)
     has = F.col("status").isin("found", "review")
     pick = lambda f, default: F.when(has, top[f]).otherwise(F.lit(default))
-    return out.select("company_id", "company", "location", F.when(F.col("status") == "found", top["url"]).otherwise("").alias("website"), "status", pick("score", 0.0).alias("confidence"), pick("source", "").alias("source"), pick("reason", "").alias("reason"), F.coalesce(F.transform(F.slice("l", 1, reported), lambda x: x["c"]), F.array().cast("array<struct<url:string,source:string,score:double,reason:string,title:string>>")).alias("candidates"))
+    return out.select("company_id", "company", "location", F.when(F.col("status") == "found", top["url"]).otherwise("").alias("website"), "status", F.when(has, best).otherwise(0.0).alias("confidence"), pick("source", "").alias("source"), pick("reason", "").alias("reason"), F.coalesce(F.transform(F.slice("l", 1, reported), lambda x: x["c"]), F.array().cast("array<struct<url:string,source:string,score:double,reason:string,title:string>>")).alias("candidates"))
 
 
 def summary(candidates: Column, limit: int = 3) -> Column:

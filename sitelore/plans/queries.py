@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import email, html, phone, social, tables, text, urls
 from ..operators import crawl, export, merge, page, rank, resolve, tasks
 from ..streaming import events as job_events
-from .options import CleanOptions
+from .options import clean_options
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,6 +34,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt over all cores before pages are made of them, as the files of a page table would be."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _in(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -252,7 +257,7 @@ def _customer_pages(spark, sf_dir) -> DataFrame:
         F.lit('<script>var x = "js'), k, F.lit('@tracker.org";</script></head><body><p>Reach <a href="MAILTO:Info@'), site, F.lit('?subject=Hi">us</a> or office'), k, F.lit(" [at] "), F.lit("shop"), k, F.lit(" (dot) com"),
         F.lit('</p><p>Call <a href="tel:+1-415-555-'), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit('">now</a></p><!-- old'), k, F.lit('@archive.net --><a href="https://twitter.com/shop'), k, F.lit('/status/1">t</a><a href="https://x.com/shop'), k, F.lit('">x</a><a href="https://www.linkedin.com/company/shop'), k, F.lit('/about">in</a><a href="/contact">Contact</a></body></html>'),
     )
-    return t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://"), site, F.lit("/")).alias("url"), body.alias("html"))
+    return _dealt(t(spark, sf_dir, "customer")).select("c_custkey", F.concat(F.lit("https://"), site, F.lit("/")).alias("url"), body.alias("html"))
 
 
 @query("""
@@ -421,7 +426,7 @@ def _store(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         F.struct(F.concat(home, F.lit("info-contact")).alias("url"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("<p>office"), k, F.lit("@firm.org</p>"))).otherwise("<p>none</p>").alias("html")),
         F.struct(F.concat(home, F.lit("contact")).alias("url"), F.concat(F.lit("<p>desk"), k, F.lit("@firm.org</p>")).alias("html")),
     )
-    c = t(spark, sf_dir, "customer")
+    c = _dealt(t(spark, sf_dir, "customer"))
     return c.select(home.alias("url")), c.select(F.explode(pages_).alias("p")).select("p.*")
 
 
@@ -607,7 +612,7 @@ from v
 def export_clean(spark, sf_dir):
     """S13, P31, P32, P54, P57, P60, T06 to T08."""
     joined, _ = _joined(spark, sf_dir)
-    return export.clean(joined, CleanOptions(fields=("website", "email", "phone", "facebook", "description"), phone_region="US", include_evidence=True))
+    return export.clean(joined, clean_options(fields=("website", "email", "phone", "facebook", "description"), phone_region="US", include_evidence=True))
 
 
 def _job_events(spark, sf_dir) -> DataFrame:

@@ -47,20 +47,67 @@ def input_kind(header: Sequence[str]) -> str:
     raise ValueError("neither a website nor a company column in the header")
 
 
-def read_list(spark: SparkSession, path: str, *, encoding: str = "utf-8") -> DataFrame:
-    """source_file, row_number (from 2), header, original, of a CSV list.
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """The first encoding that fits all files of a list; read as binary, so any store that Spark reads will do.
 
-    Cells are text. Order within a file is that of the file: Spark numbers rows by (split, place), and the window over
+    A list is small; one file is read in one task.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    @F.udf("string")
+    def fits(content):
+        return decode(bytes(content))[1]
+
+    found = {r[0] for r in files.select(fits("content")).distinct().collect()}
+    return max(found, key=ENCODINGS.index, default="utf-8")
+
+
+def read_list(spark: SparkSession, path: str, *, encoding: str | None = None) -> DataFrame:
+    """source_file, row_number (from 2), header, original, of a CSV list. Without an encoding the first of ``ENCODINGS`` that fits is taken.
+
+    Cells are text and may hold line breaks, so a file is read in one task, and the window over
     one file's numbers is the only sort. Lists are small; files are numbered independently of each other.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
-    header = [c.removeprefix("﻿") for c in raw.columns]
+    encoding = encoding or encoding_of(spark, path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "utf-8" if encoding == "utf-8-sig" else encoding).csv(path)
+    header = [c.removeprefix("\ufeff") for c in raw.columns]
     rows = raw.toDF(*header).select("*", F.col("_metadata.file_name").alias("__file"), F.monotonically_increasing_id().alias("__at"))
     original = F.map_from_arrays(F.array(*[F.lit(h) for h in header]), F.array(*[F.coalesce(f"`{h}`", F.lit("")) for h in header]))
     number = F.row_number().over(Window.partitionBy("__file").orderBy("__at")) + 1
     return rows.select(F.col("__file").alias("source_file"), number.alias("row_number"), F.array(*[F.lit(h) for h in header]).alias("header"), original.alias("original"))
 
 
+def files_of(spark: SparkSession, path: str, column: str = "") -> DataFrame:
+    """(source_file, size, modified, column) of the files of a list, for the manifest."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(column).alias("column"))
+
+
+def import_changed(spark: SparkSession, path: str, store: str, *, column: str | None = None) -> list[str]:
+    """Reads the files of a list that the store's manifest doesn't have in their present state, and replaces their rows in the store; gives their names.
+
+    ``store`` has ``rows``, by source file, and ``manifest``, to which every import is appended.
+    """
+    now = files_of(spark, path, column or "")
+    known = _table(spark, f"{store}/manifest")
+    # names of files, of which a list has few
+    names = sorted(r.source_file for r in (now if known is None else changed(now, known)).collect())
+    if names:
+        rows = read_list(spark, path).where(F.col("source_file").isin(names))
+        replace_source(rows, f"{store}/rows")
+        now.where(F.col("source_file").isin(names)).write.mode("append").parquet(f"{store}/manifest")
+    return names
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # it appears with the first import
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def with_website(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("website", F.trim(F.coalesce(F.col("original")[column], F.lit(""))))
 
@@ -129,9 +176,9 @@ def pasted_rows(spark: SparkSession, text: str, kind: str) -> DataFrame:
 
 
 def write_export(df: DataFrame, path: str, *, single: bool = False, order: str = "row_number") -> None:
-    """A CSV export without its order column; ``single`` gives one ordered file for delivery."""
-    out = df.orderBy(order) if single else df
-    out = out.drop(*([order] if order in df.columns else []), "pos")
+    """A CSV export. ``single`` gives one file in order, without the order column, for which one task sorts and writes all; otherwise every task writes its part and the order column stays."""
+    out = df.orderBy(order, *(["pos"] if "pos" in df.columns else [])) if single else df
+    out = out.drop(*([order] if single and order == "row_number" else []), "pos")
     (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
 

@@ -4,7 +4,7 @@ import subprocess
 import sys
 
 from sitelore.plans import job as jobs
-from sitelore.plans.options import CleanOptions, plan_job
+from sitelore.plans.options import clean_options, plan_job
 
 
 def test_a_whole_job(spark, tmp_path):
@@ -13,9 +13,9 @@ def test_a_whole_job(spark, tmp_path):
         [("https://example.org/", '<title>One</title><a href="/contact">Contact</a><p>We sell.</p>', 200), ("https://example.org/contact", '<a href="mailto:info@example.org">m</a> <a href="tel:+14155552671">t</a><a href="https://facebook.com/one">f</a>', 200), ("https://gone.org/", "nothing", 404)],
         "url string, html string, status int",
     )
-    plan = plan_job(("email", "phone", "social"), CleanOptions(include_evidence=True))
-    done = jobs.run(spark, str(tmp_path / "in.csv"), store, str(tmp_path / "out"), plan)
-    assert done == {"rows": 4, "invalid": 1, "sites": 2, "failed": 1}
+    plan = plan_job(("email", "phone", "social"), clean_options(include_evidence=True))
+    done = jobs.run(spark, str(tmp_path / "in.csv"), store, str(tmp_path / "out"), plan, single=True)
+    assert done == {"rows": 4, "invalid": 1, "sites": 2, "failed": 1, "read": 2}
 
     def table(name):
         part = next(p for p in os.listdir(tmp_path / "out" / name) if p.endswith(".csv"))
