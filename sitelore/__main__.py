@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--ignore-robots", action="store_true")
     p.add_argument("--find-websites", action="store_true", help="resolve companies even if there is a website column")
     p.add_argument("--candidates", help="Parquet table of provider candidates: company, location, url, source, source_order, title, snippet, source_score")
+    p.add_argument("--mail-hosts", help="Parquet table of mail lookups: host, has_mail")
     p.add_argument("--company-column")
     p.add_argument("--location-column")
     p.add_argument("--website-min-confidence", type=float, default=resolve.FOUND)
@@ -57,7 +58,7 @@ def main(args: list[str] | None = None) -> int:
     done = jobs.run(
         spark, a.list, table(a.pages), a.out, plan,
         column=a.website_column, find=a.find_websites, candidates=table(a.candidates), company=a.company_column, location=a.location_column,
-        threshold=min(0.99, max(0.0, a.website_min_confidence)), fallback=table(a.fallback_pages), resume=not a.anew, single=a.single, encoding=a.encoding,
+        threshold=min(0.99, max(0.0, a.website_min_confidence)), fallback=table(a.fallback_pages), mail_hosts=table(a.mail_hosts), resume=not a.anew, single=a.single, encoding=a.encoding,
     )
     log.info("job done", extra={"fields": done})
     print(done)

@@ -1,5 +1,7 @@
 """Word lists, weights, hosts and formats that results depend on."""
 
+from typing import NamedTuple
+
 # Query parameters that only track visitors.
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source")
 TRACKING_PREFIX = "utm_"
@@ -72,6 +74,30 @@ PLACE_SUFFIXES = {"australia": ("com.au", "net.au", "au"), "australian": ("com.a
 # Least score of a candidate by its source.
 SOURCE_FLOORS = {"wikidata": 0.25, "clearbit": 0.12, "google_cse": 0.16, "brave": 0.16, "serpapi": 0.16, "searchapi": 0.16, "searxng": 0.16}
 
+
+
+class Provider(NamedTuple):
+    """Score of a provider's hit: ``base`` less ``step`` for each position before it, ``least`` at least, and ``alike`` times the likeness of its title to the company. The first ``most`` hits are read."""
+
+    base: float
+    alike: float = 0.0
+    step: float = 0.0
+    least: float = 0.0
+    most: int = 1_000_000
+
+
+# Providers in the order in which equal hits are taken.
+PROVIDERS = {
+    "clearbit": Provider(0.10, alike=0.12, most=8),
+    "wikidata": Provider(0.24, alike=0.15),
+    "duckduckgo": Provider(0.12, step=0.04, least=0.08, most=5),
+    "google_cse": Provider(0.18),
+    "brave": Provider(0.17),
+    "serpapi": Provider(0.19),
+    "searchapi": Provider(0.18),
+    "searxng": Provider(0.18, step=0.015, least=0.12, most=6),
+}
+
 # Weights of the clean export.
 EMAIL_CATEGORY_WEIGHTS = {"business": {"generic": 0.34, "named": 0.28, "external_domain": 0.08, "free_mail": 0.02}, "named": {"generic": 0.30, "named": 0.36, "external_domain": 0.08, "free_mail": 0.02}, "highest": {"generic": 0.18, "named": 0.18, "external_domain": 0.08, "free_mail": 0.02}}
 EMAIL_SOURCE_WEIGHTS = {"mailto": 0.16, "json_ld": 0.14, "cloudflare": 0.13, "obfuscated": 0.10, "visible_text": 0.08, "html": 0.02}

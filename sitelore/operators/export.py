@@ -107,19 +107,23 @@ def clean_website() -> Column:
     return F.when(_or_empty("final_url") != "", F.col("final_url")).when(_o("final_url") != "", _o("final_url")).when(_o("Website") != "", _o("Website")).when(_or_empty("normalized_url") != "", F.trim("normalized_url")).otherwise(text.note(F.col("website")))
 
 
-def clean(joined: DataFrame, options: CleanOptions) -> DataFrame:
+def clean(joined: DataFrame, options: CleanOptions, *, mail_hosts: DataFrame | None = None) -> DataFrame:
     """The leads export: the best value of each field, and evidence columns if asked for.
 
-    Phones are picked once per site before they meet the input rows again.
+    Phones are picked once per site before they meet the input rows again, and so are addresses where ``mail_hosts`` (host, has_mail) says which hosts take mail.
     """
     contacts = F.coalesce("contacts", F.array().cast(NO_CONTACTS))
+    sites = joined.where(~_missing()).select("domain_key", "contacts").dropDuplicates(["domain_key"]).select("domain_key", F.explode("contacts").alias("c")).select("domain_key", "c.*")
     if "phone" in options.fields:
-        sites = joined.where(~_missing()).select("domain_key", "contacts").dropDuplicates(["domain_key"]).select("domain_key", F.explode("contacts").alias("c")).select("domain_key", "c.*")
         phones = merge.primary_phones(sites, ["domain_key"], wanted=options.phone_region, style=options.phone_format, policy=options.phone_country_confidence)
         joined = joined.join(phones, "domain_key", "left")
     else:
         joined = joined.withColumn("phone", F.lit(None).cast("struct<text:string,region:string,type:string,source:string,confidence:double>"))
-    mail = merge.primary_email(contacts, options.email_preference)
+    if mail_hosts is not None and "email" in options.fields:
+        joined = joined.join(merge.primary_emails(sites, ["domain_key"], preference=options.email_preference, hosts=mail_hosts).withColumnRenamed("email", "__mail"), "domain_key", "left")
+        mail = F.col("__mail")
+    else:
+        mail = merge.primary_email(contacts, options.email_preference)
     values: dict[str, Column] = {}
     missing: list[Column] = []
     for field in options.fields:

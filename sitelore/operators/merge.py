@@ -43,11 +43,13 @@ def merge_page(rows: DataFrame, keys: Collection[str]) -> DataFrame:
 
 def contacts(rows: DataFrame, keys: Collection[str]) -> DataFrame:
     """(keys, contacts): merged evidence as an array in contact order: kind, category, falling confidence, value."""
-    body = _contact(rows)
-    sortable = F.struct(F.col("kind"), F.col("category"), (-F.col("confidence")).alias("rank"), F.col("value"), F.to_json(body).alias("body"))
-    schema = rows.select(body.alias("b")).schema["b"].dataType
-    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(sortable)).alias("l"))
-    return lists.select(*keys, F.transform("l", lambda x: F.from_json(x["body"], schema)).alias("contacts"))
+    # structs sort by their first fields; a map can't be compared, so its entries stand in and are made a map again
+    names = [c for c in EVIDENCE if c in rows.columns]
+    lead = [F.col("kind").alias("__1"), F.col("category").alias("__2"), (-F.col("confidence")).alias("__3"), F.col("value").alias("__4")]
+    body = [F.sort_array(F.map_entries(c)).alias(c) if c == "meta" else F.col(c) for c in names]
+    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*lead, *body))).alias("l"))
+    back = lambda x: F.struct(*[(F.map_from_entries(x[c]) if c == "meta" else x[c]).alias(c) for c in names])
+    return lists.select(*keys, F.transform("l", back).alias("contacts"))
 
 
 def values(contacts_: Column, kind: str, category: str | None = None) -> Column:
@@ -84,6 +86,23 @@ def primary_email(contacts_: Column, preference: str = "business") -> Column:
     return primary(contacts_, "email", lambda c: F.struct((-email.score(c, preference)).alias("s"), c["value"].alias("v")))
 
 
+def primary_emails(rows: DataFrame, keys: Collection[str], *, preference: str = "business", hosts: DataFrame | None = None) -> DataFrame:
+    """(keys, email): the best address of each key, a contact. ``rows`` is merged evidence.
+
+    ``hosts`` (host, has_mail) is the outcome of a lookup of mail exchangers; addresses of hosts it doesn't have are neither raised nor lowered. Hosts repeat, so it is joined on
+    distinct hosts.
+    """
+    mails = rows.where("kind = 'email'")
+    contact = _contact(mails)
+    score = email.score(contact, preference)
+    if hosts is not None:
+        known = hosts.groupBy(F.lower("host").alias("__host")).agg(F.bool_or("has_mail").alias("__mail"))
+        mails = mails.withColumn("__host", F.lower(email.host(F.col("value")))).join(known, "__host", "left")
+        score = F.when(F.col("__mail").isNull(), email.score(contact, preference)).otherwise(email.score(contact, preference, F.col("__mail")))
+    best = F.struct((-F.round(score, 9)).alias("s"), F.col("value").alias("v"))
+    return mails.groupBy(*keys).agg(F.min_by(contact, best).alias("email"))
+
+
 def primary_social(contacts_: Column, platform: str) -> Column:
     own = F.filter(contacts_, lambda c: c["category"] == platform)
     return primary(own, "social", lambda c: F.struct((-c["confidence"]).alias("s"), F.length(c["value"]).alias("n"), c["value"].alias("v")))

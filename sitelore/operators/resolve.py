@@ -52,6 +52,19 @@ def provider_candidates(rows: DataFrame) -> DataFrame:
     return not_directory(done.withColumns({"title": text.clean(F.col("title")), "snippet": text.clean(F.col("snippet"))}))
 
 
+def scored_hits(hits: DataFrame) -> DataFrame:
+    """Candidate rows out of raw provider hits (company_id, company, location, provider, position from 0, url, title, snippet).
+
+    A provider that isn't known or whose rule doesn't read that far gives none. ``duckduckgo`` has its abstract at position 0 and results behind it.
+    """
+    rules = F.create_map(*[x for i, (n, p) in enumerate(K.PROVIDERS.items()) for x in (F.lit(n), F.struct(F.lit(i).alias("place"), *[F.lit(v).alias(k) for k, v in p._asdict().items()]))])
+    rows = hits.withColumn("__r", F.try_element_at(rules, F.col("provider"))).where(F.col("position") < F.col("__r.most"))
+    alike = F.when(F.col("__r.alike") > 0, text.closest(text.signature(F.col("company")), F.array(text.signature(F.col("title"))))).otherwise(0.0)
+    score_ = F.greatest(F.col("__r.least"), F.col("__r.base") - F.col("__r.step") * F.col("position")) + F.col("__r.alike") * alike
+    order = (F.col("__r.place") * 100 + F.col("position")).cast("int")
+    return provider_candidates(rows.select("company_id", "company", "location", F.trim("url").alias("url"), F.col("provider").alias("source"), order.alias("source_order"), "title", "snippet", score_.alias("source_score")))
+
+
 def merge_candidates(candidates: DataFrame) -> DataFrame:
     """One candidate per company and registered domain: the best source, with a bonus for each further source up to .12."""
     domain = urls.domain_key(F.col("url"))
@@ -118,12 +131,17 @@ def verify(candidates: DataFrame, pages: DataFrame | None) -> DataFrame:
 
 
 def resolve(companies: DataFrame, pages: DataFrame | None, *, candidates: DataFrame | None = None, guess: bool = True, threshold: float = FOUND) -> DataFrame:
-    """``matches`` of companies (company_id, company, location): candidates of providers and guessed domains, verified by their pages and scored."""
+    """``matches`` of companies (company_id, company, location): candidates of providers and guessed domains, verified by their pages and scored.
+
+    ``candidates`` has company_id and either source, source_order and source_score, or provider and position of raw hits.
+    """
     named = companies.where(F.trim(F.coalesce("company", F.lit(""))) != "")
     parts = [domain_guesses(named)] if guess else []
     if candidates is not None:
-        told = candidates.select("company_id", "url", "source", "source_order", "title", "snippet", "source_score")
-        parts.append(provider_candidates(named.select("company_id", "company", "location").join(told, "company_id")).select("company_id", "company", "location", "url", "source", "source_order", "title", "snippet", "source_score"))
+        raw = "provider" in candidates.columns
+        told = candidates.select("company_id", "url", "title", "snippet", *(("provider", "position") if raw else ("source", "source_order", "source_score")))
+        told = named.select("company_id", "company", "location").join(told, "company_id")
+        parts.append((scored_hits(told) if raw else provider_candidates(told)).select("company_id", "company", "location", "url", "source", "source_order", "title", "snippet", "source_score"))
     if not parts:
         raise ValueError("a company list needs candidates or guesses")
     every = parts[0]

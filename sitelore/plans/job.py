@@ -120,8 +120,8 @@ def joined_rows(rows: DataFrame, results: DataFrame) -> DataFrame:
 def resolved_rows(rows: DataFrame, header: Sequence[str], pages: DataFrame, *, candidates: DataFrame | None = None, company: str | None = None, location: str | None = None, threshold: float = resolve.FOUND) -> tuple[DataFrame, list[str]]:
     """A company list as a list with a Website column and the finder's columns, and its header.
 
-    Companies of one name and place are resolved once. ``candidates`` has company, location and what providers say: url, source, source_order, title, snippet,
-    source_score, or raw rows that ``resolve.scored_hits`` gives scores.
+    Companies of one name and place are resolved once. ``candidates`` has company, location and what providers say: url, title, snippet and source, source_order and
+    source_score, or provider and position of raw hits.
     """
     own, place = csv.company_columns(header, company, location)
     said = lambda c: F.trim(F.coalesce(F.col("original")[c], F.lit(""))) if c else F.lit("")
@@ -141,7 +141,7 @@ def resolved_rows(rows: DataFrame, header: Sequence[str], pages: DataFrame, *, c
     return done.withColumns({"original": F.map_concat(kept, new), "header": F.array(*[F.lit(c) for c in header])}).select(*(c for c in rows.columns if not c.startswith("__"))), header
 
 
-def run(spark: SparkSession, list_path: str, pages: DataFrame, out: str, job: Job, *, column: str | None = None, find: bool = False, candidates: DataFrame | None = None, company: str | None = None, location: str | None = None, threshold: float = resolve.FOUND, fallback: DataFrame | None = None, resume: bool = True, single: bool = False, encoding: str | None = None) -> dict[str, int]:
+def run(spark: SparkSession, list_path: str, pages: DataFrame, out: str, job: Job, *, column: str | None = None, find: bool = False, candidates: DataFrame | None = None, company: str | None = None, location: str | None = None, threshold: float = resolve.FOUND, fallback: DataFrame | None = None, mail_hosts: DataFrame | None = None, resume: bool = True, single: bool = False, encoding: str | None = None) -> dict[str, int]:
     """Reads the list, writes results, contacts, review and clean under ``out``; gives the numbers of rows, sites and invalid and failed rows.
 
     A list without a website column, or any with ``find``, is a company list and is resolved first. With ``single`` each export is one ordered
@@ -178,7 +178,7 @@ def run(spark: SparkSession, list_path: str, pages: DataFrame, out: str, job: Jo
     put(export.wide(joined, names, kinds=job.kinds), "results")
     put(export.long(joined), "contacts", "input_row")
     put(export.review(joined, names), "review")
-    put(export.clean(joined, job.options), "clean")
+    put(export.clean(joined, job.options, mail_hosts=mail_hosts), "clean")
     counted = tasks.import_stats(rows).first()
     failed = joined.where("result_status = 'failed'").select("domain_key").distinct().count()
     return stats | {"rows": counted.rows, "invalid": counted.invalid, "sites": counted.unique, "failed": failed, "read": left.count()}

@@ -169,18 +169,18 @@ def claim_order(spark, sf_dir):
 
 @query("""
 with a as (select user_id, event_id, case event_type when 'purchase' then 'ok' when 'signup' then 'partial' when 'logout' then 'failed' else 'error' end as outcome, row_number() over (partition by user_id order by event_id) as n from events),
-l as (select user_id, max(n) as attempts, arg_max(outcome, n) as outcome from a where n <= 4 group by user_id)
+l as (select user_id, max(n) as attempts, arg_max(outcome, n) as outcome from a group by user_id)
 select c_custkey as domain_key, coalesce(attempts, 0)::bigint as attempts,
        case when outcome in ('ok', 'partial') then 'completed' when outcome = 'failed' then 'failed' when outcome = 'error' and attempts >= 3 then 'failed' else 'pending' end as status
 from customer left join l on user_id = c_custkey
 """)
 def task_state(spark, sf_dir):
-    """W03 to W06, A-log: latest attempt of each site decides its state."""
+    """W03 to W06, A-log: the latest attempt of each site decides its state; the log is numbered here, because ``events`` has no attempt numbers."""
     from pyspark.sql import Window
 
     e = t(spark, sf_dir, "events")
     outcome = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "signup", "partial").when(F.col("event_type") == "logout", "failed").otherwise("error")
-    log = e.select(F.col("user_id").alias("domain_key"), F.lit(0).alias("epoch"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("attempt_no"), outcome.alias("outcome"), F.lit("").alias("error")).where("attempt_no <= 4")
+    log = e.select(F.col("user_id").alias("domain_key"), F.lit(0).alias("epoch"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("attempt_no"), outcome.alias("outcome"), F.lit("").alias("error"))
     own = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("domain_key"))
     return tasks.state(own, log).select("domain_key", "attempts", "status")
 
@@ -233,17 +233,22 @@ def email_verdicts(spark, sf_dir):
     return found.withColumn("email", email.address(F.col("raw"))).groupBy("doc_id", "email").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "email", email.verdict(F.col("email")).alias("verdict"), "n")
 
 
-@query(r"""
-with c as (select doc_id, unnest(regexp_extract_all(text, '\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}')) as raw from documents),
-d as (select doc_id, regexp_replace(raw, '[^0-9]', '', 'g') as d from c)
-select doc_id, '+' || d as value, 'US' as region, case when regexp_matches(d, '^1(800|833|844|855|866|877|888)') then 'TOLL_FREE' when starts_with(d, '1900') then 'PREMIUM_RATE' else 'FIXED_LINE_OR_MOBILE' end as type, count(*) as n
-from d where regexp_matches(d, '^1[2-9][0-8][0-9][2-9]') and substr(d, 3, 2) <> '11' and substr(d, 6, 2) <> '11' group by all
+# The pattern of numbers with the characters around it in place of looks behind and ahead.
+PHONE_SQL = r"(?i)(?:^|[^\p{L}\p{N}_])(" + tables.PHONE_PATTERN.removeprefix(r"(?<!\w)").removesuffix(r"(?!\w)") + r")(?:[^\p{L}\p{N}_]|$)"
+
+
+@query(rf"""
+with c as (select doc_id, unnest(regexp_extract_all(text, '{PHONE_SQL}', 1)) as raw from documents),
+d as (select doc_id, trim(raw) as raw, regexp_replace(regexp_replace(raw, '(?i)\s*(?:x|ext\.?|extension)\s*\d{{1,6}}\s*$', ''), '[^0-9]', '', 'g') as d from c),
+n as (select doc_id, case when starts_with(raw, '+') then case when starts_with(d, '1') then substr(d, 2) end when length(d) = 11 and starts_with(d, '1') then substr(d, 2) else d end as n from d),
+v as (select doc_id, n, case when regexp_full_match(n, '8(?:00|33|44|55|66|77|88)[2-9]\d{{6}}') then 'TOLL_FREE' when regexp_full_match(n, '900[2-9]\d{{6}}') then 'PREMIUM_RATE'
+      when regexp_full_match(n, '[2-9][0-8]\d[2-9]\d{{6}}') and substr(n, 2, 2) <> '11' and substr(n, 5, 2) <> '11' then 'FIXED_LINE_OR_MOBILE' end as type from n)
+select doc_id, '+1' || n as value, 'US' as region, type, count(*) as n from v where type is not null group by all
 """)
 def phone_numbers(spark, sf_dir):
-    """Numbers written like +1 (555) 555-1234 in every document, valid ones."""
-    raw = F.regexp_extract_all("text", F.lit(r"(\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4})"), F.lit(1))
-    found = t(spark, sf_dir, "documents").select("doc_id", F.explode_outer(raw).alias("raw")).where("raw is not null")
-    done = found.select("doc_id", phone.normalized("raw", F.lit("US")).alias("p")).where("p.value is not null")
+    """Every number that the operator's pattern finds in every document, valid ones."""
+    found = t(spark, sf_dir, "documents").select("doc_id", F.explode_outer(phone.candidates(F.col("text"))).alias("raw")).where("raw is not null")
+    done = found.select("doc_id", phone.normalized("raw", F.lit("US")).alias("p")).where("p.value is not null and p.region = 'US'")
     return done.groupBy("doc_id", "p.value", "p.region", "p.type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -537,6 +542,84 @@ def best_match(spark, sf_dir):
     return found.select("company_id", "website", "status", "source", F.size("candidates").alias("n_candidates"))
 
 
+def _hits(spark, sf_dir) -> DataFrame:
+    """Raw hits of every provider for each company: nine positions, the company's name or none as title."""
+    names = F.explode(F.array(*[F.lit(n) for n in tables.PROVIDERS]))
+    rows = _companies(spark, sf_dir).select("*", names.alias("provider")).select("*", F.posexplode(F.array(*[F.lit(i) for i in range(9)])).alias("position", "p"))
+    url = F.concat(F.lit("hit"), F.col("company_id").cast("string"), F.lit("-"), F.col("position").cast("string"), F.lit(".com"))
+    return rows.select("company_id", "company", "location", "provider", "position", url.alias("url"), F.when(F.col("position") % 2 == 0, F.col("company")).otherwise("").alias("title"), F.lit("").alias("snippet"))
+
+
+@query(f"""
+with p(provider, place, base, alike, step, least, most) as (values {", ".join(f"('{n}', {i}, {p.base}, {p.alike}, {p.step}, {p.least}, {p.most})" for i, (n, p) in enumerate(tables.PROVIDERS.items()))}),
+h as (select c_custkey as company_id, provider, place, base, alike, step, least, most, unnest(range(9)) as position from customer cross join p)
+select company_id, provider as source, (place * 100 + position)::int as source_order, 'https://hit' || company_id || '-' || position || '.com/' as url,
+       round(greatest(least, base - step * position) + case when position % 2 = 0 then alike else 0 end, 6)::double as source_score from h where position < most
+""")
+def provider_scores(spark, sf_dir):
+    """Scores of the hits that each provider's rule reads."""
+    scored = resolve.scored_hits(_hits(spark, sf_dir))
+    return scored.select("company_id", "source", "source_order", "url", F.round("source_score", 6).alias("source_score"))
+
+
+def _makers(spark, sf_dir) -> DataFrame:
+    """A company for each customer, under a name that no other has."""
+    return _companies(spark, sf_dir).withColumn("company", F.concat(F.regexp_extract("company", r"^\S+", 0), F.lit(" Makers "), (F.col("company_id") + 1000).cast("string")))
+
+
+def _guess_pages(spark, sf_dir) -> DataFrame:
+    """A page under the first guess of every second company that says its name; every third of these is parked."""
+    c = _dealt(_makers(spark, sf_dir))
+    url = F.concat(F.lit("https://"), F.array_join(text.tokens(F.col("company")), ""), F.lit(".com/"))
+    body = F.when(F.col("company_id") % 3 == 0, F.lit("<p>Buy this domain today</p>")).otherwise(F.concat(F.lit("<p>We make things in "), F.col("location"), F.lit("</p>")))
+    return c.where("company_id % 2 = 0").select(url.alias("url"), F.concat(F.lit("<html><title>"), F.col("company"), F.lit("</title>"), body).alias("html"), F.lit(200).alias("status"))
+
+
+@query(f"""
+with c as (select c_custkey as company_id, lower(replace({SEGMENT}, ' ', '')) || 'makers' || (c_custkey + 1000) as base, c_custkey % 2 = 0 as page, c_custkey % 6 = 0 as parked from customer)
+select company_id, 'https://' || base || case when parked then '.net/' else '.com/' end as top_url, case when page and not parked then 'found' else 'review' end as status,
+       case when page and not parked then 'https://' || base || '.com/' else '' end as website, 5 as n_candidates from c
+""")
+def company_resolve(spark, sf_dir):
+    """Guessed domains, their stored pages, one match for each company; a parked page ranks behind a guess without a page."""
+    found = resolve.resolve(_makers(spark, sf_dir), _guess_pages(spark, sf_dir))
+    return found.select("company_id", F.col("candidates")[0]["url"].alias("top_url"), "status", "website", F.size("candidates").alias("n_candidates"))
+
+
+@query(f"""
+with c as (select *, {_sql_pick('company_id', ('found', 'review', 'not_found'))} as st from ({COMPANIES}))
+select company_id, case when st = 'found' then 'https://w' || company_id || '.com/' else 'https://old.com/' end as "Website", st as website_finder_status,
+       case st when 'found' then '0.75' when 'review' then '0.50' else '' end as website_confidence,
+       case when st = 'not_found' then '' else 'https://w' || company_id || '.com/ (0.75, brave) - W | https://x.com/ (0.5, serpapi)' end as website_top_candidates from c
+""")
+def finder_columns(spark, sf_dir):
+    """The finder's columns beside an input row."""
+    c = _companies(spark, sf_dir).withColumn("status", _pick(F.col("company_id"), ("found", "review", "not_found")))
+    own = F.concat(F.lit("https://w"), F.col("company_id").cast("string"), F.lit(".com/"))
+    one = lambda url, source, score, title: F.struct(url.alias("url"), F.lit(source).alias("source"), F.lit(score).alias("score"), F.lit("").alias("reason"), F.lit(title).alias("title"))
+    two = F.array(one(own, "brave", 0.75, "W"), one(F.lit("https://x.com/"), "serpapi", 0.5, ""))
+    m = c.select("company_id", F.when(F.col("status") == "found", own).otherwise("").alias("website"), "status", F.when(F.col("status") == "found", 0.75).when(F.col("status") == "review", 0.5).otherwise(0.0).alias("confidence"), F.lit("brave").alias("source"), F.lit("").alias("reason"), F.when(F.col("status") == "not_found", F.slice(two, 1, 0)).otherwise(two).alias("candidates"))
+    done = resolve.add_finder_columns(c.select("company_id", F.lit("https://old.com/").alias("Website")), m)
+    return done.select("company_id", "Website", "website_finder_status", "website_confidence", "website_top_candidates")
+
+
+@query("""
+with e as (select c_custkey as k, unnest([1, 2, 3]) as i from customer),
+v as (select k, case i when 1 then 'info@a' || k || '.com' when 2 then 'sales@b' || k || '.com' else 'x' || k || '@gmail.com' end as value,
+             case i when 1 then 0.98 when 2 then 0.88 else 0.99 end * 0.52 + case i when 3 then 0.02 else 0.34 end + case i when 1 then 0.16 when 2 then 0.08 else 0.16 end + case when i = 1 and k % 2 = 0 then -0.20 else 0.06 end as s from e)
+select k as c_custkey, arg_min(value, (-round(s, 9), value)) as email from v group by k
+""")
+def mail_hosts(spark, sf_dir):
+    """The best address of each site when every second site's own mail host has no exchanger."""
+    k = F.col("c_custkey").cast("string")
+    one = lambda value, category, source, confidence: F.struct(value.alias("value"), F.lit("email").alias("kind"), F.lit("").alias("source_url"), F.lit(source).alias("source_type"), F.lit(confidence).alias("confidence"), F.lit(category).alias("category"), F.lit("").alias("raw_value"), F.lit(None).cast("map<string,string>").alias("meta"))
+    every = F.array(one(F.concat(F.lit("info@a"), k, F.lit(".com")), "generic", "mailto", 0.98), one(F.concat(F.lit("sales@b"), k, F.lit(".com")), "generic", "visible_text", 0.88), one(F.concat(F.lit("x"), k, F.lit("@gmail.com")), "free_mail", "mailto", 0.99))
+    rows = t(spark, sf_dir, "customer").select("c_custkey", F.explode(every).alias("c")).select("c_custkey", "c.*")
+    hosts = t(spark, sf_dir, "customer").select(F.explode(F.array(F.struct(F.concat(F.lit("a"), k, F.lit(".com")).alias("host"), (F.col("c_custkey") % 2 == 1).alias("has_mail")), F.struct(F.concat(F.lit("b"), k, F.lit(".com")).alias("host"), F.lit(True).alias("has_mail")))).alias("h")).select("h.*")
+    hosts = hosts.unionByName(spark.createDataFrame([("gmail.com", True)], "host string, has_mail boolean"))
+    return merge.primary_emails(rows, ["c_custkey"], hosts=hosts).select("c_custkey", F.col("email.value").alias("email"))
+
+
 def _joined(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     """Input rows, one for each order, with the result of the customer's site; some invalid, some without a result, some failed."""
     c = F.col
