@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model per language over words: a word is a run of letters, lower-cased and
-closed by boundary marks, and the probability of each character is conditioned
+One model per language over words: a word is a run of letters without a digit beside it, lower-cased and
+closed by boundary marks (a text without words is read by its other runs of letters), and the probability of each character is conditioned
 on up to ``order - 1`` characters before it within the word. Probabilities of all
 languages stand side by side in arrays sorted by the 64-bit hash of the n-gram.
 A text gets the language of the lowest cross-entropy per character; a text
@@ -35,6 +35,9 @@ from . import grams
 from .common import slices, small_batches
 
 LETTERS = regex.compile(r"\p{L}+")
+#: Letters beside a digit belong to a code, such as a key or a part number, and to no language.
+WORDS = regex.compile(r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})")
+MARKS = ".,;:!?\"'()[]{}<>-_*#%&$/|="
 OPEN, CLOSE = "\x02", "\x03"
 #: Word pieces whose scores an executor remembers; beyond that it starts anew.
 REMEMBERED = 100_000
@@ -44,6 +47,11 @@ PIECE = 64
 SIZES = 13
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a lower-cased text; if it has none, the letters of its codes."""
+    return WORDS.findall(text) or LETTERS.findall(text)
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of all words between their marks, and each character's place in its word."""
     data = "".join(f"{OPEN}{w}{CLOSE}" for w in words)
@@ -189,7 +197,8 @@ class Scorer:
     def _learn(self, pieces: list[str]) -> None:
         words, owner = [], []
         for i, piece in enumerate(pieces):
-            for run in (piece,) if piece.isalpha() else LETTERS.findall(piece):
+            bare = piece.strip(MARKS)
+            for run in (bare,) if bare.isalpha() else WORDS.findall(piece):
                 for k in range(0, len(run), PIECE):
                     words.append(run[k : k + PIECE])
                     owner.append(i)
@@ -229,6 +238,9 @@ class Scorer:
                 said = times * known[:, -1]
                 if out[i, -1]:
                     out[i, -1] = out[i, -1] ** 2 / (said @ said)
+                elif runs := LETTERS.findall(texts[i].lower()):
+                    cut = [r[k : k + PIECE] for r in runs for k in range(0, len(r), PIECE)]
+                    out[i] = [*self.model.bits(cut).sum(0), sum(map(len, cut)) + len(cut), len(set(cut))]
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -286,7 +298,7 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             out: dict[tuple[str, str], int] = {}
             for name, t in zip(langs, texts):
-                for run in LETTERS.findall(t.lower()):
+                for run in words_of(t.lower()):
                     for k in range(0, len(run), PIECE):
                         at = (name, run[k : k + PIECE])
                         out[at] = out.get(at, 0) + 1
