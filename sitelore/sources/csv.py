@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import tables as K
 
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252")
+#: Spark's reader has no cp1252. It differs from latin-1, which it has, in these characters.
+_LATIN, _CP1252 = zip(*((bytes([b]).decode("latin-1"), x) for b in range(0x80, 0xA0) if (x := bytes([b]).decode("cp1252", "ignore"))))
 
 
 def pick_column(header: Sequence[str], wanted: Sequence[str], requested: str | None = None, label: str = "website") -> str | None:
@@ -69,10 +71,14 @@ def read_list(spark: SparkSession, path: str, *, encoding: str | None = None) ->
     one file's numbers is the only sort. Lists are small; files are numbered independently of each other.
     """
     encoding = encoding or encoding_of(spark, path)
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "utf-8" if encoding == "utf-8-sig" else encoding).csv(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", {"utf-8-sig": "utf-8", "cp1252": "iso-8859-1"}.get(encoding, encoding)).csv(path)
     header = [c.removeprefix("\ufeff") for c in raw.columns]
+    cell = lambda h: F.coalesce(f"`{h}`", F.lit(""))
+    if encoding == "cp1252":
+        header = [c.translate(dict(zip(map(ord, _LATIN), _CP1252))) for c in header]
+        cell = lambda h: F.translate(F.coalesce(f"`{h}`", F.lit("")), "".join(_LATIN), "".join(_CP1252))
     rows = raw.toDF(*header).select("*", F.col("_metadata.file_name").alias("__file"), F.monotonically_increasing_id().alias("__at"))
-    original = F.map_from_arrays(F.array(*[F.lit(h) for h in header]), F.array(*[F.coalesce(f"`{h}`", F.lit("")) for h in header]))
+    original = F.map_from_arrays(F.array(*[F.lit(h) for h in header]), F.array(*[cell(h) for h in header]))
     number = F.row_number().over(Window.partitionBy("__file").orderBy("__at")) + 1
     return rows.select(F.col("__file").alias("source_file"), number.alias("row_number"), F.array(*[F.lit(h) for h in header]).alias("header"), original.alias("original"))
 
