@@ -47,8 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; between stages the rows are written to the shared checkpoint folder."""
+    """Applies the stages to ``documents``; what a stage keeps is written as Parquet under the shared checkpoint folder and read again."""
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir))
+        docs = common.written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
