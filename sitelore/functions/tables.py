@@ -7,9 +7,12 @@ TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source")
 TRACKING_PREFIX = "utm_"
 # Link schemes that lead to no page.
 OTHER_SCHEMES = ("mailto", "tel", "javascript", "data", "file", "ftp")
-# Public suffixes of two labels and of one label that registered domains are cut at. A short list: others keep their host.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "me.uk", "com.au", "net.au", "org.au", "edu.au", "gov.au", "co.in", "net.in", "org.in", "gov.in", "co.kr", "or.kr", "go.kr", "co.nz", "org.nz", "co.za", "co.jp", "or.jp", "ne.jp", "com.br", "com.mx", "com.cn", "com.sg", "com.hk", "com.tw", "com.tr", "co.il", "co.id", "com.my", "com.ar")
-ONE_LABEL_SUFFIXES = ("com", "net", "org", "edu", "gov", "mil", "int", "info", "biz", "name", "io", "ai", "app", "dev", "co", "me", "tv", "cc", "us", "uk", "ca", "au", "nz", "in", "kr", "jp", "cn", "de", "fr", "es", "it", "nl", "be", "ch", "at", "se", "no", "dk", "fi", "ie", "pl", "pt", "cz", "ru", "br", "mx", "za", "sg", "hk", "eu", "xyz", "online", "site", "shop", "store", "tech", "agency", "company", "services")
+# Labels that make a public suffix together with a country's two letters, and general suffixes. Each country's own two letters are a suffix by rule;
+# hosts under any other name keep their host.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "gub", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+GENERAL_SUFFIXES = ("agency", "app", "art", "biz", "blog", "business", "cafe", "capital", "care", "cat", "center", "church", "city", "cloud", "club", "coach", "coffee", "community", "company", "consulting", "com", "coop", "design", "dental", "dev", "digital", "edu", "education", "email", "energy", "engineering", "estate", "events", "expert", "farm", "finance", "fit", "fitness", "foundation", "fund", "fyi", "gallery", "global", "gov", "group", "guide", "health", "house", "info", "ink", "institute", "int", "international", "jobs", "kitchen", "land", "law", "legal", "life", "link", "live", "london", "ltd", "management", "market", "marketing", "media", "mil", "mobi", "museum", "name", "net", "network", "news", "ngo", "online", "org", "page", "partners", "photography", "pizza", "plumbing", "plus", "pro", "properties", "pub", "realty", "rentals", "repair", "restaurant", "school", "services", "shop", "site", "software", "solutions", "space", "store", "studio", "support", "systems", "team", "tech", "technology", "top", "tours", "town", "toys", "training", "travel", "university", "vet", "video", "vip", "website", "wiki", "work", "works", "world", "xyz", "yoga", "zone")
+TWO_LABELS = rf"(?:{'|'.join(SECOND_LABELS)})\.[a-z]{{2}}"
+ONE_LABEL = rf"(?:[a-z]{{2}}|xn--[a-z0-9-]+|{'|'.join(GENERAL_SUFFIXES)})"
 
 # First words of shared mailboxes.
 GENERIC_PREFIXES = ("admin", "billing", "bookings", "business", "care", "commercial", "contact", "customerservice", "enquiries", "enquiry", "export", "feedback", "hello", "help", "hr", "info", "inquiry", "jobs", "legal", "mail", "marketing", "media", "office", "orders", "press", "privacy", "reception", "recruiting", "reservations", "returns", "sales", "service", "support", "team", "webmaster")

@@ -21,6 +21,7 @@ from .udf import TEXT, FLAG, arrow, struct
 
 _PARTS = re.compile(r"(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?", re.S)
 _SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):")
+_TWO_LABELS, _ONE_LABEL = (re.compile(rf"[^.]+\.{x}$") for x in (K.TWO_LABELS, K.ONE_LABEL))
 _LABEL = re.compile(r"(?!-)[a-z0-9-]{1,63}(?<!-)")
 #: Characters that the standard URL reader drops wherever they stand, and control characters it strips in front.
 _DROPPED = str.maketrans("", "", "\t\r\n")
@@ -109,10 +110,9 @@ def host_of(url: str) -> str:
 
 @lru_cache(maxsize=10_000)
 def domain_of_host(host: str) -> str:
-    labels = host.split(".")
-    if ".".join(labels[-2:]) in K.TWO_LABEL_SUFFIXES:
-        return ".".join(labels[-3:])
-    return ".".join(labels[-2:]) if labels[-1] in K.ONE_LABEL_SUFFIXES else host
+    """``registered_domain`` of one host."""
+    found = _TWO_LABELS.search(host) or _ONE_LABEL.search(host)
+    return found[0] if found else host
 
 
 def domain_of(url: str) -> str:
@@ -195,8 +195,8 @@ def any_of(words) -> str:
 
 def registered_domain(host: Column) -> Column:
     """The label before the public suffix with the suffix; other hosts stay as they are."""
-    cut = lambda suffixes: F.nullif(F.regexp_extract(host, rf"([^.]+\.{any_of(suffixes)})$", 1), F.lit(""))
-    return F.coalesce(cut(K.TWO_LABEL_SUFFIXES), cut(K.ONE_LABEL_SUFFIXES), host)
+    cut = lambda suffix: F.nullif(F.regexp_extract(host, rf"([^.]+\.{suffix})$", 1), F.lit(""))
+    return F.coalesce(cut(K.TWO_LABELS), cut(K.ONE_LABEL), host)
 
 
 def domain_key(url: Column) -> Column:

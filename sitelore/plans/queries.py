@@ -30,8 +30,14 @@ def query(sql: str | None = None):
     return put
 
 
+#: Tables whose rows are costly to read: pages are parsed, texts searched.
+COSTLY = ("pages", "documents")
+
+
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # a table of fewer splits than cores, as one small file, is dealt first; any larger one is read as it lies
+    return _dealt(rows) if name in COSTLY and rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else rows
 
 
 def _dealt(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENTS = "job_id string, seq bigint, event string, domain string, n_email int, n_phone int, n_social int, stage string, error string, at timestamp"
@@ -44,10 +44,23 @@ def active_seconds(events: DataFrame) -> DataFrame:
     return events.select("job_id", F.when(F.coalesce(paused, F.lit("")) == "paused", 0).otherwise(F.coalesce(gap, F.lit(0))).alias("us")).groupBy("job_id").agg((F.sum("us") / 1e6).alias("seconds"))
 
 
-def start_fold(events: DataFrame, name: str, checkpoint: str | None = None):
-    """Runs the fold over a streaming event table into an in-memory table; the checkpoint lets a restarted query go on."""
-    writer = fold(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def start_fold(events: DataFrame, path: str, checkpoint: str):
+    """Runs the fold over a streaming event table; each micro-batch writes the jobs that changed under ``path``, by its number.
+
+    Nothing comes to the driver. A batch that is run again after a failure replaces its own rows, and a query that is started again with the same checkpoint goes on.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return fold(events).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_fold(spark: SparkSession, path: str) -> DataFrame:
+    """The counters that ``start_fold`` wrote last for each job."""
+    rows = spark.read.parquet(path)
+    names = [c for c in rows.columns if c not in ("job_id", "batch")]
+    return rows.groupBy("job_id").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("job_id", "r.*")
 
 
 def new_pages(pages: DataFrame, *, url: str = "url", at: str = "at", delay: str = "1 hour") -> DataFrame:

@@ -70,9 +70,9 @@ def test_normal_form_is_stable(raw):
 
 def test_domains_and_links(spark):
     assert urls.domain_of("https://www.shop.example.co.uk/a") == "example.co.uk"
-    rows = spark.createDataFrame([("www.shop.example.co.uk",), ("a.b.com",), ("co.uk",), ("10.0.0.1",), ("x.unknown",), ("com",)], "h string")
+    rows = spark.createDataFrame([("www.shop.example.co.uk",), ("a.b.com",), ("co.uk",), ("10.0.0.1",), ("x.unknown",), ("com",), ("a.shop.com.br",), ("shop.at",), ("a.b.or.th",), ("www.b.pizza",), ("x.xn--p1ai",)], "h string")
     got = [r[0] for r in rows.select(urls.registered_domain(F.col("h"))).collect()]
-    assert got == [urls.domain_of_host(h) for (h,) in rows.collect()] == ["example.co.uk", "b.com", "co.uk", "10.0.0.1", "x.unknown", "com"]
+    assert got == [urls.domain_of_host(h) for (h,) in rows.collect()] == ["example.co.uk", "b.com", "co.uk", "10.0.0.1", "x.unknown", "com", "shop.com.br", "shop.at", "b.or.th", "b.pizza", "x.xn--p1ai"]
     base = "https://a.com/x/y"
     assert urls.link(base, "../z?utm_a=1#f") == "https://a.com/z"
     assert [urls.link(base, h) for h in ("#top", "mailto:a@b.c", " ", "{x}", None, "http://[bad", "javascript:0")] == [None] * 7
@@ -373,10 +373,14 @@ def test_stream_folds_like_a_batch(spark, tmp_path):
     batch = contact._job_events(spark, SF)
     batch.coalesce(3).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
-    q = events.start_fold(stream, "progress", str(tmp_path / "c"))
-    q.awaitTermination(120)
     put = lambda df: sorted(map(tuple, df.collect()))
-    assert put(spark.table("progress")) == put(events.fold(batch))
+    run = lambda: events.start_fold(stream, str(tmp_path / "p"), str(tmp_path / "c")).awaitTermination(120)
+    run()
+    assert put(events.read_fold(spark, str(tmp_path / "p"))) == put(events.fold(batch))
+    # a restarted query goes on with what has come since
+    batch.limit(40).withColumn("seq", F.col("seq") + 10**6).write.mode("append").parquet(str(tmp_path / "e"))
+    run()
+    assert put(events.read_fold(spark, str(tmp_path / "p"))) == put(events.fold(spark.read.parquet(str(tmp_path / "e"))))
     ticks = spark.createDataFrame([("j", i, e, f"2024-01-01 00:00:{10 * i:02d}") for i, e in enumerate(("running", "paused", "resumed", "finished"))], "job_id string, seq long, event string, at string").withColumn("at", F.to_timestamp("at"))
     assert events.active_seconds(ticks).first().seconds == 20.0
 
