@@ -51,6 +51,8 @@ def _facts(body: Column) -> Column:
     robots = urls.path(F.col("url")) == "/robots.txt"
     return F.struct(
         F.col("url").alias("url"),
+        F.col("tier_name").alias("tier_name"),
+        F.col("status").alias("status"),
         html.js_shell(body, parsed["text"]).alias("shell"),
         links.alias("links"),
         F.when(F.lower(body).contains("<loc>"), F.slice(entries, 1, SITEMAP_LINKS)).otherwise(none).alias("entries"),
@@ -62,13 +64,14 @@ def _facts(body: Column) -> Column:
     )
 
 
-def read_pages(sites: DataFrame, pages: DataFrame, *, kinds: Collection[str] = KINDS, site: str = "url", url: str = "url", body: str = "html", default_region: str = "US") -> tuple[DataFrame, DataFrame]:
+def read_pages(sites: DataFrame, pages: DataFrame, *, kinds: Collection[str] = KINDS, site: str = "url", url: str = "url", body: str = "html", default_region: str = "US", max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(facts, evidence) of the stored pages of the sites' registered domains, by ``key``, the URL without slashes at its end.
 
-    Both come from one scan of ``pages``, which may have a ``tier_order`` to choose among copies of a URL.
+    Both come from one scan of ``pages``, which may have a ``tier_order`` to choose among copies of a URL, a ``tier`` that names it, and a ``status``.
     """
-    tier = F.col("tier_order") if "tier_order" in pages.columns else F.lit(0)
-    rows = pages.select(F.col(url).alias("url"), F.col(body).alias("html"), tier.cast("int").alias("tier")).where(F.col("url").isNotNull() & (F.col("html") != "") & (F.octet_length("html") <= MAX_BYTES))
+    or_ = lambda name, value: F.col(name) if name in pages.columns else F.lit(value)
+    rows = pages.select(F.col(url).alias("url"), F.col(body).alias("html"), or_("tier_order", 0).cast("int").alias("tier"), or_("tier", "store").alias("tier_name"), or_("status", 200).cast("int").alias("status"))
+    rows = rows.where(F.col("url").isNotNull() & (F.col("html") != "") & (F.octet_length("html") <= max_bytes))
     domains = cut(sites.select(urls.domain_key(F.col(site)).alias("domain")).distinct())
     if domains.count() <= 500_000:
         rows = rows.join(F.broadcast(domains), urls.domain_key(F.col("url")) == F.col("domain"), "left_semi")

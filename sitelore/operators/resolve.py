@@ -207,6 +207,6 @@ def summary(candidates: Column, limit: int = 3) -> Column:
 
 def add_finder_columns(rows: DataFrame, found: DataFrame, *, key: str = "company_id") -> DataFrame:
     """Input rows with Website and the finder columns; an existing Website stays where none was found."""
-    m = found.select(F.col("company_id").alias(key), F.col("website").alias("__w"), F.col("status").alias("website_finder_status"), F.when(F.col("confidence") > 0, text.two_decimals("confidence")).otherwise("").alias("website_confidence"), F.col("source").alias("website_source"), F.col("reason").alias("website_reason"), summary(F.col("candidates")).alias("website_top_candidates"))
+    m = found.select(F.col("company_id").alias(key), F.col("website").alias("__w"), F.col("status").alias("website_finder_status"), F.when(F.col("confidence") > 0, text.two_decimals("confidence")).otherwise("").alias("website_confidence"), F.col("source").alias("website_source"), F.col("reason").alias("website_reason"), summary(F.col("candidates")).alias("website_top_candidates"), F.to_json("candidates").alias("website_candidates_json"))
     old = F.coalesce("Website", F.lit("")) if "Website" in rows.columns else F.lit("")
     return rows.join(m, key, "left").withColumn("Website", F.when(F.coalesce("__w", F.lit("")) != "", F.col("__w")).otherwise(old)).drop("__w")

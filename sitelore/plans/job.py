@@ -50,7 +50,7 @@ def site_results(sites: DataFrame, pages: DataFrame, job: Job) -> DataFrame:
     visits = cut(crawl.walk(public, facts, rules)).withColumnRenamed("site_key", "domain_key")
     seen = visits.where("status = 'ok'").select("domain_key", F.col("ordinal").alias("page_ordinal"), crawl.page_key(F.col("url")).alias("key"), F.split("wanted", ",").alias("kinds"))
     # a later page of a fast crawl is read for what is still wanted
-    page = seen.join(facts.select("key", "copy", "url", "title", "address", "description"), "key")
+    page = seen.join(facts.select("key", "copy", "url", "tier_name", "status", "title", "address", "description"), "key")
     found = evidence.join(page.select("domain_key", "page_ordinal", "key", "copy", "kinds"), ["key", "copy"]).where(F.array_contains("kinds", F.col("kind")))
     lists = merge.contacts(merge.merge(merge.merge_page(found.drop("kinds", "key", "copy"), ["domain_key", "page_ordinal"]), ["domain_key"]), ["domain_key"])
     o = F.col("page_ordinal")
@@ -59,7 +59,7 @@ def site_results(sites: DataFrame, pages: DataFrame, job: Job) -> DataFrame:
         value = F.when(F.array_contains("kinds", F.lit(name)), F.coalesce(name, F.lit(""))).otherwise("")
         return (merge.earliest(value, o) if job.fast else F.coalesce(merge.longest(value, o), F.lit(""))).alias(name)
 
-    told = page.groupBy("domain_key").agg(fact("address"), fact("description"), merge.earliest(F.col("title"), o).alias("title"), F.min_by("url", o).alias("final_url"))
+    told = page.groupBy("domain_key").agg(fact("address"), fact("description"), merge.earliest(F.col("title"), o).alias("title"), F.min_by("url", o).alias("final_url"), F.min_by("status", o).alias("http_status"), F.sort_array(F.collect_list(F.struct("page_ordinal", "tier_name"))).alias("tiers"))
     walked = visits.groupBy("domain_key").agg(F.min_by("status", "ordinal").alias("home"), F.sort_array(F.collect_list(F.when(F.col("status") == "ok", F.struct("ordinal", "url")))).alias("p"))
     out = home.select("domain_key").join(walked, "domain_key", "left").join(told, "domain_key", "left").join(lists, "domain_key", "left")
     contacts = F.coalesce("contacts", F.array().cast(export.NO_CONTACTS))
@@ -77,17 +77,18 @@ def site_results(sites: DataFrame, pages: DataFrame, job: Job) -> DataFrame:
         "title": e("title"),
         "pages_scraped": F.transform(F.coalesce("p", F.array().cast("array<struct<ordinal:int,url:string>>")), lambda x: x["url"]),
         "errors": F.when(bad, F.array(why)).otherwise(F.array().cast("array<string>")),
-        "http_status": F.when(~bad, 200),
-        "fetch_tier": F.lit("store"),
+        "http_status": F.when(~bad, F.col("http_status")),
+        # a site has few pages, so the list is short
+        "fetch_tier": F.array_join(F.array_distinct(F.transform(F.coalesce("tiers", F.array().cast("array<struct<page_ordinal:int,tier_name:string>>")), lambda x: x["tier_name"])), "+"),
     }
     return out.select("domain_key", *[v.alias(k) for k, v in values.items()])
 
 
 def fill_failed(results: DataFrame, sites: DataFrame, fallback: DataFrame, job: Job) -> DataFrame:
-    """The results, with those of failed sites replaced by what a second store gives; the tiers of both are named."""
+    """The results, with those of failed sites replaced by what a second store gives, whose tiers are marked."""
     results = cut(results)
     again = sites.join(results.where("result_status = 'failed'").select("domain_key"), "domain_key", "left_semi")
-    more = cut(site_results(again, fallback, job).where("result_status <> 'failed'").withColumn("fetch_tier", F.lit("store+fallback")))
+    more = cut(site_results(again, fallback, job).where("result_status <> 'failed'").withColumn("fetch_tier", F.concat(F.lit("fallback:"), F.col("fetch_tier"))))
     return results.join(more.select("domain_key"), "domain_key", "left_anti").unionByName(more)
 
 
@@ -134,7 +135,7 @@ def resolved_rows(rows: DataFrame, header: Sequence[str], pages: DataFrame, *, c
     store = pages.withColumn("url", urls.normalized("url")["url"]).where("url is not null")
     found = resolve.resolve(companies, store, candidates=told, threshold=threshold)
     done = resolve.add_finder_columns(rows.withColumns({"company_id": same, "Website": F.col("original")["Website"] if "Website" in header else F.lit("")}), found)
-    added = ["Website", *K.FINDER_COLUMNS, "website_reason"]
+    added = ["Website", *K.FINDER_COLUMNS, "website_reason", "website_candidates_json"]
     kept = F.map_filter("original", lambda k, v: ~k.isin(*added))
     new = F.map_from_arrays(F.array(*[F.lit(c) for c in added]), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in added]))
     header = [*(c for c in header if c not in added), *added]

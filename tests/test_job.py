@@ -76,7 +76,7 @@ def test_runs_go_on_where_the_last_one_ended(spark, tmp_path):
     # a second store for what fails over the first
     assert run(page("https://x.org/"), fallback=page("https://d.org/"))["failed"] == 0
     last = {r.domain_key: r for r in jobs.read_state(spark, f"{out}/state").collect()}["d.org"]
-    assert (last.result_status, last.attempts, last.fetch_tier) == ("ok", 2, "store+fallback")
+    assert (last.result_status, last.attempts, last.fetch_tier) == ("ok", 2, "fallback:store")
     path.write_text("Website\ne.org\n")
     assert [run(page("https://x.org/"))["read"] for _ in range(4)] == [1, 1, 1, 0]
     assert run(page("https://e.org/"), resume=False) | {"rows": 0} == {"rows": 0, "invalid": 0, "sites": 1, "failed": 0, "read": 1}
@@ -105,6 +105,13 @@ def test_a_fast_crawl_reads_later_pages_for_what_is_wanted(spark):
     assert values(plan_job(("email", "phone", "social"), fast=False)) == ["+12125550147", "https://facebook.com/a", "one@a.org", "two@a.org"]
 
 
+def test_tiers_and_status_of_a_site(spark):
+    sites = spark.createDataFrame([("a.org", "https://a.org/")], "domain_key string, normalized_url string")
+    store = spark.createDataFrame([("https://a.org/", "<p>old", 200, 2, "browser"), ("https://a.org/", '<a href="/contact">Contact</a>', 203, 1, "direct"), ("https://a.org/contact", "<p>x@a.org", 200, 2, "browser")], "url string, html string, status int, tier_order int, tier string")
+    got = jobs.site_results(sites, store, plan_job(("email",), clean_options(("email",)), max_pages=2)).first()
+    assert (got.fetch_tier, got.http_status, got.pages_scraped) == ("direct+browser", 203, ["https://a.org/", "https://a.org/contact"])
+
+
 def test_mail_hosts_in_the_clean_export(spark):
     own = [("info@a.org", "mailto", 0.98, "generic"), ("sales@b.org", "visible_text", 0.88, "generic")]
     contacts = [(v, "email", "", s, c, k, "", None) for v, s, c, k in own]
