@@ -101,6 +101,20 @@ PROVIDERS = {
     "searxng": Provider(0.18, step=0.015, least=0.12, most=6),
 }
 
+# Where a provider's JSON answer has its hits, and each hit its URL, title and snippet.
+ANSWERS = {
+    "clearbit": ("$", "domain", "name", None),
+    "google_cse": ("$.items", "link", "title", "snippet"),
+    "brave": ("$.web.results", "url", "title", "description"),
+    "serpapi": ("$.organic_results", "link", "title", "snippet"),
+    "searchapi": ("$.organic_results", "link", "title", "snippet"),
+    "searxng": ("$.results", "url", "title", "content"),
+    "duckduckgo": ("$.Results", "FirstURL", "Text", None),
+}
+# The first hit of an answer that is not in its list, and the entities of the one provider that answers with a graph.
+ABSTRACT = {"duckduckgo": ("$.AbstractURL", "$.Heading", "$.AbstractText")}
+ENTITIES = "map<string,struct<labels:struct<en:struct<value:string>>,descriptions:struct<en:struct<value:string>>,claims:struct<P856:array<struct<mainsnak:struct<datavalue:struct<value:string>>>>>>>"
+
 # Weights of the clean export.
 EMAIL_CATEGORY_WEIGHTS = {"business": {"generic": 0.34, "named": 0.28, "external_domain": 0.08, "free_mail": 0.02}, "named": {"generic": 0.30, "named": 0.36, "external_domain": 0.08, "free_mail": 0.02}, "highest": {"generic": 0.18, "named": 0.18, "external_domain": 0.08, "free_mail": 0.02}}
 EMAIL_SOURCE_WEIGHTS = {"mailto": 0.16, "json_ld": 0.14, "cloudflare": 0.13, "obfuscated": 0.10, "visible_text": 0.08, "html": 0.02}

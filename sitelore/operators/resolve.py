@@ -52,6 +52,32 @@ def provider_candidates(rows: DataFrame) -> DataFrame:
     return not_directory(done.withColumns({"title": text.clean(F.col("title")), "snippet": text.clean(F.col("snippet"))}))
 
 
+def hits_of_json(answers: DataFrame, *, body: str = "body") -> DataFrame:
+    """Raw hits (company_id, company, location, provider, position, url, title, snippet) out of the JSON answers of providers, natively.
+
+    An answer that isn't JSON, has another form or comes from a provider that isn't known has none; other providers' answers don't suffer.
+    """
+    text_ = F.col(body)
+    none = F.lit(None).cast("array<struct<url:string,title:string,snippet:string>>")
+    hit = lambda url, title, snippet: F.struct(url.alias("url"), F.coalesce(title, F.lit("")).alias("title"), F.coalesce(snippet, F.lit("")).alias("snippet"))
+    found = none
+
+    def list_hits(listed: Column, url: str, title: str, snippet: str | None) -> Column:
+        return F.transform(listed, lambda x: hit(x[url], x[title], x[snippet] if snippet else F.lit("")))
+
+    for name, (at, url, title, snippet) in K.ANSWERS.items():
+        listed = F.from_json(text_ if at == "$" else F.get_json_object(text_, at), f"array<struct<{url}:string,{title}:string{f',{snippet}:string' if snippet else ''}>>")
+        hits = list_hits(listed, url, title, snippet)
+        if name in K.ABSTRACT:
+            first = F.array(hit(*[F.get_json_object(text_, p) for p in K.ABSTRACT[name]]))
+            hits = F.concat(first, F.coalesce(hits, F.array().cast("array<struct<url:string,title:string,snippet:string>>")))
+        found = F.when(F.col("provider") == name, hits).otherwise(found)
+    entities = F.map_values(F.from_json(F.get_json_object(text_, "$.entities"), K.ENTITIES))
+    claimed = F.flatten(F.transform(entities, lambda e: F.transform(F.coalesce(e["claims"]["P856"], F.array().cast("array<struct<mainsnak:struct<datavalue:struct<value:string>>>>")), lambda c: hit(c["mainsnak"]["datavalue"]["value"], e["labels"]["en"]["value"], e["descriptions"]["en"]["value"]))))
+    found = F.when(F.col("provider") == "wikidata", claimed).otherwise(found)
+    return answers.select("company_id", "company", "location", "provider", F.posexplode(found).alias("position", "h")).select("company_id", "company", "location", "provider", "position", "h.*").where("url <> ''")
+
+
 def scored_hits(hits: DataFrame) -> DataFrame:
     """Candidate rows out of raw provider hits (company_id, company, location, provider, position from 0, url, title, snippet).
 

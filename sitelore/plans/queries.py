@@ -568,6 +568,31 @@ def provider_scores(spark, sf_dir):
     return scored.select("company_id", "source", "source_order", "url", F.round("source_score", 6).alias("source_score"))
 
 
+ANSWER_BODIES = {
+    "clearbit": '[{"name":"N","domain":"#0.com","logo":null},{"name":null,"domain":"#1.com"}]',
+    "wikidata": '{"entities":{"Q1":{"labels":{"en":{"value":"N"}},"descriptions":{"en":{"value":"d"}},"claims":{"P856":[{"mainsnak":{"datavalue":{"value":"https://#0.com/"}}},{"mainsnak":{"datavalue":{"value":"https://#1.com/"}}}],"P31":[]}},"Q2":{"labels":{},"claims":{}}}}',
+    "duckduckgo": '{"AbstractURL":"https://#0.com/","Heading":"N","AbstractText":"d","Results":[{"FirstURL":"https://#1.com/","Text":"x"}]}',
+    "google_cse": '{"items":[{"link":"https://#0.com/","title":"N","snippet":"d"},{"link":""},{"link":"https://#2.com/"}]}',
+    "brave": '{"web":{"results":[{"url":"https://#0.com/","title":"N","description":"d"}]}}',
+    "serpapi": "no json",
+    "searchapi": '{"organic_results":[{"link":"https://#0.com/","title":"N","snippet":"d"}]}',
+    "searxng": '{"results":[{"url":"https://#0.com/","title":"N","content":"d"}]}',
+}
+# provider, position, title, snippet of each hit in these bodies
+ANSWER_HITS = (("clearbit", 0, "N", ""), ("clearbit", 1, "", ""), ("wikidata", 0, "N", "d"), ("wikidata", 1, "N", "d"), ("duckduckgo", 0, "N", "d"), ("duckduckgo", 1, "x", ""), ("google_cse", 0, "N", "d"), ("google_cse", 2, "", ""), ("brave", 0, "N", "d"), ("searchapi", 0, "N", "d"), ("searxng", 0, "N", "d"))
+
+
+@query(f"""
+select c_custkey as company_id, provider, position, case when provider = 'clearbit' then '' else 'https://' end || 'h' || c_custkey || '-' || position || '.com' || case when provider = 'clearbit' then '' else '/' end as url, title, snippet
+from customer cross join (values {", ".join(str(h) for h in ANSWER_HITS)}) h(provider, position, title, snippet)
+""")
+def provider_answers(spark, sf_dir):
+    """Hits out of the JSON answers of eight providers, one of which is no JSON."""
+    bodies = F.array(*[F.struct(F.lit(k).alias("provider"), F.lit(v).alias("b")) for k, v in ANSWER_BODIES.items()])
+    rows = _companies(spark, sf_dir).select("*", F.explode(bodies).alias("x")).select("company_id", "company", "location", "x.provider", F.replace("x.b", F.lit("#"), F.concat(F.lit("h"), F.col("company_id").cast("string"), F.lit("-"))).alias("body"))
+    return resolve.hits_of_json(rows).select("company_id", "provider", "position", "url", "title", "snippet")
+
+
 def _makers(spark, sf_dir) -> DataFrame:
     """A company for each customer, under a name that no other has."""
     return _companies(spark, sf_dir).withColumn("company", F.concat(F.regexp_extract("company", r"^\S+", 0), F.lit(" Makers "), (F.col("company_id") + 1000).cast("string")))
