@@ -124,6 +124,10 @@ class Page(HTMLParser):
         self.part: list[Piece] = []
         self.tags = 0
 
+    def updatepos(self, i, j):
+        """Line numbers aren't asked for, and counting them takes a tenth of the time."""
+        return j
+
     def line(self) -> None:
         if self.part:
             self.raw.append((self.part, self.tags, self.stack[-1]))
