@@ -12,8 +12,8 @@
    has the greatest depth, ``DEEPEST`` values, and is still too long becomes one candidate family as a whole, without comparing. So two nodes that
    share DEEPEST values of an order always meet in it, however large the region is and wherever tasks split it.
    Compared are estimates from whole signatures; what goes on is a spanning forest of each cluster, never its pairs.
-3. A second pass goes over the border between each two tasks that share a region, with all rows that rows behind the border could still reach; at most
-   ``REGION`` on either side.
+3. A second pass goes over the border between each two tasks that share a region, with the rows that share a prefix with the one at the border, as deep as leaves a
+   sixteenth of ``REGION`` on either side.
 4. Components of these loose links, by estimate, are candidate families. Each family's texts meet once, and their full
    shingle sets decide: 100 * intersection >= 75 * union. A text is compared with all of
    its family unless it is already in the family's largest cluster, which loses no link between
@@ -152,7 +152,7 @@ class _Regions:
     """
 
     def __init__(self, limit: int, task: int):
-        self.limit, self.task = limit, task
+        self.limit, self.border, self.task = limit, max(1, limit // 16), task
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
         #: Rows at the border before the task and behind it: region, number of the task behind the border, rows.
         self.edges: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -194,42 +194,44 @@ class _Regions:
             other = np.flatnonzero(own != np.arange(len(own)))
             self.link(ids[own[other]], ids[other])
 
-    def deepen(self) -> None:
-        """Compares the rows held and keeps those of the region's last part, as deep as makes it short enough."""
-        ids, rest, whole = self.compare()
-        n, room = len(ids), max(1, self.limit // 2)
-        common = np.logical_and.accumulate(rest[1:, :EXTRA] == rest[:-1, :EXTRA], axis=1).sum(1)
+    def part(self, rows: tuple[np.ndarray, np.ndarray, np.ndarray], last: bool, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of a region's rows that share a prefix with the first or the last one, as deep as leaves ``room`` of them.
 
-        def part(last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            for depth in range(1, EXTRA + 1):
-                borders = [0, *(np.flatnonzero(common < depth) + 1).tolist(), n]
-                lo, hi = (borders[-2], n) if last else (0, borders[1])
-                if hi - lo <= room:
-                    return ids[lo:hi], rest[lo:hi], whole[lo:hi]
-            # the greatest depth: one family without comparing, of which one row goes on
-            self.link(np.full(hi - lo, ids[lo]), ids[lo:hi])
-            return ids[lo : lo + 1], rest[lo : lo + 1], np.ones(1, bool)
+        Where the greatest depth leaves more, they are one family without comparing, for which one row stands.
+        """
+        ids, rest, whole = rows
+        common = np.logical_and.accumulate(rest[1:, :EXTRA] == rest[:-1, :EXTRA], axis=1).sum(1)
+        lo, hi = 0, len(ids)
+        for depth in range(EXTRA + 1):
+            borders = [0, *(np.flatnonzero(common < depth) + 1).tolist(), len(ids)]
+            lo, hi = (borders[-2], len(ids)) if last else (0, borders[1])
+            if hi - lo <= room:
+                return ids[lo:hi], rest[lo:hi], whole[lo:hi]
+        self.link(np.full(hi - lo, ids[lo]), ids[lo:hi])
+        return ids[lo : lo + 1], rest[lo : lo + 1], np.ones(1, bool)
 
+    def deepen(self) -> None:
+        """Compares the rows held and keeps the region's last part, as deep as makes it short enough."""
+        rows = self.compare()
         if self.first and not self.headed:
-            self.edges.append((self.region, self.task, *part(False)))
+            self.edges.append((self.region, self.task, *self.part(rows, False, self.border)))
             self.headed = True
-        kept = part(True)
+        kept = self.part(rows, True, max(1, self.limit // 2))
         self.held, self.rows = [kept], len(kept[0])
 
     def close(self, end: bool = False) -> None:
         """The region is over, or the task."""
         if self.region is None:
             return
-        ids, rest, whole = self.compare()
-        head = self.first and not self.headed
+        ids, rest, whole = rows = self.compare()
         if end and self.first and (rest[:, :EXTRA] == rest[0, :EXTRA]).all():
             # the task is within one run, which goes on before and behind it: one family without comparing
             self.link(np.full(len(ids), ids[0]), ids)
-            ids, rest, whole = ids[:1], rest[:1], np.ones(1, bool)
-        if head:
-            self.edges.append((self.region, self.task, ids, rest, whole))
+            rows = ids[:1], rest[:1], np.ones(1, bool)
+        if self.first and not self.headed:
+            self.edges.append((self.region, self.task, *self.part(rows, False, self.border)))
         if end:
-            self.edges.append((self.region, self.task + 1, ids, rest, whole))
+            self.edges.append((self.region, self.task + 1, *self.part(rows, True, self.border)))
         self.first, self.region, self.held, self.rows = False, None, [], 0
 
     def batch(self, batch: pa.RecordBatch) -> None:
