@@ -92,7 +92,7 @@ class Walk:
 
     def __init__(self, start: str, variants: list[str], rules: dict, state: dict | None = None):
         self.rules = rules
-        self.s = state or {"start": start, "want": list(dict.fromkeys([*variants, f"{_origin(start)}/robots.txt"])), "step": "home", "root": "", "robots": None, "sitemaps": None, "queue": [], "seen": [], "visits": [], "found": [], "unmet": None}
+        self.s = state or {"start": start, "homes": (homes := list(dict.fromkeys([*variants, start]))), "want": list(dict.fromkeys([*homes, *(f"{_origin(u)}/robots.txt" for u in [start, *homes])])), "step": "home", "root": "", "robots": None, "sitemaps": None, "queue": [], "seen": [], "visits": [], "found": [], "unmet": None}
 
     @property
     def want(self) -> list[str]:
@@ -191,10 +191,12 @@ class Walk:
         page = lambda u: got.get(u.rstrip("/"))
         step, asked = self.s["step"], self.s["want"]
         if step == "home":
-            robots = page(asked[-1]) or {}
-            self.s["robots"], self.s["named"] = robots.get("rules"), robots.get("sitemaps") or []
-            there = [u for u in asked[:-1] if page(u)]
+            robots = lambda u: page(f"{_origin(u)}/robots.txt") or {}
+            there = [u for u in self.s.pop("homes") if page(u)]
             home = next((u for u in there if not page(u)["shell"]), there[0] if there else self.s["start"])
+            # the rules of the origin that answers, else those of the address given
+            rules = robots(home) or robots(self.s["start"])
+            self.s["robots"], self.s["named"] = rules.get("rules"), rules.get("sitemaps") or []
             self._visit(home, page(home))
             if self.s["visits"][0][1] != "ok":
                 self.s["want"], self.s["step"] = [], "done"

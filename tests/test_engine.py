@@ -205,6 +205,8 @@ def test_robots_rules_hold_in_the_walk(spark):
     store = {"https://a.com/": '<a href="/contact">Contact</a>', "https://a.com/contact": "x@a.com", "https://a.com/robots.txt": "User-agent: *\nDisallow: /contact\n", "https://b.com/": "<p>", "https://b.com/robots.txt": "User-agent: *\nDisallow: /\n"}
     got = crawled(spark, store, ("https://a.com/", "https://b.com/"), wanted=("email",), max_pages=2)
     assert [v[1] for v in got["a.com"]] == ["ok", "disallowed"] and got["b.com"] == [("https://b.com/", "disallowed", "email", "")]
+    other = {"https://www.c.com/": '<a href="/contact">Contact</a>', "https://www.c.com/contact": "x@c.com", "https://www.c.com/robots.txt": "User-agent: *\nDisallow: /contact\n"}
+    assert [v[1] for v in crawled(spark, other, ("https://c.com/",), wanted=("email",), max_pages=2)] == ["ok", "disallowed"]
     assert crawled(spark, store, ("https://a.com/", "https://b.com/"), wanted=("email",), max_pages=2, respect_robots=False)["a.com"][-1] == ("https://a.com/contact", "ok", "email", "email")
 
 
