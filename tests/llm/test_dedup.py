@@ -167,22 +167,24 @@ def test_rows_with_a_deep_common_prefix_meet(region, tasks):
             assert sets.root(i) == sets.root(int(j)), (i, j)
 
 
-def test_recall_in_large_regions():
-    """20,000 rows of pairs at the threshold with one common beginning of every order: regions of 20,000 rows."""
+@pytest.mark.parametrize("region, tasks", [(512, 4), (4096, 40)])
+def test_recall_in_large_regions(region, tasks):
+    """10,000 pairs near the threshold that share a region in seven orders only, each of which is one region of 20,000 rows."""
     rng = np.random.default_rng(4)
-    n = 10_000
+    n, seq = 10_000, neardup._sequences()
     first = rng.integers(0, 2**32, (n, neardup.VALUES), dtype=np.uint32)
-    common = rng.random((n, neardup.VALUES)) < 0.35
-    first[common] = 7
+    first[:, seq[:7, : neardup.DEPTH].ravel()] = 7
     second = first.copy()
-    changed = rng.random(first.shape) < 0.25
-    second[changed] = rng.integers(0, 2**32, int(changed.sum()), dtype=np.uint32)
-    sigs = np.concatenate([first, second])
+    for k in range(7, neardup.ORDERS):
+        second[np.arange(n), seq[k][rng.integers(0, neardup.DEPTH, n)]] = rng.integers(0, 2**32, n, dtype=np.uint32)
+    more = (rng.random(second.shape) < 0.05) & (second != 7)
+    second[more] = rng.integers(0, 2**32, int(more.sum()), dtype=np.uint32)
+    assert 0.7 < (first == second).mean() < 0.8
     sets = components.Union()
-    for a, b in forest(np.arange(2 * n), sigs, 512, 4):
+    for a, b in forest(np.arange(2 * n), np.concatenate([first, second]), region, tasks):
         sets.join(a, b)
     found = np.mean([sets.root(i) == sets.root(n + i) for i in range(n)])
-    assert found >= 0.99
+    assert found >= 0.99, found
 
 
 def test_loose_families_larger_than_a_part(spark):
