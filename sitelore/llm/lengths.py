@@ -3,7 +3,7 @@
 Documents are encoded once and counted by length on the map side, so what moves is one row for each length and
 task. Sums below and above each length then answer, for a context limit of that length, how many documents fit, how many tokens they
 have, and the total when longer ones are cut. The sums run in two levels (blocks of ``BLOCK`` lengths, then
-within a block), so no task holds the whole histogram.
+within a block), so no task holds the whole histogram, and the blocks are few: one for each 128 lengths up to the longest document.
 
 Cases: null and empty texts have length 0 and are counted. Repeated rows count each. An empty table gives an empty histogram,
 and ``at_limit`` gives 0 documents and tokens. Other columns are ignored.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import cut, slices, small_batches
 
-BLOCK = 1024
+BLOCK = 128
 
 
 def encoded_lengths(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
@@ -49,7 +49,7 @@ def histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     # one row for each length; cut, because the sums read it twice and the documents are encoded once
     counts = cut(counts)
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
-    # one row for each 1024 lengths: at most a few thousand, whatever the number of documents
+    # one row for each block: as many as the longest document asks for, whatever the number of documents
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     blocks = blocks.select("block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in "dt"], *[F.sum(c).over(every).alias(f"{c}_all") for c in "dt"])
