@@ -344,8 +344,8 @@ def _calibrate(model: KneserNey, rows: DataFrame) -> None:
         scorer = Scorer(shared.value)
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                true = [x for t in texts for x in pieces(t)]
-                for real, some in ((True, true), (False, [shuffled(x) for x in true])):
+                for real, whole in ((True, texts), (False, [shuffled(t) for t in texts])):
+                    some = [x for t in whole for x in pieces(t)]
                     total = scorer.totals(some)
                     total = total[total[:, -1] > 0]
                     mean = total[:, :-2] / total[:, -2:-1]
