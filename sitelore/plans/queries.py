@@ -468,7 +468,7 @@ def crawl_full(spark, sf_dir):
 
 def _companies(spark, sf_dir) -> DataFrame:
     n = t(spark, sf_dir, "nation").join(t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = t(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = _dealt(t(spark, sf_dir, "customer")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     name = F.concat(F.replace(F.initcap("c_mktsegment"), F.lit(" "), F.lit("")), F.lit(" Works "), F.col("c_custkey").cast("string"), _pick(F.col("c_custkey"), (" Ltd", " GmbH", "", " Services Inc")))
     return c.select(F.col("c_custkey").alias("company_id"), name.alias("company"), F.concat_ws(" ", "n_name", "r_name").alias("location"))
 
