@@ -85,7 +85,8 @@ def scored_hits(hits: DataFrame) -> DataFrame:
     """
     rules = F.create_map(*[x for i, (n, p) in enumerate(K.PROVIDERS.items()) for x in (F.lit(n), F.struct(F.lit(i).alias("place"), *[F.lit(v).alias(k) for k, v in p._asdict().items()]))])
     rows = hits.withColumn("__r", F.try_element_at(rules, F.col("provider"))).where(F.col("position") < F.col("__r.most"))
-    alike = F.when(F.col("__r.alike") > 0, text.closest(text.signature(F.col("company")), F.array(text.signature(F.col("title"))))).otherwise(0.0)
+    # an Arrow function runs for every row; without a name there is nothing to compare
+    alike = text.closest(F.when(F.col("__r.alike") > 0, text.signature(F.col("company"))), F.array(text.signature(F.col("title"))))
     score_ = F.greatest(F.col("__r.least"), F.col("__r.base") - F.col("__r.step") * F.col("position")) + F.col("__r.alike") * alike
     order = (F.col("__r.place") * 100 + F.col("position")).cast("int")
     return provider_candidates(rows.select("company_id", "company", "location", F.trim("url").alias("url"), F.col("provider").alias("source"), order.alias("source_order"), "title", "snippet", score_.alias("source_score")))
