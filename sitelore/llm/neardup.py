@@ -49,7 +49,7 @@ VALUES, DEPTH, DEEPEST, ORDERS = 64, 3, 5, 21
 LOOSE = 30
 REGION = 4096
 EXTRA = DEEPEST - DEPTH
-FAMILY, FAMILY_SHINGLES, HUBS = 512, 4_000_000, 12
+FAMILY, FAMILY_SHINGLES, HUBS = 256, 2_000_000, 12
 
 _A = grams.stream(VALUES, 77) | grams.U(1)
 _B = grams.stream(VALUES, 78)
