@@ -5,7 +5,7 @@ of lowest priority among itself and its neighbours. Links become links between t
 the order of the ids, a node stays with a probability of at most 3/4 (a third on a chain), so the number of
 rounds grows with the logarithm of the number of ids. Minima are aggregated on the map
 side, so a hub with any number of links is one row for each task; the joins are plain equi-joins, whose
-skew Spark splits. Every round is cut by a table that is written and read again, whose size Spark knows. When at most ``finish``
+skew Spark splits. The links are cut by a checkpoint, and every round by a table that is written and read again, whose size Spark knows. When at most ``finish``
 links are left, counted first, one task ends the work with a union-find; then ids are mapped
 back round by round, and each component is named by its smallest id.
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import cut, written
 
 
 class Union:
@@ -58,12 +58,12 @@ def _finish(batches):
 
 def _links(rows: DataFrame, a: str, b: str) -> DataFrame:
     """The distinct links between different ids, the smaller one first."""
-    return written(rows.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    return rows.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def components(links: DataFrame, *, finish: int = 1_000_000, max_rounds: int = 200) -> DataFrame:
     """(node, component) for each id in ``links`` (columns a, b: long); component is the smallest id reachable."""
-    now = _links(links, "a", "b")
+    now = cut(_links(links, "a", "b"))
     rounds: list[DataFrame] = []
     while now.count() > finish:
         if len(rounds) == max_rounds:
@@ -77,7 +77,7 @@ def components(links: DataFrame, *, finish: int = 1_000_000, max_rounds: int = 2
         low = written(best.select("node", F.when(priority("m") < priority("node"), F.col("m")).otherwise(F.col("node")).alias("m")))
         rounds.append(low)
         moved = now.join(low.select(F.col("node").alias("a"), F.col("m").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("m").alias("y")), "b")
-        now = _links(moved, "x", "y")
+        now = written(_links(moved, "x", "y"))
     out = now.repartition(1).mapInArrow(_finish, "node long, component long")
     if not rounds:
         return out
