@@ -29,7 +29,7 @@ from ..functions import tables as K
 from ..plans.options import CleanOptions, kinds_of, needed_kinds
 from .page import KINDS, facts_and_evidence, parse_pages
 from .rank import rank_list
-from .tables import cut, cut_by
+from .tables import by_key, cut, cut_by
 
 VISITS = "site_key string, ordinal int, url string, status string, wanted string, found string"
 MAX_BYTES = 5_000_000
@@ -80,11 +80,13 @@ def read_pages(sites: DataFrame, pages: DataFrame, *, kinds: Collection[str] = K
     wanted = [k for k in EVIDENCE_KINDS if k in (set(kinds) or set(KINDS))] or ["email"]
     read = cut(facts_and_evidence(parse_pages(rows), keys, _facts(F.col("html")), kinds=wanted, default_region=default_region))
     evidence = read.where("kind <> 'page'").drop("facts")
-    found = evidence.groupBy(*keys).agg(F.collect_set(F.struct("kind", "category", F.coalesce(F.col("meta")["region"], F.lit("")).alias("region"), "confidence")).alias("found"))
+    found = by_key(evidence.groupBy(*keys).agg(F.collect_set(F.struct("kind", "category", F.coalesce(F.col("meta")["region"], F.lit("")).alias("region"), "confidence")).alias("found")), "key")
     best = read.where("kind = 'page'").groupBy("key").agg(F.min_by(F.struct("copy", "facts"), F.struct(F.col("facts.shell"), F.col("copy"))).alias("b")).select("key", "b.copy", "b.facts.*")
-    facts = best.join(found, keys, "left")
-    # dealt by key once; the joins of all rounds keep this partitioning. A key has one row
-    return cut_by(facts, "key"), evidence
+    # Spark takes the sizes of these tables for those of the compressed files they come from, and would broadcast them
+    # through the driver; merged, they stay on the executors, however many pages there are
+    facts = best.join(found.hint("merge"), keys, "left")
+    # dealt and sorted by key once; the joins of all rounds keep this. A key has one row
+    return cut_by(facts, "key").hint("merge"), evidence.hint("merge")
 
 
 class Walk:
@@ -246,14 +248,19 @@ def walk_one(start: str, fetch: Callable[[str], dict | None], rules: dict, varia
     return site.s["visits"]
 
 
-STATE = "site_key string, state string, want array<string>"
+STATE = "site_key string, start string, state string, want array<string>"
+
+
+def _states(batch: pa.RecordBatch, walks: list[Walk]) -> pa.RecordBatch:
+    """Rows of STATE. Of a walk that has ended only the visits are kept."""
+    states = [json.dumps(w.s if w.want else {"visits": w.s["visits"]}) for w in walks]
+    return pa.RecordBatch.from_arrays([batch.column("site_key"), batch.column("start"), pa.array(states, pa.string()), pa.array([w.want for w in walks], pa.list_(pa.string()))], names=["site_key", "start", "state", "want"])
 
 
 def _begin(rules: dict):
     def run(batches):
         for batch in batches:
-            rows = [Walk(s, v, rules) for s, v in zip(batch.column("start").to_pylist(), batch.column("variants").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("site_key"), pa.array([json.dumps(w.s) for w in rows], pa.string()), pa.array([w.want for w in rows], pa.list_(pa.string()))], names=["site_key", "state", "want"])
+            yield _states(batch, [Walk(s, v, rules) for s, v in zip(batch.column("start").to_pylist(), batch.column("variants").to_pylist())])
 
     return run
 
@@ -261,13 +268,12 @@ def _begin(rules: dict):
 def _step(rules: dict):
     def run(batches):
         for batch in batches:
-            states, wants = [], []
+            walks = []
             for state, pages in zip(batch.column("state").to_pylist(), batch.column("pages").to_pylist()):
                 site = Walk("", [], rules, json.loads(state))
-                site.take({p["key"]: p for p in pages})
-                states.append(json.dumps(site.s))
-                wants.append(site.want)
-            yield pa.RecordBatch.from_arrays([batch.column("site_key"), pa.array(states, pa.string()), pa.array(wants, pa.list_(pa.string()))], names=["site_key", "state", "want"])
+                site.take({p["key"]: p for p in pages or []})
+                walks.append(site)
+            yield _states(batch, walks)
 
     return run
 
@@ -275,7 +281,8 @@ def _step(rules: dict):
 def walk(sites: DataFrame, facts: DataFrame, rules: dict, *, site: str = "url") -> DataFrame:
     """VISITS rows of every site. ``sites`` has normal home page URLs, ``facts`` is from ``read_pages``."""
     home = sites.select(urls.site_key(F.col(site)).alias("site_key"), F.col(site).alias("start"), urls.variants(F.col(site)).alias("variants"))
-    state = cut(home.mapInArrow(_begin(rules), STATE))
+    # a walk is known by its start; equal ones are one walk
+    state = cut(home.dropDuplicates(["start"]).mapInArrow(_begin(rules), STATE))
     done = []
     page = F.struct("key", "url", "shell", "links", "entries", "sitemaps", "rules", (F.coalesce("address", F.lit("")) != "").alias("address"), (F.coalesce("description", F.lit("")) != "").alias("description"), "found")
     # every round visits a page or ends a walk, but for the home page's and the sitemaps' rounds
@@ -284,10 +291,10 @@ def walk(sites: DataFrame, facts: DataFrame, rules: dict, *, site: str = "url")
         active = state.where(F.size("want") > 0)
         if active.isEmpty():
             break
-        asked = active.select("site_key", "state", F.explode("want").alias("ask")).select("site_key", "state", page_key(F.col("ask")).alias("key"))
-        got = asked.join(facts, "key", "left")
-        answered = got.groupBy("site_key", "state").agg(F.collect_list(F.when(F.col("url").isNotNull(), page)).alias("pages"))
-        state = cut(answered.select("site_key", "state", "pages").mapInArrow(_step(rules), STATE))
+        # only addresses go to the facts, and only pages that are there come back; a state is moved once a round
+        asked = active.select("start", F.explode("want").alias("ask")).select("start", page_key(F.col("ask")).alias("key"))
+        answered = asked.join(facts, "key").groupBy("start").agg(F.collect_list(page).alias("pages"))
+        state = cut(active.join(answered.hint("merge"), "start", "left").select("site_key", "start", "state", "pages").mapInArrow(_step(rules), STATE))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

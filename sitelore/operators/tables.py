@@ -23,19 +23,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by ``key`` as ``cut_by`` deals them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), key)
+
+
 def cut_by(df: DataFrame, key: str) -> DataFrame:
-    """``cut`` of the rows dealt by ``key``, such that joins on it don't shuffle them again.
+    """``cut`` of the rows dealt and sorted by ``key``, such that merge joins on it neither shuffle nor sort them again.
 
     Spark forgets the partitioning of what an adaptive plan wrote, so this one is written without; its keys are to be without skew.
+    Joins within ``df`` whose sides are dealt by ``key`` and that have it among their columns don't shuffle either.
     """
     conf = df.sparkSession.conf
-    before = conf.get("spark.sql.adaptive.enabled", "true")
-    n = int(conf.get("spark.sql.shuffle.partitions", "200"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {k: conf.get(k, "true") for k in settings}
     try:
-        conf.set("spark.sql.adaptive.enabled", "false")
-        return cut(df.repartition(n, key))
+        for k, v in settings.items():
+            conf.set(k, v)
+        return cut(by_key(df, key).sortWithinPartitions(key))
     finally:
-        conf.set("spark.sql.adaptive.enabled", before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:

@@ -272,6 +272,35 @@ def test_the_pages_of_one_domain_are_dealt_over_tasks(spark):
     assert visits.count() == n and visits.where("found = 'email'").count() == n
 
 
+def crawl_plans(spark, monkeypatch, tmp_path, **how):
+    """Plans of (facts, rounds) of a crawl over a store whose files are far smaller than its rows, and its visits."""
+    n, facts, rounds = 300, [], []
+    url = F.concat(F.lit("https://u"), F.col("id").cast("string"), F.lit(".com/"))
+    spark.range(n).select(F.explode(F.array(F.struct(url.alias("url"), F.lit("<a href='/contact'>c</a>").alias("html")), F.struct(F.concat(url, F.lit("contact")).alias("url"), F.lit("<p>a@b.com</p>").alias("html")))).alias("p")).select("p.*").write.parquet(f"{tmp_path}/store")
+    cut, deal = crawl.cut, crawl.cut_by
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(crawl, "cut", lambda df: (rounds.append(plan(df)) if "state" in df.columns else None, cut(df))[1])
+    monkeypatch.setattr(crawl, "cut_by", lambda df, key: (facts.append(plan(df)), deal(df, key))[1])
+    store = spark.read.parquet(f"{tmp_path}/store")
+    visits = crawl.crawl(store.where(F.col("url").endswith("m/")).select("url"), store, wanted=("email",), **how)
+    return facts, rounds, n, visits
+
+
+def test_a_full_crawl_sends_no_page_through_the_driver(spark, monkeypatch, tmp_path):
+    facts, rounds, n, visits = crawl_plans(spark, monkeypatch, tmp_path, max_pages=3, fast=False)
+    assert len(facts) == 1 and len(rounds) > 2
+    assert not any("Broadcast" in p for p in [*facts, *rounds])
+    assert visits.count() == 3 * n and visits.where("found = 'email'").count() == n
+
+
+def test_equal_starts_are_one_walk_and_others_walks_of_their_own(spark):
+    starts = ["https://a.com/", "https://a.com/", "https://www.a.com/"]
+    store = [("https://a.com/", "<p>x@a.com</p>")]
+    sites = spark.createDataFrame([(u,) for u in starts], "url string")
+    visits = crawl.crawl(sites, spark.createDataFrame(store, "url string, html string"), wanted=("email",), max_pages=2)
+    assert sorted((r.site_key, r.ordinal, r.found) for r in visits.collect()) == [("a.com", 0, "email")] * 2
+
+
 def test_task_state_and_reset(spark):
     own = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "domain_key string")
     log = spark.createDataFrame([("a", 0, 1, "error", "x"), ("a", 0, 2, "ok", ""), ("b", 0, 1, "failed", "blocked"), ("c", 0, 1, "error", "e"), ("c", 0, 2, "error", "e"), ("c", 0, 3, "error", "e3")], "domain_key string, epoch int, attempt_no int, outcome string, error string")
