@@ -293,6 +293,16 @@ def test_a_full_crawl_sends_no_page_through_the_driver(spark, monkeypatch, tmp_p
     assert visits.count() == 3 * n and visits.where("found = 'email'").count() == n
 
 
+def test_a_fast_crawl_moves_narrow_rows_and_each_state_once(spark, monkeypatch, tmp_path):
+    """A round sends addresses to the facts, without the state of the walk, and the facts stay where they are."""
+    _, rounds, n, visits = crawl_plans(spark, monkeypatch, tmp_path, max_pages=3)
+    for p in rounds[1:]:
+        assert "Broadcast" not in p and "hashpartitioning(key" in p
+        asked = next(line for line in p.splitlines() if "Generate explode" in line)
+        assert "state" not in asked and p.count("Exchange hashpartitioning(key") == p.count("Sort [key") == 1
+    assert visits.count() == 2 * n and visits.where("found = 'email'").count() == n
+
+
 def test_equal_starts_are_one_walk_and_others_walks_of_their_own(spark):
     starts = ["https://a.com/", "https://a.com/", "https://www.a.com/"]
     store = [("https://a.com/", "<p>x@a.com</p>")]
