@@ -303,6 +303,28 @@ def test_a_fast_crawl_moves_narrow_rows_and_each_state_once(spark, monkeypatch,
     assert visits.count() == 2 * n and visits.where("found = 'email'").count() == n
 
 
+def test_a_fast_crawl_as_executed_broadcasts_the_domains_alone(spark, monkeypatch, tmp_path):
+    """Plans as adaptive execution left them, with a limit under which Spark would broadcast every table."""
+    plans, cut = [], crawl.cut
+
+    def kept(df):
+        out = cut(df)
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]))
+        return out
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        monkeypatch.setattr(crawl, "cut", kept)
+        _, _, n, visits = crawl_plans(spark, monkeypatch, tmp_path, max_pages=3)
+        assert visits.count() == 2 * n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("isFinalPlan=true" in p for _, p in plans) > 3
+    assert all("Broadcast" not in p for names, p in plans if "facts" not in names)
+    assert "Broadcast" not in visits._jdf.queryExecution().executedPlan().toString()
+
+
 def test_equal_starts_are_one_walk_and_others_walks_of_their_own(spark):
     starts = ["https://a.com/", "https://a.com/", "https://www.a.com/"]
     store = [("https://a.com/", "<p>x@a.com</p>")]
